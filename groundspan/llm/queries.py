@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repetition
+from . import repetition, simhash
 from .common import documents
 
 
@@ -14,8 +14,12 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_repetition": op1_repetition}
+    return {"op1_repetition": op1_repetition, "op6_simhash": op6_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
