@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)

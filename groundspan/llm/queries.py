@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repetition, simhash
+from . import bpe, lines, repetition, simhash, toxicity
 from .common import documents
 
 
@@ -14,13 +14,26 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = documents(spark, sf_dir, "labels")
+    return toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_repetition": op1_repetition, "op6_simhash": op6_simhash}
+    return {f.__name__: f for f in (op1_repetition, op4_bpe, op5_lines, op6_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": repetition.sql()}
+    return {"op1_repetition": repetition.sql(), "op5_lines": lines.sql()}
