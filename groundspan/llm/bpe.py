@@ -39,9 +39,11 @@ class Encoder(dict):
         self.size = {i: len(token) for token, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
         self.automaton.make_automaton()
         self.ranks = ranks
+        #: For each token the longest shorter one that begins like it, or -1.
+        self.shorter = {i: next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), -1) for token, i in ranks.items()}
         self.split: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
@@ -69,8 +71,6 @@ class Encoder(dict):
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges can leave a and b side by side: no merge across their border comes before those inside them."""
-        if (known := self.fits.get((a, b))) is not None:
-            return known
         key, limit, result = (a, b), 1 << 60, None
         while result is None:
             if self.merged.get((a, b), 1 << 60) < limit:
@@ -92,30 +92,36 @@ class Encoder(dict):
 
     def encode(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8")
-        found: list[list[int]] = [[] for _ in raw]  # tokens that begin at each byte, the longest last
-        for end, (i, n) in self.automaton.iter(raw.decode("latin-1")):
-            found[end - n + 1].append(i)
-        open_at, tried = [True] * (len(raw) + 1), [0] * len(raw)
+        if (whole := self.ranks.get(raw)) is not None:
+            return [whole]  # a token's own bytes merge to it
+        longest, size, shorter, fits = [-1] * len(raw), self.size, self.shorter, self.fits
+        for end, (token, reach) in self.automaton.iter(raw.decode("latin-1")):
+            longest[end - reach] = token  # of those that begin at a byte, the longest ends last
+        closed: set[int] = set()
         tokens: list[int] = []
-        at = 0
-        while at < len(raw):
-            options, last = found[at], tokens[-1] if tokens else None
-            while tried[at] < len(options):
-                token = options[-1 - tried[at]]
-                tried[at] += 1
-                if open_at[at + self.size[token]] and (last is None or self.compatible(last, token)):
-                    tokens.append(token)
-                    at += self.size[token]
-                    if at < len(raw):
-                        tried[at] = 0
-                    break
+        at, token, last = 0, longest[0], -1
+        while True:
+            while token >= 0:
+                if (at + size[token]) not in closed:
+                    if last < 0:
+                        break
+                    fit = fits.get((last, token))
+                    if fit or (fit is None and self.compatible(last, token)):
+                        break
+                token = shorter[token]
+            if token >= 0:
+                tokens.append(token)
+                at += size[token]
+                if at == len(raw):
+                    return tokens
+                last, token = token, longest[at]
+            elif last < 0:
+                raise ValueError("the vocabulary has no token for a byte")
             else:
-                if last is None:
-                    raise ValueError("the vocabulary has no token for a byte")
-                open_at[at] = False
-                tokens.pop()
-                at -= self.size[last]
-        return tokens
+                closed.add(at)
+                token = tokens.pop()  # go on with its shorter ones
+                at -= size[token]
+                last = tokens[-1] if tokens else -1
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMORY:
@@ -166,7 +172,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
     results, an empty one no tokens; repeated rows give repeated rows; columns of docs that have the name of a result are
     replaced by it.
     """
-    new = T.StructType().add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "int").add("round_trip", "boolean")
+    new = T.StructType().add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
     kept = docs.drop(*new.names)
     schema = T.StructType(kept.schema.fields + new.fields)
 

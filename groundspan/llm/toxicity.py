@@ -328,7 +328,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     weights, threshold = fitted(docs, labels)
     shared = spark.sparkContext.broadcast((weights, threshold))
-    new = T.StructType().add("toxicity", "double").add("is_toxic", "boolean")
+    new = T.StructType().add("toxicity", T.DoubleType()).add("is_toxic", T.BooleanType())
     kept = docs.drop(*new.names)
     schema = T.StructType(kept.schema.fields + new.fields)
 
