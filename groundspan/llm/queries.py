@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lines, repetition, simhash, toxicity
+from . import bpe, decontam, lines, repetition, simhash, suffix, toxicity
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -36,8 +40,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op3_decontamination, op4_bpe, op5_lines, op6_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op1_repetition, op2_suffix_dedup, op3_decontamination, op4_bpe, op5_lines, op6_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": repetition.sql(), "op5_lines": lines.sql()}
+    return {"op1_repetition": repetition.sql(), "op2_suffix_dedup": suffix.sql(), "op5_lines": lines.sql()}
