@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lines, repetition, simhash, suffix, toxicity
+from . import bpe, decontam, lines, lm, repetition, secrets, simhash, suffix, toxicity, urls
 from .common import documents
 
 
@@ -34,13 +34,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(documents(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = documents(spark, sf_dir, "labels")
     return toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_suffix_dedup, op3_decontamination, op4_bpe, op5_lines, op6_simhash, op9_toxicity)}
+    own = (op1_repetition, op2_suffix_dedup, op3_decontamination, op4_bpe, op5_lines, op6_simhash, op7_secrets, op8_urls, op9_toxicity, op10_lm)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
