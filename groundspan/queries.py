@@ -681,3 +681,59 @@ def sf11_strings(spark, sf):
     SELECT doc_id, (i - 1)::INTEGER AS line, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start, t AS text FROM l""")
 def sf7_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("l")).select("doc_id", "l.line", "l.start", "l.text")
+
+
+# whole extractions
+
+from typing import Annotated, Literal  # noqa: E402
+
+from .plans.extract import extract, objects  # noqa: E402
+from .plans.spec import Field, Regex, Rule, compile_spec  # noqa: E402
+from .sources import store  # noqa: E402
+
+
+class Notice:
+    mail: Annotated[str | None, Field("an address", (Regex(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+", native=True),))]
+    numbers: Annotated[list[int], Field("all numbers", (Regex("[0-9]+", entity_type="CARDINAL", native=True),))]
+    secret: Annotated[str, Field("a token", (Regex(r'token = "(?P<value>[0-9a-f]+)"', group="value"),))]
+    topic: Annotated[Literal["legal", "mail"], Field("what it is about", rules=(Rule("legal", "License"), Rule("mail", "@mail")))]
+
+
+_MAIL, _TOKEN = "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+", 'token = "([0-9a-f]+)"'
+_NOTICE = f"""x AS (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS m, regexp_extract_all(text, '[0-9]+') AS n, regexp_extract_all(text, '{_TOKEN}', 1) AS t, contains(text, 'License') AS legal, contains(text, '@mail') AS about FROM documents)"""
+
+
+@_query(f"""{_NOTICE}, y AS (SELECT doc_id, CASE WHEN len(m) = 1 THEN m[1] END AS mail, array_to_string(list_transform(list_filter(n, lambda v: try_cast(v AS BIGINT) IS NOT NULL), lambda v: v::BIGINT::VARCHAR), ',') AS numbers, CASE WHEN len(t) = 1 THEN t[1] END AS secret, CASE WHEN legal AND NOT about THEN 'legal' WHEN about AND NOT legal THEN 'mail' END AS topic FROM x)
+    SELECT doc_id, mail, numbers, secret, topic, array_to_string(list_filter([CASE WHEN secret IS NULL THEN 'secret' END, CASE WHEN topic IS NULL THEN 'topic' END], lambda v: v IS NOT NULL), ',') AS missing FROM y WHERE mail IS NOT NULL OR numbers <> '' OR secret IS NOT NULL OR topic IS NOT NULL""")
+def extract_objects(spark, sf):
+    spec = compile_spec(Notice)
+    out = objects(extract(table(spark, sf, "documents").select("doc_id", "text"), spec), spec)
+    return out.withColumns({"numbers": F.array_join("numbers", ","), "missing": F.array_join("missing", ",")})
+
+
+@_query(f"""{_NOTICE} SELECT doc_id, 'secret' AS field_id, CASE WHEN len(t) = 0 THEN 'no_candidates' ELSE 'ambiguous' END AS code FROM x WHERE len(t) <> 1
+    UNION ALL SELECT doc_id, 'mail' AS field_id, CASE WHEN len(m) = 0 THEN 'no_candidates' ELSE 'ambiguous' END AS code FROM x WHERE len(m) <> 1
+    UNION ALL SELECT doc_id, 'numbers', 'no_candidates' FROM x WHERE len(n) = 0 UNION ALL SELECT doc_id, 'numbers', 'field_failure' FROM x, unnest(n) AS u(v) WHERE try_cast(v AS BIGINT) IS NULL
+    UNION ALL SELECT doc_id, 'topic', 'abstained' FROM x WHERE legal = about""")
+def extract_negatives(spark, sf):
+    return extract(table(spark, sf, "documents").select("doc_id", "text"), compile_spec(Notice)).negatives.select("doc_id", "field_id", "code")
+
+
+@_query("""SELECT 'd' || (event_id % 50) AS producer, 'v' || (event_id % 3) AS captured, CASE WHEN event_id % 5 <> 0 THEN 'v' || (event_id % 2) END AS live FROM events WHERE event_id < 50 AND NOT ('v' || (event_id % 3) IS NOT DISTINCT FROM CASE WHEN event_id % 5 <> 0 THEN 'v' || (event_id % 2) END)""")
+def s9_version_drift(spark, sf):
+    e = table(spark, sf, "events").where("event_id < 50")
+    name = F.concat(F.lit("d"), (F.col("event_id") % 50).cast("string")).alias("producer")
+    version = lambda k: F.concat(F.lit("v"), (F.col("event_id") % k).cast("string")).alias("version")
+    return store.version_drift(e.select(name, version(3)), e.where("event_id % 5 <> 0").select(name, version(2)))
+
+
+@_query("""(SELECT o_custkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0 EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 4 <> 0)
+    UNION ALL (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 4 <> 0 EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0)""".replace("(SELECT o_custkey AS k", "SELECT k, v, 'left' AS side FROM (SELECT o_custkey AS k", 1).replace("UNION ALL (SELECT", "UNION ALL SELECT *, 'right' FROM (SELECT"))
+def s10_differences(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    return store.differences(o.where("o_orderkey % 3 <> 0").drop("o_orderkey"), o.where("o_orderkey % 4 <> 0").drop("o_orderkey"))
+
+
+@_query("SELECT sha256(to_json(text)::VARCHAR) AS hash, text AS prompt FROM (SELECT DISTINCT text FROM conversations)")
+def s13_prompts(spark, sf):
+    return store.record_prompts(table(spark, sf, "conversations").select(F.col("text").alias("prompt")))
