@@ -150,3 +150,22 @@ def counts_by_kind(diffs: DataFrame) -> DataFrame:
 def alignment(fixtures: DataFrame, replays: DataFrame) -> DataFrame:
     """(case_id, replay_id, status): fixtures and the replays of their case; comparability_failed without one."""
     return fixtures.select("case_id").join(replays.select("case_id", "replay_id"), "case_id", "left").withColumn("status", F.when(F.col("replay_id").isNull(), STATUSES[2]).otherwise(STATUSES[0]))
+
+
+def candidate_summaries(found: DataFrame) -> DataFrame:
+    """(case_id, field_id, n, kept, summary): each set's candidates as one line, in order."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text", "byte_start", "byte_end"))), lambda x: F.concat(x["text"], F.lit("@"), x["byte_start"], F.lit("-"), x["byte_end"]))
+    return found.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.array_join(line, "; ").alias("summary"))
+
+
+def smoke(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(case_id, matched, differences): cases of either side, and whether nothing differs."""
+    cases = expected.select("case_id").union(actual.select("case_id")).distinct()
+    n = diff_instances(expected, actual).groupBy("case_id").agg(F.count("*").alias("n"))
+    return cases.join(n, "case_id", "left").select("case_id", F.col("n").isNull().alias("matched"), F.coalesce("n", F.lit(0)).alias("differences"))
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """Decimals, dates and times as strings, dates in ISO form; other types stay."""
+    plain = lambda c, t: F.col(c).cast("string").alias(c) if t.startswith(("decimal", "date", "timestamp")) else F.col(c)
+    return df.select(*(plain(c, t) for c, t in df.dtypes))

@@ -737,3 +737,122 @@ def s10_differences(spark, sf):
 @_query("SELECT sha256(to_json(text)::VARCHAR) AS hash, text AS prompt FROM (SELECT DISTINCT text FROM conversations)")
 def s13_prompts(spark, sf):
     return store.record_prompts(table(spark, sf, "conversations").select(F.col("text").alias("prompt")))
+
+
+# prompts, and what else has a relation of its own
+
+from pyspark.sql import Window  # noqa: E402
+
+from .operators import prompts as pr  # noqa: E402
+
+
+@_query("""p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field_id ORDER BY seq) AS k FROM cands), g AS (SELECT doc_id, field_id, string_agg('c' || lpad(k::VARCHAR, 3, '0') || ' | ' || text || ' | ' || context, chr(10) ORDER BY seq) AS l, count(*) AS presented FROM p GROUP BY ALL),
+    q AS (SELECT *, 'Choose from the candidates by id, or abstain.' || chr(10) || CASE field_id WHEN 'amount' THEN 'The amount.' ELSE field_id END || chr(10) || l AS prompt FROM g)
+    SELECT doc_id, field_id, prompt, presented, length(prompt)::INTEGER AS prompt_chars, sha256(to_json(prompt)::VARCHAR) AS prompt_hash FROM q""")
+def d9_render(spark, sf):
+    return pr.render(base(spark, sf, "cands"), {"amount": "The amount."})
+
+
+@_query("""p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field_id ORDER BY seq) AS k FROM cands) SELECT doc_id, field_id, coalesce(string_agg(candidate_id, ',' ORDER BY k DESC) FILTER (WHERE k IN (1, 2)), '') AS ids, CASE WHEN count(*) < 2 THEN 'c002' ELSE '' END AS unknown FROM p GROUP BY ALL""")
+def d8_translate(spark, sf):
+    c = base(spark, sf, "cands")
+    answers = c.select("doc_id", "field_id").distinct().withColumn("prompt_ids", F.array(F.lit("c002"), F.lit("c001")))
+    return pr.translate(answers, c).select("doc_id", "field_id", F.array_join("selected_candidate_ids", ",").alias("ids"), F.array_join("unknown", ",").alias("unknown"))
+
+
+@_query("SELECT doc_id, field_id, min(candidate_id ORDER BY byte_start, seq) AS candidate_id FROM (SELECT doc_id, field_id, first(candidate_id ORDER BY byte_start, seq) AS candidate_id, 0 AS byte_start, 0 AS seq FROM cands GROUP BY ALL) GROUP BY ALL")
+def d17_tournament(spark, sf):
+    best = Window.partitionBy("doc_id", "field_id", "shard").orderBy("byte_start", "seq")
+    select = lambda df: df.withColumn("__k", F.row_number().over(best)).where("__k = 1").drop("__k")
+    shards = base(spark, sf, "cands").select("doc_id", "field_id", "seq", "candidate_id", "byte_start", (F.col("seq") % 4).cast("int").alias("shard"))
+    return pr.tournament(shards, select, lambda df: df.persist()).select("doc_id", "field_id", "candidate_id")
+
+
+@_query("""a AS (SELECT doc_id, field_id, k, outcome FROM obs WHERE field_id <> 'one') SELECT o.doc_id, o.field_id, o.k::BIGINT AS presented, coalesce(a.k, 0) AS selected, coalesce(a.outcome = 'ABSTAINED', false) AS abstained, a.k IS NOT NULL AS answered FROM obs o LEFT JOIN a ON o.doc_id = a.doc_id AND o.field_id = a.field_id""")
+def d28_diagnostics(spark, sf):
+    o, _ = _observations(spark, sf)
+    return pr.diagnostics(o.select("doc_id", "field_id", F.col("k").cast("long").alias("presented")), o.where("field_id <> 'one'"))
+
+
+@_query("""c AS (SELECT doc_id, list(seq % 3 ORDER BY seq) AS l FROM cands GROUP BY ALL), d AS (SELECT doc_id, len(l) AS n, len(list_distinct(l)) AS u, list_contains(l, 2) AS x FROM c) SELECT doc_id, CASE WHEN u < n THEN 'duplicate' ELSE 'unknown' END AS violation FROM d WHERE u < n OR x""")
+def p11_proposer_contract(spark, sf):
+    c = base(spark, sf, "cands")
+    chosen = c.groupBy("doc_id").agg(F.collect_list((F.col("seq") % 3).cast("int")).alias("instances"))
+    return pr.proposer_violation(chosen, c.select("doc_id").distinct().crossJoin(spark.range(2).select(F.col("id").cast("int").alias("instance"))))
+
+
+@_query("""x AS (SELECT doc_id, field_id, seq, candidate_id, seq % 3 = 0 AS ab FROM cands) SELECT doc_id, field_id, string_agg(candidate_id, ',' ORDER BY seq) AS ids, bool_and(ab) AS abstain, bool_or(ab) AND NOT bool_and(ab) AS mixed FROM x GROUP BY ALL""")
+def d6_coalesced(spark, sf):
+    answers = base(spark, sf, "cands").select("doc_id", "field_id", "seq", F.array("candidate_id", "candidate_id").alias("selected_candidate_ids"), (F.col("seq") % 3 == 0).alias("abstain"))
+    return sel.coalesced(answers).select("doc_id", "field_id", F.array_join("selected_candidate_ids", ",").alias("ids"), "abstain", "mixed")
+
+
+@_query("""a AS (SELECT doc_id, field_id, outcome, k + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS g FROM obs WHERE doc_id % 5 <> 0)
+    SELECT o.doc_id, o.field_id, coalesce(o.k = a.g, false) AS ids_match, (o.outcome = 'ABSTAINED') = coalesce(a.outcome = 'ABSTAINED', false) AS abstain_match, coalesce(o.k = a.g, false) AND (o.outcome = 'ABSTAINED') = coalesce(a.outcome = 'ABSTAINED', false) AS passed FROM obs o LEFT JOIN a ON o.doc_id = a.doc_id AND o.field_id = a.field_id""")
+def d20_score_observations(spark, sf):
+    o, _ = _observations(spark, sf)
+    more = F.when(F.col("doc_id") % 7 == 0, F.concat("selected_candidate_ids", F.array(F.lit("x")))).otherwise(F.col("selected_candidate_ids"))
+    return sel.score_observations(o, o.where("doc_id % 5 <> 0").withColumn("selected_candidate_ids", more))
+
+
+@_query("""v AS (SELECT doc_id, field_id, outcome, k FROM obs WHERE outcome <> 'ABSTAINED') SELECT doc_id, field_id, (i - 1)::INTEGER AS "position", i::INTEGER AS byte_start, (i + 5)::INTEGER AS byte_end FROM v, unnest(range(1, k + 1)) AS t(i)""")
+def g16_advisory_anchors(spark, sf):
+    o, _ = _observations(spark, sf)
+    c = o.select("doc_id", "field_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i")).select("doc_id", "field_id", F.concat(F.lit("c"), "i").alias("candidate_id"), F.col("i").alias("byte_start"), (F.col("i") + 5).alias("byte_end"))
+    return ins.advisory_anchors(o, c)
+
+
+@_query("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) - 1)::INTEGER AS ordinal, seq AS instance, text FROM cands")
+def g17_plan_from_selection(spark, sf):
+    c = base(spark, sf, "cands").select("doc_id", F.col("seq").alias("instance"), "text")
+    chosen = c.groupBy("doc_id").agg(F.sort_array(F.collect_list("instance"), asc=False).alias("instances"))
+    return ins.plan_from_selection(chosen, c)
+
+
+@_query("SELECT p_type AS spec_id, p_partkey AS ordinal, (row_number() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_partkey) - 1)::INTEGER AS place FROM part WHERE p_partkey % 2 = 0")
+def g15_boundary_order(spark, sf):
+    fields = table(spark, sf, "part").select(F.col("p_type").alias("spec_id"), F.col("p_partkey").alias("ordinal"), F.col("p_size").alias("priority"), (F.col("p_partkey") % 2 == 0).alias("boundary_defining"))
+    return ins.boundary_order(fields).select("spec_id", "ordinal", "place")
+
+
+def _authority(name: str, function, code: int) -> None:
+    @_query(f"{_AUTHORITY} SELECT doc_id, field_id, seq, n = 1 AS decisive, n AS buckets FROM s WHERE a = {code}", name)
+    def run(spark, sf):
+        return function(spark.sql(_FIELDS, cands=base(spark, sf, "cands")), base(spark, sf, "keys")).select("doc_id", "field_id", "seq", "decisive", "buckets")
+
+
+_authority("g3_boundary", ins.by_boundary, 1)
+_authority("g4_continuity", ins.by_continuity, 2)
+_authority("g5_cooccurrence", ins.by_cooccurrence, 3)
+_authority("g6_prior", ins.by_prior, 4)
+
+
+@_query("r AS (" + _RAW.replace("{orders}", "orders") + ") SELECT doc_id, kind AS field_id, 'validation' AS category, 'field_failure' AS code, 'field_failure' AS reason, 1 AS candidate_count FROM r WHERE (kind = 'int' AND raw_value = '20 items') OR (kind = 'date' AND raw_value <> '2020-04-13') OR (kind = 'bool' AND raw_value = 'maybe')")
+def v7_failures(spark, sf):
+    return va.failures(va.layer2(spark.sql(_RAW, orders=table(spark, sf, "orders")).withColumn("field_id", F.col("kind"))))
+
+
+@_query("SELECT case_id, field_id, count(*) AS n, count(*) FILTER (WHERE kept) AS kept, string_agg(text || '@' || byte_start || '-' || byte_end, '; ' ORDER BY seq) AS summary FROM found GROUP BY ALL")
+def e16_summaries(spark, sf):
+    return sc.candidate_summaries(base(spark, sf, "found"))
+
+
+@_query(f"{_DIFF}, c AS (SELECT case_id FROM expected UNION SELECT case_id FROM actual), k AS (SELECT case_id, count(*) AS n FROM diffs GROUP BY ALL) SELECT c.case_id, n IS NULL AS matched, coalesce(n, 0) AS differences FROM c LEFT JOIN k ON c.case_id = k.case_id")
+def e15_smoke(spark, sf):
+    return sc.smoke(base(spark, sf, "expected"), base(spark, sf, "actual"))
+
+
+@_query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, printf('%.2f', o_totalprice) AS price FROM orders")
+def e14_json_safe(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    return sc.json_safe(o)
+
+
+@_query("SELECT conv_id, turn, text AS payload, CASE WHEN turn % 2 = 0 THEN 'ok' ELSE 'failed' END AS status FROM conversations")
+def s17_batch_round_trip(spark, sf):
+    c = table(spark, sf, "conversations")
+    ok = F.to_json(F.struct(F.concat_ws(":", "conv_id", "turn").alias("custom_id"), F.struct(F.lit(200).alias("status_code"), F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response")))
+    failed = F.to_json(F.struct(F.concat_ws(":", "conv_id", "turn").alias("custom_id"), F.struct(F.col("text").alias("message")).alias("error")))
+    parsed = store.parse_batch(c.select(F.when(F.col("turn") % 2 == 0, ok).otherwise(failed).alias("value")))
+    part = F.split("request_id", ":")
+    return parsed.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "payload", "status")
