@@ -113,6 +113,14 @@ def project(x: np.ndarray, weights: Weights) -> np.ndarray:
     return np.matmul(x, weights["w"]) + weights["b"]
 
 
+def project_words(words: Words, which: np.ndarray, weights: Weights, size: int = 1 << 13) -> np.ndarray:
+    """Projections of many words, in parts that bound the memory of their characters."""
+    out = np.empty((2, len(which), 3 * HIDDEN), np.float32)
+    for at in range(0, len(which), size):
+        out[:, at : at + size] = project(inputs(words, which[at : at + size], weights), weights)
+    return out
+
+
 def run(projected: np.ndarray, number: np.ndarray, there: np.ndarray, weights: Weights, keep: bool = False):
     """Logits of the windows; keep: also all that the backward pass needs."""
     n, h = len(number), HIDDEN
@@ -216,7 +224,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = S
     rounds, order, begin, top = 0, np.arange(len(words.window_doc)), first, count
     for epoch in range(epochs):
         if epoch >= 2 and epoch % 3 == 2:
-            logits = score_windows(words, project(inputs(words, every, weights), weights), weights)
+            logits = score_windows(words, project_words(words, every, weights), weights)
             order, begin, top = ranked(words, logits, len(texts))
         for at in range(0, len(usable), BATCH):
             if at == 0:
@@ -234,7 +242,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = S
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g * g - square[k])
                 weights[k] -= (rate * (mean[k] / (1 - 0.9**rounds)) / (np.sqrt(square[k] / (1 - 0.99**rounds)) + 1e-6)).astype(np.float32)
-    scores = text_scores(words, score_windows(words, project(inputs(words, every, weights), weights), weights), len(texts))
+    scores = text_scores(words, score_windows(words, project_words(words, every, weights), weights), len(texts))
     own = held & (count > 0)
     if own.sum() < 20 or toxic[own].sum() < 3:
         own = count > 0
@@ -294,9 +302,7 @@ class Scorer:
         projected = np.empty((2, len(words.hashes), 3 * HIDDEN), np.float32)
         projected[:, known] = self.projected[:, at[known]]
         fresh = np.flatnonzero(~known)
-        for k in range(0, len(fresh), 1 << 15):
-            part = fresh[k : k + (1 << 15)]
-            projected[:, part] = project(inputs(words, part, self.weights), self.weights)
+        projected[:, fresh] = project_words(words, fresh, self.weights)
         if len(self.hashes) + len(fresh) > KEPT_WORDS:
             self.hashes, self.projected = words.hashes[:KEPT_WORDS], projected[:, :KEPT_WORDS]
         elif len(fresh):
@@ -322,7 +328,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Weights, float]:
     texts, toxic = training_texts(docs, labels)
     key = (hash(tuple(texts)), toxic.tobytes())
     if key not in _fitted:
-        _fitted.clear()
+        while len(_fitted) >= 4:
+            del _fitted[next(iter(_fitted))]
         _fitted[key] = fit(texts, toxic)
     return _fitted[key]
 
