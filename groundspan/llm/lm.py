@@ -7,7 +7,11 @@ sentence. Suffixes go to the shard of their first two words, so that a query nee
 the queries, each leaving itself out. A shard sorts its suffixes and finds every query's interval by binary search,
 word by word, until it holds nothing but the query; the interval before that gives the counts. They are smoothed
 with word frequencies, which are summed over all partitions in a table of fixed size.
-Positions travel in compressed blocks; only sums for each document come back.
+
+A first pass finds, from hashes in sorted order, which contexts of two and of four words occur once only: no suffix goes
+farther than that, so those positions need no shard, or send three words. Parts of the documents hold the answers
+as one bit for each hash; a part that doesn't find its own sends everything, with the same result. Positions
+travel in compressed blocks; only sums for each document come back.
 """
 
 from __future__ import annotations
@@ -17,19 +21,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, byte_table, in_arrow, mix, plain, span_hashes, spans, steps, text_bytes
+from .common import ALNUM, byte_table, mix, new_path, plain, span_hashes, spans, steps, text_bytes
 
 SENTENCE = 64
 #: Weight of the word frequencies against the counts of a context.
 SMOOTHING = 1.0
 #: Words share this number of frequencies by their hash.
 BUCKETS = 1 << 17
-#: Positions that a shard is meant to have, and that a task gathers before it sends blocks.
-SHARD_POSITIONS, GATHER = 1 << 20, 1 << 20
+#: Positions that a shard is meant to have, and that a task gathers as one part before it sends blocks.
+SHARD_POSITIONS, GATHER = 1 << 21, 1 << 21
+#: Bits of the first pass's hashes beyond those that number the positions: one in 2 ** SPARE contexts is taken for repeated that isn't.
+SPARE = 9
 #: The word before a sentence.
 BEGIN = 1
 
@@ -64,72 +73,167 @@ def _frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _planes(values: np.ndarray) -> list[bytes]:
-    wide = values.astype(np.uint32)
+    wide = np.ascontiguousarray(values.astype(np.uint32))
     return [np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 4)[:, k]).tobytes() for k in range(4)]
 
 
+def _join(fields: list[bytes]) -> bytes:
+    pressed = [zstandard.compress(f, 3) for f in fields]
+    return struct.pack(f"<{len(pressed)}I", *map(len, pressed)) + b"".join(pressed)
+
+
+def _split(block: bytes, n: int) -> list[bytes]:
+    fields, at = [], 4 * n
+    for size in struct.unpack_from(f"<{n}I", block):
+        fields.append(zstandard.decompress(block[at : at + size]))
+        at += size
+    return fields
+
+
+def _values(planes: list[bytes]) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([np.frombuffer(f, np.uint8) for f in planes], 1)).view(np.uint32).ravel()
+
+
 def pack(doc: np.ndarray, word: np.ndarray, length: np.ndarray, context: np.ndarray, ids: np.ndarray) -> bytes:
     """A block: positions' documents (into ids), words, context lengths and contexts one after another."""
     words, number, count = np.unique(np.concatenate([word, context]), return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
+    order = np.lexsort((words, -count))  # frequent words have small numbers; equally frequent ones are in order
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     number = place[number]
     used, own = np.unique(doc, return_inverse=True)
-    fields = [words[order].tobytes(), ids[used].tobytes(), *_planes(np.diff(own, prepend=0)), length.astype(np.uint8).tobytes(), *_planes(number[: len(word)]), *_planes(number[len(word) :])]
-    pressed = [zstandard.compress(f, 3) for f in fields]
-    return struct.pack(f"<{len(pressed)}I", *map(len, pressed)) + b"".join(pressed)
+    fields = [ids[used].tobytes(), *_planes(np.diff(words[order], prepend=np.uint32(0))), *_planes(np.diff(own, prepend=0)), length.astype(np.uint8).tobytes(), *_planes(number[: len(word)]), *_planes(number[len(word) :])]
+    return _join(fields)
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, ...]:
     """(doc_id, word, length, context) of a block."""
-    fields, at = [], 4 * 15
-    for size in struct.unpack_from("<15I", block):
-        fields.append(zstandard.decompress(block[at : at + size]))
-        at += size
-    planes = lambda four: np.ascontiguousarray(np.stack([np.frombuffer(f, np.uint8) for f in four], 1)).view(np.uint32).ravel()
-    words = np.frombuffer(fields[0], np.uint32)
-    ids = np.frombuffer(fields[1], np.int64)
-    return ids[np.cumsum(planes(fields[2:6]))], words[planes(fields[7:11])], np.frombuffer(fields[6], np.uint8).astype(np.int64), words[planes(fields[11:15])]
+    fields = _split(block, 18)
+    words = np.cumsum(_values(fields[1:5]), dtype=np.uint32)
+    ids = np.frombuffer(fields[0], np.int64)
+    return ids[np.cumsum(_values(fields[5:9]))], words[_values(fields[10:14])], np.frombuffer(fields[9], np.uint8).astype(np.int64), words[_values(fields[14:18])]
 
 
-def contexts(word: np.ndarray, inside: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and words of the contexts of some positions, backwards, with BEGIN last; the first of a sentence has none."""
-    length = np.where(inside[which] > 0, inside[which] + 1, 0)
+def contexts(word: np.ndarray, inside: np.ndarray, which: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The given numbers of words of the contexts of some positions, backwards; BEGIN stands before a sentence."""
     k = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     at = np.repeat(which, length) - 1 - k
-    return length, np.where(k == np.repeat(length, length) - 1, np.uint32(BEGIN), word[np.maximum(at, 0)])
-
-
-def _block_rows(shards: int):
-    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        texts = np.cumsum([0] + [len(p[0]) for p in parts])
-        ids = np.concatenate([p[0] for p in parts])
-        doc = np.concatenate([p[1] + t for p, t in zip(parts, texts)])
-        word, inside = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
-        if not len(word):
-            return
-        one = np.append(np.uint32(0), word[:-1]).astype(np.uint64)
-        two = np.where(inside > 1, np.append(np.zeros(min(2, len(word)), np.uint32), word[:-2]), np.uint32(BEGIN)).astype(np.uint64)
-        shard = (mix(np.where(inside > 0, one << np.uint64(32) | two, word.astype(np.uint64))) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        for k in range(shards):
-            if len(own := order[cuts[k] : cuts[k + 1]]):
-                block = pack(doc[own], word[own], *contexts(word, inside, own), ids)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+    return np.where(k == np.repeat(inside[which], length), np.uint32(BEGIN), word[np.maximum(at, 0)])
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """A partition's documents in parts of about GATHER words: number, (ids, text of each word, words, places)."""
+    task = TaskContext.get()
+    number, gathered, size = (task.partitionId() if task else 0) << 20, [], 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        texts = np.cumsum([0] + [len(p[0]) for p in gathered])
+        docs = [p[1] + t for p, t in zip(gathered, texts)]
+        return np.concatenate([p[0] for p in gathered]), np.concatenate(docs), *(np.concatenate([p[k] for p in gathered]) for k in (2, 3))
+
+    for batch in batches:
+        for step in steps(batch):
+            gathered.append((step.column("doc_id").to_numpy(), *positions(*text_bytes(step.column("text")))))
+            size += len(gathered[-1][1])
+            if size >= GATHER:
+                yield number, joined()
+                number, gathered, size = number + 1, [], 0
+    if size:
+        yield number, joined()
+
+
+def _back(word: np.ndarray, inside: np.ndarray, k: int) -> np.ndarray:
+    """The word k places before each; BEGIN where that is before the sentence."""
+    out = np.zeros(len(word), np.uint64)
+    out[k:] = word[: len(word) - k]
+    out[inside < k] = BEGIN
+    return out
+
+
+def pairs(word: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """A hash of the two words before each position that isn't the first of its sentence."""
+    return mix(_back(word, inside, 1) << np.uint64(32) | _back(word, inside, 2))
+
+
+def keys(word: np.ndarray, inside: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, how often each, position, position's hash's place, hash of two words or of four) over contexts of two and of four words."""
+    two, four = np.flatnonzero(inside > 0), np.flatnonzero(inside > 2)
+    h = pairs(word, inside)
+    longer = mix(h[four] ^ mix((_back(word, inside, 3) << np.uint64(32) | _back(word, inside, 4))[four] + np.uint64(7)))
+    found, place, count = np.unique(np.concatenate([h[two], longer]) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+    return found, count, two, four, place
+
+
+def _key_rows(bits: int, ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, (_, _, word, inside) in parts(batches):
+            found, count, *_ = keys(word, inside, bits)
+            of = (found >> np.uint64(bits - ranges)).astype(np.int64)
+            cuts = np.searchsorted(of, np.arange((1 << ranges) + 1))
+            for k in range(1 << ranges):
+                if len(own := found[cuts[k] : cuts[k + 1]]):
+                    low = own & np.uint64((1 << bits - ranges) - 1)
+                    step = np.diff(low, prepend=np.uint64(0))
+                    block = _join([*_planes(step & np.uint64(0xFFFFFFFF)), *_planes(step >> np.uint64(32)), np.packbits(count[cuts[k] : cuts[k + 1]] > 1).tobytes()])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([number], pa.int64()), pa.array([block], pa.binary())], ["range", "part", "block"])
+
+    return run
+
 
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """Of a range of hashes: for each part one bit for each of its hashes, whether it occurs again, in that part or another."""
+    numbers, found, again = table.column("part").to_pylist(), [], []
+    for block in table.column("block").to_pylist():
+        fields = _split(block, 9)
+        found.append(np.cumsum(_values(fields[:4]).astype(np.uint64) | _values(fields[4:8]).astype(np.uint64) << np.uint64(32)))
+        again.append(np.unpackbits(np.frombuffer(fields[8], np.uint8), count=len(found[-1])).astype(bool))
+    _, place, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    shared = count > 1
+    shared[place[np.concatenate(again)]] = True
+    bits = np.split(shared[place], np.cumsum([len(f) for f in found])[:-1])
+    masks = [struct.pack("<I", len(b)) + zstandard.compress(np.packbits(b).tobytes(), 3) for b in bits]
+    return pa.table({"part": pa.array(numbers, pa.int64()), "range": table.column("range").combine_chunks(), "mask": pa.array(masks, pa.binary())})
+
+
+def _mask(folder: str, number: int, size: int) -> np.ndarray | None:
+    """A part's bits, in the order of its hashes; None if they aren't there or are another part's."""
+    uri = f"{folder}/part={number}"
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    try:
+        fs, path = pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+        files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.base_name.endswith(".parquet")]
+        table = pa.concat_tables([pq.read_table(fs.open_input_file(f)) for f in files]).sort_by("range")
+    except (OSError, pa.ArrowInvalid):
+        return None
+    bits = [np.unpackbits(np.frombuffer(zstandard.decompress(m[4:]), np.uint8), count=struct.unpack("<I", m[:4])[0]).astype(bool) for m in table.column("mask").to_pylist()]
+    out = np.concatenate(bits) if bits else np.zeros(0, bool)
+    return out if len(out) == size else None
+
+
+def _block_rows(shards: int, bits: int, folder: str, frequencies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for part in steps(batch):
-                parts.append((part.column("doc_id").to_numpy(), *positions(*text_bytes(part.column("text")))))
-                size += len(parts[-1][1])
-                if size >= GATHER:
-                    yield from flush(parts)
-                    parts, size = [], 0
-        if parts:
-            yield from flush(parts)
+        row = lambda k, kind, block: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.binary())], ["shard", "kind", "block"])
+        for number, (ids, doc, word, inside) in parts(batches):
+            found, _, two, four, place = keys(word, inside, bits)
+            shared = _mask(folder, number, len(found))
+            if shared is None:
+                shared = np.ones(len(found), bool)
+            length = np.zeros(len(word), np.int64)
+            length[two[shared[place[: len(two)]]]] = 3
+            length[four[shared[place[len(two) :]]]] = SENTENCE + 1
+            length = np.minimum(length, inside + 1)
+            alone = np.flatnonzero(length == 0)
+            of, n = np.unique(doc[alone], return_inverse=True)
+            sums = [ids[of].tobytes(), np.bincount(n, minlength=len(of)).tobytes(), np.bincount(n, -np.log2(probabilities(0, 0, frequencies.value[_bucket(word[alone])])), len(of)).tobytes()]
+            yield row(number % shards, 1, _join(sums))
+            sent = np.flatnonzero(length)
+            shard = (pairs(word, inside)[sent] % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            for k in range(shards):
+                if len(own := sent[order[cuts[k] : cuts[k + 1]]]):
+                    yield row(k, 0, pack(doc[own], word[own], length[own], contexts(word, inside, own, length[own]), ids))
 
     return run
 
@@ -164,13 +268,28 @@ def probabilities(total: np.ndarray, same: np.ndarray, frequency: np.ndarray) ->
     return (same + SMOOTHING * frequency) / (total + SMOOTHING)
 
 
-def _score_shard(frequencies) -> object:
+def _score_shard(frequencies):
     def run(table: pa.Table) -> pa.Table:
-        doc, word, length, context = (np.concatenate(x) for x in zip(*(unpack(b) for b in table.column("block").to_pylist())))
-        best, total, same = search(word, length, context)
-        bits = -np.log2(probabilities(total, same, frequencies.value[_bucket(word)]))
-        ids, number = np.unique(doc, return_inverse=True)
-        return pa.table({"doc_id": ids, "words": np.bincount(number), "bits": np.bincount(number, bits), "context": np.bincount(number, best).astype(np.int64)})
+        rows = list(zip(table.column("kind").to_pylist(), table.column("block").to_pylist()))
+        ids, words, bits, used = [], [], [], []
+        for kind, block in rows:
+            if kind == 1:
+                a, n, b = _split(block, 3)
+                ids.append(np.frombuffer(a, np.int64))
+                words.append(np.frombuffer(n, np.int64))
+                bits.append(np.frombuffer(b, np.float64))
+                used.append(np.zeros(len(ids[-1]), np.int64))
+        if blocks := [unpack(block) for kind, block in rows if kind == 0]:
+            doc, word, length, context = (np.concatenate(x) for x in zip(*blocks))
+            del blocks
+            best, total, same = search(word, length, context)
+            own = -np.log2(probabilities(total, same, frequencies.value[_bucket(word)]))
+            of, number = np.unique(doc, return_inverse=True)
+            ids.append(of)
+            words.append(np.bincount(number))
+            bits.append(np.bincount(number, own))
+            used.append(np.bincount(number, best).astype(np.int64))
+        return pa.table({k: np.concatenate(v) for k, v in (("doc_id", ids), ("words", words), ("bits", bits), ("context", used))})
 
     return run
 
@@ -191,7 +310,12 @@ def scores(docs: DataFrame) -> DataFrame:
     frequency[counts["bucket"].to_numpy(np.int64)] += counts["n"].to_numpy(np.float64)
     shared = spark.sparkContext.broadcast(frequency / (n + BUCKETS))
     shards = max(1, -(-n // SHARD_POSITIONS))
-    blocks = docs.mapInArrow(_block_rows(shards), "shard int, block binary")
+    bits = min(62, n.bit_length() + 1 + SPARE)
+    ranges = min(shards.bit_length(), bits - 1)
+    hashes = docs.mapInArrow(_key_rows(bits, ranges), "range int, part long, block binary")
+    masks = hashes.groupBy("range").applyInArrow(_shared_keys, "part long, range int, mask binary")
+    masks.repartition("part").write.partitionBy("part").parquet(folder := new_path(spark, "repeated-contexts"))
+    blocks = docs.mapInArrow(_block_rows(shards, bits, folder, shared), "shard int, kind int, block binary")
     sums = blocks.groupBy("shard").applyInArrow(_score_shard(shared), "doc_id long, words long, bits double, context long")
     none = docs.select("doc_id", F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("context"))
     totals = sums.unionByName(none).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("bits").alias("bits"), F.sum("context").alias("context"))
