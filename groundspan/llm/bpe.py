@@ -21,13 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import steps, text_bytes
+from .common import release, steps, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pattern of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pieces, and pairs of tokens, that a worker remembers before it starts anew.
-MEMORY = 1 << 19
+#: Distinct pieces, and pairs of tokens, that a worker remembers in each of two generations; what is used again moves to the younger.
+MEMORY = 1 << 17
 
 
 class Encoder(dict):
@@ -51,6 +51,7 @@ class Encoder(dict):
             if halves != (i, i):
                 self.merged[halves] = i
         self.fits: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, bytes] = {}
         count = max(self.of_id) + 1
         lengths = np.zeros(count, np.int64)
         for i, token in self.of_id.items():
@@ -85,7 +86,7 @@ class Encoder(dict):
                 if b + 1 == limit:
                     limit, a = a, self.split[a][1]
                     result = True if a == limit else None
-        if len(self.fits) >= MEMORY:
+        if len(self.fits) >= 2 * MEMORY:
             self.fits.clear()
         self.fits[key] = result
         return result
@@ -125,8 +126,12 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMORY:
+            self.older = dict(self)
             self.clear()
-        self[piece] = out = np.array(self.encode(piece), np.int32).tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            out = np.array(self.encode(piece), np.int32).tobytes()
+        self[piece] = out
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -181,6 +186,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
         for batch in batches:
             for part in steps(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, *encode_batch(part, path, cut)], schema.names)
+            release()
 
     return kept.mapInArrow(run, schema)
 

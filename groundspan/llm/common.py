@@ -6,6 +6,7 @@ offsets, so that no Python string is made per row unless an operator needs one.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -146,6 +147,15 @@ def chars_before(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def in_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """mapInArrow, step by step (see steps)."""
 
@@ -155,6 +165,7 @@ def in_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
                 out = function(part)
                 if out is not None and len(out):
                     yield out
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, steps
+from .common import plain, release, steps
 
 MAX_EDITS = 0.1
 GRAM = 8
@@ -284,6 +284,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value)
             for batch in batches:
+                release()
                 for part in steps(batch):
                     ids = part.column("doc_id").to_pylist()
                     texts = [normal(t) for t in part.column("text").to_pylist()]

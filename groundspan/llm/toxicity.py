@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, mix, plain, powers, span_hashes, spans, steps, text_bytes
+from .common import ALNUM, plain, release, span_hashes, spans, steps, text_bytes
 
 WINDOW, STRIDE = 64, 32
 #: A text's score is the mean of this share of its windows, the highest ones; of one at least.
@@ -356,6 +356,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in steps(batch):
                 logit = scorer(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(logit - (threshold if np.isfinite(threshold) else 0.0))), pa.array(logit >= threshold)], schema.names)
+            release()
+        del scorer
+        release()
 
     return kept.mapInArrow(run_all, schema)
 
