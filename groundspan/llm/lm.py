@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, byte_table, mix, new_path, plain, span_hashes, spans, steps, text_bytes
+from .common import ALNUM, byte_table, mix, new_path, plain, release, span_hashes, spans, steps, text_bytes
 
 SENTENCE = 64
 #: Weight of the word frequencies against the counts of a context.
@@ -36,7 +36,7 @@ SMOOTHING = 1.0
 #: Words share this number of frequencies by their hash.
 BUCKETS = 1 << 17
 #: Positions that a shard is meant to have, and that a task gathers as one part before it sends blocks.
-SHARD_POSITIONS, GATHER = 1 << 21, 1 << 21
+SHARD_POSITIONS, GATHER = 1 << 21, 1 << 20
 #: Bits of the first pass's hashes beyond those that number the positions: one in 2 ** SPARE contexts is taken for repeated that isn't.
 SPARE = 9
 #: The word before a sentence.
@@ -138,8 +138,11 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.nda
             if size >= GATHER:
                 yield number, joined()
                 number, gathered, size = number + 1, [], 0
+                release()
     if size:
         yield number, joined()
+    gathered = []
+    release()
 
 
 def _back(word: np.ndarray, inside: np.ndarray, k: int) -> np.ndarray:
@@ -289,6 +292,8 @@ def _score_shard(frequencies):
             words.append(np.bincount(number))
             bits.append(np.bincount(number, own))
             used.append(np.bincount(number, best).astype(np.int64))
+            del doc, word, length, context, best, total, same, own, number
+            release()
         return pa.table({k: np.concatenate(v) for k, v in (("doc_id", ids), ("words", words), ("bits", bits), ("context", used))})
 
     return run
