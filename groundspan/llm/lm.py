@@ -6,7 +6,8 @@ after SENTENCE words. A corpus position's suffix is its context read backwards,
 sentence. Suffixes go to the shard of their first two words, so that a query needs one shard only: the positions are
 the queries, each leaving itself out. A shard sorts its suffixes and finds every query's interval by binary search,
 word by word, until it holds nothing but the query; the interval before that gives the counts. They are smoothed
-with word frequencies, which are summed over all partitions in a table of fixed size.
+with word frequencies. Each word has its own, by its 64-bit hash: parts send their distinct words to ranges of hashes,
+and each finds the sums of its own words in a file; they travel with the positions.
 
 A first pass finds, from hashes in sorted order, which contexts of two and of four words occur once only: no suffix goes
 farther than that, so those positions need no shard, or send three words. Parts of the documents hold the answers
@@ -33,7 +34,7 @@ from .common import ALNUM, byte_table, mix, new_path, plain, release, span_hashe
 SENTENCE = 64
 #: Weight of the word frequencies against the counts of a context.
 SMOOTHING = 1.0
-#: Words share this number of frequencies by their hash.
+#: Smoothing takes the vocabulary to have at least so many words; of a larger one the number of its words.
 BUCKETS = 1 << 17
 #: Positions that a shard is meant to have, and that a task gathers as one part before it sends blocks.
 SHARD_POSITIONS, GATHER = 1 << 21, 1 << 20
@@ -45,31 +46,34 @@ BEGIN = 1
 _STOP = byte_table(b".!?\n")
 
 
-def positions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its text, its 32-bit hash, its number in its sentence."""
+def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each word: its text, its 32-bit hash, its number in its sentence, its 64-bit hash."""
     starts, ends, doc = spans(ALNUM[data], offsets)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3
-    word = (span_hashes(data, starts, ends, fold=True) >> np.uint64(32)).astype(np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    full = span_hashes(data, starts, ends, fold=True)
+    word = (full >> np.uint64(32)).astype(np.uint32)
     word[word <= BEGIN] = BEGIN + 1
     stops = np.append(0, np.cumsum(_STOP[data]))
     fresh = np.append(True, (doc[1:] != doc[:-1]) | (stops[starts[1:]] != stops[ends[:-1]]))
     number = np.arange(len(word))
     inside = number - np.maximum.accumulate(np.where(fresh, number, 0))
-    return doc, word, inside % SENTENCE
+    return doc, word, inside % SENTENCE, full
+
+
+def positions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: its text, its 32-bit hash, its number in its sentence."""
+    return hashed(data, offsets)[:3]
 
 
 def _bucket(word: np.ndarray) -> np.ndarray:
+    """The place of a word in a table of BUCKETS; only tests use it."""
     return (mix(word.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
-def _frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for part in steps(batch):
-            total += np.bincount(_bucket(positions(*text_bytes(part.column("text")))[1]), minlength=BUCKETS)
-    there = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["bucket", "n"])
+def _size_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = sum(len(spans(ALNUM[data], offsets)[0]) for batch in batches for data, offsets in (text_bytes(part.column("text")) for part in steps(batch)))
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
 
 def _planes(values: np.ndarray) -> list[bytes]:
@@ -122,18 +126,18 @@ def contexts(word: np.ndarray, inside: np.ndarray, which: np.ndarray, length: np
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """A partition's documents in parts of about GATHER words: number, (ids, text of each word, words, places)."""
+    """A partition's documents in parts of about GATHER words: number, (ids, text of each word, words, places, 64-bit hashes)."""
     task = TaskContext.get()
     number, gathered, size = (task.partitionId() if task else 0) << 20, [], 0
 
     def joined() -> tuple[np.ndarray, ...]:
         texts = np.cumsum([0] + [len(p[0]) for p in gathered])
         docs = [p[1] + t for p, t in zip(gathered, texts)]
-        return np.concatenate([p[0] for p in gathered]), np.concatenate(docs), *(np.concatenate([p[k] for p in gathered]) for k in (2, 3))
+        return np.concatenate([p[0] for p in gathered]), np.concatenate(docs), *(np.concatenate([p[k] for p in gathered]) for k in (2, 3, 4))
 
     for batch in batches:
         for step in steps(batch):
-            gathered.append((step.column("doc_id").to_numpy(), *positions(*text_bytes(step.column("text")))))
+            gathered.append((step.column("doc_id").to_numpy(), *hashed(*text_bytes(step.column("text")))))
             size += len(gathered[-1][1])
             if size >= GATHER:
                 yield number, joined()
@@ -169,7 +173,7 @@ def keys(word: np.ndarray, inside: np.ndarray, bits: int) -> tuple[np.ndarray, n
 
 def _key_rows(bits: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (_, _, word, inside) in parts(batches):
+        for number, (_, _, word, inside, _) in parts(batches):
             found, count, *_ = keys(word, inside, bits)
             of = (found >> np.uint64(bits - ranges)).astype(np.int64)
             cuts = np.searchsorted(of, np.arange((1 << ranges) + 1))
@@ -198,17 +202,96 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(numbers, pa.int64()), "range": table.column("range").combine_chunks(), "mask": pa.array(masks, pa.binary())})
 
 
-def _mask(folder: str, number: int, size: int) -> np.ndarray | None:
-    """A part's bits, in the order of its hashes; None if they aren't there or are another part's."""
-    uri = f"{folder}/part={number}"
+def _word_rows(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, (*_, full) in parts(batches):
+            found, count = np.unique(full, return_counts=True)
+            cuts = np.searchsorted((found >> np.uint64(63 - ranges)) >> np.uint64(1), np.arange((1 << ranges) + 1, dtype=np.uint64))
+            for k in range(1 << ranges):
+                if len(own := found[cuts[k] : cuts[k + 1]]):
+                    step = np.diff(own, prepend=np.uint64(0))
+                    block = _join([*_planes(step & np.uint64(0xFFFFFFFF)), *_planes(step >> np.uint64(32)), count[cuts[k] : cuts[k + 1]].tobytes()])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([number], pa.int64()), pa.array([block], pa.binary())], ["range", "part", "block"])
+
+    return run
+
+
+def _word_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words, in order, and their numbers."""
+    fields = _split(block, 9)
+    step = _values(fields[:4]).astype(np.uint64) | _values(fields[4:8]).astype(np.uint64) << np.uint64(32)
+    return np.cumsum(step), np.frombuffer(fields[8], np.int64)
+
+
+def _word_sums(table: pa.Table) -> pa.Table:
+    """Of a range of words: each part's words with their numbers in all parts; distinct, in one row: how many words the range has."""
+    blocks = table.column("block").to_pylist()
+    found, counts = zip(*map(_word_block, blocks))
+    words, place = np.unique(np.concatenate(found), return_inverse=True)
+    total = np.zeros(len(words), np.int64)
+    np.add.at(total, place, np.concatenate(counts))
+    sums = np.split(total[place], np.cumsum([len(f) for f in found])[:-1])
+    out = [_join([*_split(block, 9)[:8], own.tobytes()]) for block, own in zip(blocks, sums)]
+    distinct = np.append(len(words), np.zeros(len(blocks) - 1, np.int64))
+    return pa.table({"part": table.column("part").combine_chunks(), "range": table.column("range").combine_chunks(), "block": pa.array(out, pa.binary()), "distinct": pa.array(distinct, pa.int64())})
+
+
+def _counts(folder: str, number: int, full: np.ndarray) -> np.ndarray:
+    """How often each of a part's words occurs in all texts; if the part's own file is another's, from all files."""
+    words, place = np.unique(full, return_inverse=True)
+    table = _part(folder, number)
+    if table is not None:
+        found, count = (np.concatenate(x) for x in zip(*map(_word_block, table.column("block").to_pylist())))
+        if np.array_equal(found, words):
+            return count[place]
+    out = np.zeros(len(words), np.int64)
+    fs, path = _files(folder)
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True)):
+        if f.base_name.endswith(".parquet"):
+            for block in pq.read_table(fs.open_input_file(f.path), columns=["block"]).column("block").to_pylist():
+                found, count = _word_block(block)
+                at = np.minimum(np.searchsorted(words, found), len(words) - 1)
+                known = words[at] == found
+                out[at[known]] = count[known]
+    if not out.all():
+        raise RuntimeError("words that weren't counted: the documents differ between two readings")
+    return out[place]
+
+
+def _pack_counts(word: np.ndarray, count: np.ndarray) -> bytes:
+    """The counts of a block's positions: one for each 32-bit hash, and those of positions whose word shares it with another."""
+    _, first, place = np.unique(word, return_index=True, return_inverse=True)
+    other = np.flatnonzero(count[first][place] != count)
+    return _join([count[first].tobytes(), other.tobytes(), count[other].tobytes()])
+
+
+def _unpack_counts(word: np.ndarray, block: bytes) -> np.ndarray:
+    each, other, own = (np.frombuffer(f, np.int64) for f in _split(block, 3))
+    out = each[np.unique(word, return_inverse=True)[1]]
+    out[other] = own
+    return out
+
+
+def _files(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
+    return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def _part(folder: str, number: int) -> pa.Table | None:
+    """A part's rows in the order of the ranges; None if they aren't there."""
     try:
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+        fs, path = _files(f"{folder}/part={number}")
         files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.base_name.endswith(".parquet")]
-        table = pa.concat_tables([pq.read_table(fs.open_input_file(f)) for f in files]).sort_by("range")
+        return pa.concat_tables([pq.read_table(fs.open_input_file(f)) for f in files]).sort_by("range")
     except (OSError, pa.ArrowInvalid):
         return None
+
+
+def _mask(folder: str, number: int, size: int) -> np.ndarray | None:
+    """A part's bits, in the order of its hashes; None if they aren't there or are another part's."""
+    if (table := _part(folder, number)) is None:
+        return None
     bits = [np.unpackbits(np.frombuffer(zstandard.decompress(m[4:]), np.uint8), count=struct.unpack("<I", m[:4])[0]).astype(bool) for m in table.column("mask").to_pylist()]
     out = np.concatenate(bits) if bits else np.zeros(0, bool)
     return out if len(out) == size else None
@@ -216,8 +299,11 @@ def _mask(folder: str, number: int, size: int) -> np.ndarray | None:
 
 def _block_rows(shards: int, bits: int, folder: str, frequencies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = lambda k, kind, block: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.binary())], ["shard", "kind", "block"])
-        for number, (ids, doc, word, inside) in parts(batches):
+        row = lambda k, kind, block, counts=None: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.binary()), pa.array([counts], pa.binary())], ["shard", "kind", "block", "counts"])
+        folder_of_words, words = frequencies
+        for number, (ids, doc, word, inside, full) in parts(batches):
+            count = _counts(folder_of_words, number, full)
+            del full
             found, _, two, four, place = keys(word, inside, bits)
             shared = _mask(folder, number, len(found))
             if shared is None:
@@ -228,7 +314,7 @@ def _block_rows(shards: int, bits: int, folder: str, frequencies):
             length = np.minimum(length, inside + 1)
             alone = np.flatnonzero(length == 0)
             of, n = np.unique(doc[alone], return_inverse=True)
-            sums = [ids[of].tobytes(), np.bincount(n, minlength=len(of)).tobytes(), np.bincount(n, -np.log2(probabilities(0, 0, frequencies.value[_bucket(word[alone])])), len(of)).tobytes()]
+            sums = [ids[of].tobytes(), np.bincount(n, minlength=len(of)).tobytes(), np.bincount(n, -np.log2(probabilities(0, 0, frequency(count[alone], words))), len(of)).tobytes()]
             yield row(number % shards, 1, _join(sums))
             sent = np.flatnonzero(length)
             shard = (pairs(word, inside)[sent] % np.uint64(shards)).astype(np.int32)
@@ -236,7 +322,7 @@ def _block_rows(shards: int, bits: int, folder: str, frequencies):
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             for k in range(shards):
                 if len(own := sent[order[cuts[k] : cuts[k + 1]]]):
-                    yield row(k, 0, pack(doc[own], word[own], length[own], contexts(word, inside, own, length[own]), ids))
+                    yield row(k, 0, pack(doc[own], word[own], length[own], contexts(word, inside, own, length[own]), ids), _pack_counts(word[own], count[own]))
 
     return run
 
@@ -267,32 +353,38 @@ def search(word: np.ndarray, length: np.ndarray, context: np.ndarray) -> tuple[n
     return best, total, same
 
 
+def frequency(count: np.ndarray, words: float) -> np.ndarray:
+    """Of words that occur so often; words: how many all texts have, and the vocabulary's size."""
+    return (count + 1) / words
+
+
 def probabilities(total: np.ndarray, same: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return (same + SMOOTHING * frequency) / (total + SMOOTHING)
 
 
-def _score_shard(frequencies):
+def _score_shard(n_words: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(table.column("kind").to_pylist(), table.column("block").to_pylist()))
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "block", "counts"))))
         ids, words, bits, used = [], [], [], []
-        for kind, block in rows:
+        for kind, block, _ in rows:
             if kind == 1:
                 a, n, b = _split(block, 3)
                 ids.append(np.frombuffer(a, np.int64))
                 words.append(np.frombuffer(n, np.int64))
                 bits.append(np.frombuffer(b, np.float64))
                 used.append(np.zeros(len(ids[-1]), np.int64))
-        if blocks := [unpack(block) for kind, block in rows if kind == 0]:
+        if blocks := [unpack(block) for kind, block, _ in rows if kind == 0]:
+            count = np.concatenate([_unpack_counts(b[1], c) for b, c in zip(blocks, (c for kind, _, c in rows if kind == 0))])
             doc, word, length, context = (np.concatenate(x) for x in zip(*blocks))
             del blocks
             best, total, same = search(word, length, context)
-            own = -np.log2(probabilities(total, same, frequencies.value[_bucket(word)]))
+            own = -np.log2(probabilities(total, same, frequency(count, n_words)))
             of, number = np.unique(doc, return_inverse=True)
             ids.append(of)
             words.append(np.bincount(number))
             bits.append(np.bincount(number, own))
             used.append(np.bincount(number, best).astype(np.int64))
-            del doc, word, length, context, best, total, same, own, number
+            del doc, word, count, length, context, best, total, same, own, number
             release()
         return pa.table({k: np.concatenate(v) for k, v in (("doc_id", ids), ("words", words), ("bits", bits), ("context", used))})
 
@@ -309,19 +401,20 @@ def scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = plain(docs).where("doc_id IS NOT NULL")
-    counts = docs.mapInArrow(_frequency_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = int(counts["n"].sum())
-    frequency = np.ones(BUCKETS)
-    frequency[counts["bucket"].to_numpy(np.int64)] += counts["n"].to_numpy(np.float64)
-    shared = spark.sparkContext.broadcast(frequency / (n + BUCKETS))
+    n = docs.mapInArrow(_size_rows, "n long").agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-n // SHARD_POSITIONS))
     bits = min(62, n.bit_length() + 1 + SPARE)
     ranges = min(shards.bit_length(), bits - 1)
+    found = docs.mapInArrow(_word_rows(ranges), "range int, part long, block binary")
+    counted = found.groupBy("range").applyInArrow(_word_sums, "part long, range int, block binary, distinct long")
+    counted.repartition("part").write.partitionBy("part").parquet(words := new_path(spark, "word-counts"))
+    distinct = spark.read.schema("distinct long").parquet(words).agg(F.sum("distinct")).first()[0] or 0
+    size = n + max(distinct, BUCKETS)
     hashes = docs.mapInArrow(_key_rows(bits, ranges), "range int, part long, block binary")
     masks = hashes.groupBy("range").applyInArrow(_shared_keys, "part long, range int, mask binary")
     masks.repartition("part").write.partitionBy("part").parquet(folder := new_path(spark, "repeated-contexts"))
-    blocks = docs.mapInArrow(_block_rows(shards, bits, folder, shared), "shard int, kind int, block binary")
-    sums = blocks.groupBy("shard").applyInArrow(_score_shard(shared), "doc_id long, words long, bits double, context long")
+    blocks = docs.mapInArrow(_block_rows(shards, bits, folder, (words, size)), "shard int, kind int, block binary, counts binary")
+    sums = blocks.groupBy("shard").applyInArrow(_score_shard(size), "doc_id long, words long, bits double, context long")
     none = docs.select("doc_id", F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("context"))
     totals = sums.unionByName(none).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("bits").alias("bits"), F.sum("context").alias("context"))
     per_word = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))

@@ -484,3 +484,23 @@ def test_blocks_round_trip():
     context, doc, ids = rng.integers(0, 99, length.sum()).astype(np.uint32), np.sort(rng.integers(0, 9, 300)), np.arange(9) - 4
     d, w, n, c = lm.unpack(lm.pack(doc, word, length, context, ids))
     assert np.array_equal(d, ids[doc]) and np.array_equal(w, word) and np.array_equal(n, length) and np.array_equal(c, context)
+
+
+def test_every_word_has_its_own_frequency(spark, monkeypatch):
+    names = [f"q{k}" for k in range(300_000)]
+    *_, full = lm.hashed(*common.text_bytes(pa.array(names)))
+    half = full >> np.uint64(32)
+    same_half = next(np.flatnonzero(half == v)[:2] for v, n in zip(*np.unique(half, return_counts=True)) if n > 1)
+    bucket = lm._bucket(half.astype(np.uint32))
+    alike = np.flatnonzero((bucket == bucket[0]) & (half != half[0]))[0]
+    groups = [(names[0], names[alike]), tuple(names[k] for k in same_half)]
+    folders = []
+    monkeypatch.setattr(lm, "_block_rows", lambda shards, bits, folder, f, real=lm._block_rows: folders.append(f[0]) or real(shards, bits, folder, f))
+    rows = [(i, f"{'. '.join([often] * 400)}. {rare}") for i, (often, rare) in enumerate(groups)] + [(2 + i, rare) for i, (_, rare) in enumerate(groups)]
+    got = {r.doc_id: r for r in lm.scores(frame(spark, rows)).collect()}
+    for i in (2, 3):
+        assert got[i].bits_per_word == pytest.approx(-np.log2(3 / (804 + lm.BUCKETS))), "the frequent word isn't counted"
+    *_, full = lm.hashed(*common.text_bytes(pa.array([*groups[0], *groups[1], groups[0][0]])))
+    assert lm._counts(folders[0], 1 << 50, full).tolist() == [400, 2, 400, 2, 400], "from all files if a part has none"
+    word, count = (full >> np.uint64(32)).astype(np.uint32), np.array([400, 2, 400, 2, 400])
+    assert lm._unpack_counts(word, lm._pack_counts(word, count)).tolist() == count.tolist()
