@@ -5,7 +5,8 @@ distance, case and white space aside. Candidates come from locality-sensitive ha
 walk turns a window and an item into sequences whose Hamming distance follows the edit distance, and windows that agree with an
 item in a sample of positions, in any of WALKS x SAMPLES repetitions, are verified by exact edit distance. Walks are only
 taken where a lossless count allows a match: a stretch within k edits of an item of n bytes shares
-at least n - q + 1 - k q of its q-grams, so windows with fewer q-grams of any item can't match.
+at least n - q + 1 - k q of its q-grams, so windows with fewer q-grams of any item can't match. There, a walk
+starts at every code point, as texts need not have spaces.
 The items are broadcast in groups of at most GROUP_BYTES, one pass over the documents for each group.
 """
 
@@ -160,9 +161,8 @@ class Items:
         for t, found in regions.items():
             text = data[own : own + len(texts[t])]
             for begin, end, item in found:
-                before = max(0, begin - 1)
-                place = np.append(begin, np.flatnonzero(text[before:end] == 32) + before + 1)
-                starts.append(place[place < len(text)] + own)
+                place = np.flatnonzero((text[begin:end] & 0xC0) != 0x80) + begin  # every code point: an item need not follow a space
+                starts.append(place + own)
                 items.append(np.full(len(starts[-1]), item))
                 of.append(np.full(len(starts[-1]), t))
             own += len(text) + len(pad)

@@ -189,6 +189,17 @@ def test_decontamination_recall(spark, odd, none):
     assert decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_texts_without_spaces(spark):
+    rng = random.Random(14)
+    kinds = ([chr(0x4E00 + k) for k in range(600)], [chr(0x0E01 + k) for k in range(40)], list("abcdefghijklmnopqrstuvwxyz_.(){};="))
+    line = lambda kind, n: "".join(rng.choices(kind, k=n))
+    items = [(i, line(kinds[i % 3], rng.randrange(60, 160))) for i in range(18)]
+    copies = [(100 * k + i, line(kinds[i % 3], rng.randrange(150, 300)) + text + line(kinds[i % 3], 200)) for k in range(2) for i, text in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edit_distance for r in decontam.contaminated(frame(spark, copies + [(900 + k, line(kind, 500)) for k, kind in enumerate(kinds)]), bench).collect()}
+    assert got == {(d, d % 100): 0 for d, _ in copies}
+
+
 def test_random_walks_follow_edits():
     rng = random.Random(8)
     text = "".join(rng.choices("abcdefgh ", k=200))
