@@ -25,7 +25,9 @@ THRESHOLD = 8.0
 #: log10 of the guesses that each further part costs, for the way in which the parts are put together.
 JOINT = 0.3
 NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|client[_-]?key)"
-CONTEXT = re.compile(rf"""(?i)(?<![^\W_])(?P<name>(?:[\w-]{{0,64}}[_-])?{NAME}(?:[_-][\w-]{{0,64}})?)["']?\s*(?:=>|:=|=|:)\s*(?:"(?P<a>[^"\n]+)"|'(?P<b>[^'\n]+)'|(?P<c>[^\s"',;]+))""")
+#: Between a credential's name and other words: a separator, or a case change as in dbPassword, DBPassword and secretKey.
+JOINED = r"(?:[_-]|(?-i:(?<=[^\W_A-Z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
+CONTEXT = re.compile(rf"""(?i)(?<![^\W_])(?P<name>(?:[\w-]{{0,64}}{JOINED})?{NAME}(?:{JOINED}[\w-]{{0,64}})?)["']?\s*(?:=>|:=|=|:)\s*(?:"(?P<a>[^"\n]+)"|'(?P<b>[^'\n]+)'|(?P<c>[^\s"',;]+))""")
 
 SCHEMA = "doc_id long, name string, value_start int, value_end int, guesses_log10 double, is_secret boolean"
 

@@ -365,6 +365,15 @@ def test_secret_scan(spark, odd, none):
     assert secrets.scan(odd).count() == 0 and secrets.scan(none).count() == 0
 
 
+def test_camel_case_names_are_scanned(spark):
+    value = "9f8aQz71kLm3Xw0pT"
+    named = ["dbPassword", "userPassword", "clientSecret", "accessToken", "secretKey", "DBPassword", "db2Password", "passwordHash", "myApiKeyValue", "db_password", "apiKey"]
+    rows = [(k, form.format(name, value)) for k, (name, form) in enumerate((n, f) for n in named for f in ('{} = "{}"', "{}={}", '{{"{}": "{}"}}'))]
+    got = {r.doc_id: r for r in secrets.scan(frame(spark, rows + [(900, "tokenizer: BertWordPiece77"), (901, "compasstoken: x7Qz81kLm3")])).collect()}
+    assert set(got) == {k for k, _ in rows}
+    assert all(r.name == named[k // 3] and r.is_secret and rows[k][1][r.value_start : r.value_end].rstrip("}") == value for k, r in got.items())
+
+
 # 8
 
 
