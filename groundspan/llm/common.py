@@ -7,11 +7,13 @@ offsets, so that no Python string is made per row unless an operator needs one.
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +31,14 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests, where none is set, a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where none is set, a temporary one if all runs on this machine, as in tests; else an error."""
     sc = spark.sparkContext
     if (here := sc._jsc.sc().getCheckpointDir()).isDefined():
         return here.get()
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="groundspan-")
@@ -52,11 +56,29 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it again."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage: writes df to the shared folder and reads it again; also the path, for who deletes it."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """stored, for a table that a result is read from, which stays."""
+    return stored(df, name)[0]
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over: it does when the driver drops their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """For Python's own files in the shared folder."""
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def byte_table(of: bytes | str, inside: bool = True) -> np.ndarray:

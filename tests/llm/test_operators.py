@@ -448,79 +448,75 @@ def test_gradients_are_right():
 
 
 def brute_lm(rows):
-    """Every context of every position, counted in a dictionary."""
-    sentences = []
-    for d, text in rows:
-        for part in re.split(r"[.!?\n]", text or ""):
-            ws = [w.lower() for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", part)]
-            sentences += [(d, ws[k : k + lm.SENTENCE]) for k in range(0, len(ws), lm.SENTENCE)]
-    context, joint = Counter(), Counter()
-    for _, s in sentences:
-        for i in range(1, len(s)):
-            back = ["<s>", *s[:i]]
-            for n in range(2, len(back) + 1):
-                context[tuple(back[-n:])] += 1
-                joint[tuple(back[-n:]), s[i]] += 1
+    """By doc_id, for each word: its count, the longest context that occurs elsewhere too, at how many other places, and how often this word follows there."""
+    texts = [(d, [w.lower() for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]) for d, text in rows]
+    strings = Counter(tuple(ws[i:j]) for _, ws in texts for i in range(len(ws)) for j in range(i + 1, len(ws) + 1))
     out = defaultdict(list)
-    for d, s in sentences:
-        for i in range(len(s)):
-            back = ["<s>", *s[:i]]
-            best = max((n for n in range(2, len(back) + 1) if context[tuple(back[-n:])] > 1), default=0) if i else 0
-            key = tuple(back[-best:]) if best else None
-            out[d].append((s[i], best, context[key] - 1 if best else 0, joint[key, s[i]] - 1 if best else 0))
+    for d, ws in texts:
+        for i, w in enumerate(ws):
+            best = max((n for n in range(1, i + 1) if strings[tuple(ws[i - n : i])] > 1), default=0)
+            context = tuple(ws[i - best : i])
+            out[d].append((strings[w,], best, strings[context] - 1, strings[*context, w] - 1))
     return out
 
 
-@pytest.mark.parametrize("lost", [False, True])
-def test_language_model_equals_brute_force(spark, odd, none, monkeypatch, lost):
-    monkeypatch.setattr(lm, "SHARD_POSITIONS", 500)
-    if lost:  # the first pass's answers aren't found: everything is sent
-        monkeypatch.setattr(lm, "_block_rows", lambda shards, bits, folder, f, real=lm._block_rows: real(shards, bits, folder + "-gone", f))
+def test_language_model_equals_brute_force(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WORDS", 500)
     rng = random.Random(12)
     rows = [(i, ". ".join(" ".join(words(rng, rng.randrange(1, 12), 25)) for _ in range(rng.randrange(1, 8))).replace("w1 ", "W1 ")) for i in range(80)]
-    rows += [(80, rows[0][1]), (81, "w1 w2 " * 100), (82, ""), (83, None), (81, "w3")]
-    got = {r.doc_id: r for r in lm.scores(frame(spark, rows)).collect()}
+    long = words(rng, 150, 60)
+    rows += [(80, rows[0][1]), (81, "w1 w2 " * 30), (82, ""), (83, None), (81, "w3"), (84, "w3"), (85, "nowhere")]
+    for k in range(6):  # near copies, long ones: contexts end at every edit
+        copy = list(long)
+        for _ in range(k):
+            copy[rng.randrange(150)] = f"x{rng.randrange(9)}"
+        rows.append((90 + k, " ".join(copy[k * 3 :])))
+    got = {r.doc_id: r for r in lm.scores(frame(spark, rows).repartition(3)).collect()}
     brute = brute_lm(rows)
-    total = sum(map(len, brute.values()))
-    data = pa.array([w for d in brute for w, *_ in brute[d]])
-    b = lm._bucket(lm.positions(*common.text_bytes(data))[1])
-    count = np.bincount(b, minlength=lm.BUCKETS)
-    k = 0
-    for d, positions in brute.items():
-        bits = 0.0
-        for w, best, n, c in positions:
-            bits -= np.log2(lm.probabilities(n, c, (count[b[k]] + 1) / (total + lm.BUCKETS)))
-            k += 1
-        assert got[d].n_words == len(positions) and got[d].bits_per_word == pytest.approx(bits / len(positions)), d
-        assert got[d].mean_context == pytest.approx(np.mean([p[1] for p in positions])), d
-    assert got[82].n_words == 0 and got[83].bits_per_word is None
+    size = sum(map(len, brute.values())) - 1 + len({w.lower() for _, t in rows for w in re.findall(r"\w+", t or "")})
+    assert max(p[1] for d in brute for p in brute[d]) > 64
+    for d, places in brute.items():
+        bits = -sum(np.log2((same + count / size) / (n + 1) if best else count / size) for count, best, n, same in places)
+        assert got[d].n_words == len(places) and got[d].bits_per_word == pytest.approx(bits / len(places)), d
+        assert got[d].mean_context == pytest.approx(np.mean([p[1] for p in places])), d
+    assert got[82].n_words == 0 and got[83].bits_per_word is None and len(got) == len({d for d, _ in rows})
     assert got[80].bits_per_word < got[1].bits_per_word, "a copy is easy to predict"
     assert lm.scores(odd).count() == 9 and lm.scores(none).count() == 0
 
 
-def test_blocks_round_trip():
+def test_sums_are_read_alike_from_files_that_cannot_be_mapped(tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 16)
+    monkeypatch.setattr(lm, "BLOCKS_KEPT", 2)
+    rng = np.random.default_rng(3)
+    values = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (100, 37)]
+    for k, v in enumerate(values):
+        (tmp_path / f"f{k}").write_bytes(v.tobytes())
+    file = rng.integers(0, 2, 300)
+    at = np.where(file == 0, rng.integers(0, 100, 300), rng.integers(0, 37, 300))
+    for mapped in (True, False):
+        assert np.array_equal(lm.Sums(f"file://{tmp_path}", ["f0", "f1"], mapped)(file, at), np.where(file == 0, values[0][at], values[1][at % 37]))
+
+
+def test_parts_round_trip():
     rng = np.random.default_rng(1)
-    word, length = rng.integers(2, 1 << 32, 300, dtype=np.uint32), rng.integers(1, 5, 300)
-    context, doc, ids = rng.integers(0, 99, length.sum()).astype(np.uint32), np.sort(rng.integers(0, 9, 300)), np.arange(9) - 4
-    d, w, n, c = lm.unpack(lm.pack(doc, word, length, context, ids))
-    assert np.array_equal(d, ids[doc]) and np.array_equal(w, word) and np.array_equal(n, length) and np.array_equal(c, context)
-
-
-def test_every_word_has_its_own_frequency(spark, monkeypatch):
-    names = [f"q{k}" for k in range(300_000)]
-    *_, full = lm.hashed(*common.text_bytes(pa.array(names)))
-    half = full >> np.uint64(32)
-    same_half = next(np.flatnonzero(half == v)[:2] for v, n in zip(*np.unique(half, return_counts=True)) if n > 1)
-    bucket = lm._bucket(half.astype(np.uint32))
-    alike = np.flatnonzero((bucket == bucket[0]) & (half != half[0]))[0]
-    groups = [(names[0], names[alike]), tuple(names[k] for k in same_half)]
-    folders = []
-    monkeypatch.setattr(lm, "_block_rows", lambda shards, bits, folder, f, real=lm._block_rows: folders.append(f[0]) or real(shards, bits, folder, f))
-    rows = [(i, f"{'. '.join([often] * 400)}. {rare}") for i, (often, rare) in enumerate(groups)] + [(2 + i, rare) for i, (_, rare) in enumerate(groups)]
+    vocabulary = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) << np.uint64(1))
+    part = lm.Part(7, np.arange(5) - 2, np.array([3, 0, 400, 1, 96]), vocabulary, rng.integers(0, len(vocabulary), 500))
+    for a, b in zip(part, lm.Part.unpack(7, part.pack())):
+        assert np.array_equal(a, b)
+    assert part.inside().tolist() == [1, 2, 3, *range(1, 401), 1, *range(1, 97)]
+
+
+def test_answers_for_other_texts_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, 5, lm._join(lm._planes(np.array([1, 1]), 6)), 1)], "part long, range int, mark long, block binary, distinct long")
+    folder = lm._by_part(rows, 1, "answers")
+    assert lm._answers(folder, 0, 5, 2).tolist() == [1, 1]
+    for mark, size in ((6, 2), (5, 3)):
+        with pytest.raises(RuntimeError):
+            lm._answers(folder, 0, mark, size)
+
+
+def test_every_word_has_its_own_frequency(spark):
+    names = [f"q{k}" for k in range(2000)]
+    rows = [(0, " ".join(f"{w} {w}" for w in names)), (1, names[0]), (2, "new")]
     got = {r.doc_id: r for r in lm.scores(frame(spark, rows)).collect()}
-    for i in (2, 3):
-        assert got[i].bits_per_word == pytest.approx(-np.log2(3 / (804 + lm.BUCKETS))), "the frequent word isn't counted"
-    *_, full = lm.hashed(*common.text_bytes(pa.array([*groups[0], *groups[1], groups[0][0]])))
-    assert lm._counts(folders[0], 1 << 50, full).tolist() == [400, 2, 400, 2, 400], "from all files if a part has none"
-    word, count = (full >> np.uint64(32)).astype(np.uint32), np.array([400, 2, 400, 2, 400])
-    assert lm._unpack_counts(word, lm._pack_counts(word, count)).tolist() == count.tolist()
+    assert got[1].bits_per_word == pytest.approx(-np.log2(3 / (4001 + 2001))) and got[2].bits_per_word == pytest.approx(-np.log2(1 / (4001 + 2001)))
