@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,23 +87,25 @@ def content_hash(text: Column) -> Column:
     return stable_hash(json_string(text))
 
 
-_NUMBER = (
-    r"(?iU)(?<![\w.])([+-]?)\s*(?:US\$|U\.S\.\$|[$€£¥])?\s*"
-    r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(%)?\s*"
-    r"(?:(k|thousand|m|mm|mn|million|b|bn|billion|t|tn|trillion)\b)?(?![\w.])"
-)
-_MAGNITUDES = {"k": 3, "thousand": 3, "m": 6, "mm": 6, "mn": 6, "million": 6, "b": 9, "bn": 9, "billion": 9, "t": 12, "tn": 12, "trillion": 12}
+_MAGNITUDES = {3: ("thousand", "k"), 6: ("million", "mln", "mm", "mn", "m"), 9: ("billion", "bn", "b"), 12: ("trillion", "tn", "t")}
+_SIGNS = ("US$", "U.S.$", "$", "€", "£", "¥")
+#: Minus, currency, digits (grouped by commas or not) with a fraction, per cent, magnitude; neither a word nor a point may touch it.
+_NUMBER = "".join(
+    (
+        r"(?iU)(?<![\w.])(-?)(?:", "|".join(re.escape(x) for x in _SIGNS), r")?\s*((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)(%?)",
+        r"(?:\s*(", "|".join(w for words in reversed(_MAGNITUDES.values()) for w in sorted(words, key=len, reverse=True)), r"))?(?![\w.])",
+    )
+)
 
 
 def decimal_value(text: Column) -> Column:
-    """The one number in a text, with currency, groups, per cent (not scaled) and magnitude; null if there is none, or several."""
-    group = lambda g: F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(g))
-    only = lambda g: F.get(group(g), F.lit(0))
-    scale = F.create_map(*(F.lit(x) for k, v in _MAGNITUDES.items() for x in (k, 10**v)))
-    factor = F.when(only(4) == "", F.lit(1)).otherwise(F.element_at(scale, F.lower(only(4))))
+    """The one number in a text, with currency, groups, per cent (not scaled) or magnitude; null if there is none, or several, or one with both."""
+    found = F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0))
+    only = lambda g: F.regexp_extract(text, _NUMBER, g)
+    factor = reduce(lambda acc, e: F.when(F.lower(only(4)).isin(*e[1]), F.lit(10 ** e[0])).otherwise(acc), _MAGNITUDES.items(), F.lit(1))
     number = F.concat(only(1), F.replace(only(2), F.lit(","), F.lit(""))).try_cast("decimal(24,10)")
-    found = (number * factor.cast("decimal(13,0)")).cast("decimal(38,10)")
-    return F.when((F.size(group(0)) == 1) & ~((only(3) == "%") & (only(4) != "")), found)
+    value = (number * factor.cast("decimal(13,0)")).cast("decimal(38,10)")
+    return F.when((F.size(found) == 1) & ~((only(3) == "%") & (only(4) != "")), value)
 
 
 def decimal_hint(value: Column) -> Column:
@@ -135,3 +140,14 @@ def lines(text: Column) -> Column:
         F.concat(acc["out"], F.array(F.struct(F.size(acc["out"]).alias("line"), acc["at"].alias("start"), (acc["at"] + F.octet_length(x)).alias("end"), x.alias("text")))).alias("out"),
     )
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+
+_FOLDS = {chr(k): chr(k).casefold() for k in range(128, 0x10000) if chr(k).casefold() != chr(k).lower()}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding; texts of ASCII alone, by far the most, take lower case only."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    folds = F.create_map(*(F.lit(x) for pair in _FOLDS.items() for x in pair))
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(folds, c), F.lower(c)))
+    return F.when(ascii_only, F.lower(text)).otherwise(F.array_join(each, ""))

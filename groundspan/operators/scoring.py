@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import iou
+from ..functions.text import casefold, iou
 
 KEY = ["case_id", "field_id"]
 DIFF_KINDS = ("missing_field", "unexpected_field", "value_mismatch", "instance_count_mismatch")
@@ -19,75 +19,125 @@ STATUSES = ("passed", "failed", "comparability_failed", "setup_failed")
 
 
 def span_match(mode: str, a_start: Column, a_end: Column, b_start: Column, b_end: Column, min_iou: float = 0.5) -> Column:
-    """Whether gold span a and found span b match."""
-    return {
+    """Whether gold span a and found span b match; contains: gold covers what was found."""
+    there = a_start.isNotNull() & a_end.isNotNull() & b_start.isNotNull() & b_end.isNotNull()  # greatest and least pass over nulls
+    common = F.greatest(F.least(a_end, b_end) - F.greatest(a_start, b_start), F.lit(0))
+    return there & {
         "exact": (a_start == b_start) & (a_end == b_end),
-        "overlap": (a_start < b_end) & (b_start < a_end),
-        "contains": (b_start <= a_start) & (b_end >= a_end),
-        "contained_by": (a_start <= b_start) & (a_end >= b_end),
+        "overlap": common > 0,
+        "contains": (a_start <= b_start) & (a_end >= b_end),
+        "contained_by": (b_start <= a_start) & (b_end >= a_end),
         "iou": iou(a_start, a_end, b_start, b_end) >= min_iou,
     }[mode]
 
 
-def _folded(c: str) -> Column:
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+def _is_evidence() -> Column:
+    return F.col("text").isNotNull() | F.col("byte_start").isNotNull()
 
 
 def _pairs(gold: DataFrame, found: DataFrame) -> DataFrame:
-    g = gold.select(*KEY, "gold_index", F.col("text").alias("g_text"), F.col("byte_start").alias("g_start"), F.col("byte_end").alias("g_end"))
-    return g.join(found, KEY)
+    """Each gold evidence with each candidate of its field; texts case-folded once a row, before the join."""
+    g = gold.where(_is_evidence()).select(*KEY, "gold_index", casefold(F.col("text")).alias("g_text"), F.col("byte_start").alias("g_start"), F.col("byte_end").alias("g_end"))
+    return g.join(found.withColumns({"f_text": casefold(F.col("text")), "f_context": casefold(F.col("context"))}), KEY)
 
 
-def matches(gold: DataFrame, found: DataFrame, mode: str = "exact", min_iou: float = 0.5) -> DataFrame:
-    """(case_id, field_id, gold_index, seq, kept, via): span where gold has one, else the text, else the context."""
-    span = F.col("g_start").isNotNull() & span_match(mode, F.col("g_start"), F.col("g_end"), F.col("byte_start"), F.col("byte_end"), min_iou)
-    no_span = F.col("g_start").isNull() & F.col("g_text").isNotNull()
-    text = no_span & F.contains(_folded("text"), _folded("g_text"))
-    context = no_span & F.coalesce(F.contains(_folded("context"), _folded("g_text")), F.lit(False))
-    via = F.when(F.coalesce(span, F.lit(False)), "span").when(text, "text").when(context, "context")
-    return _pairs(gold, found).withColumn("via", via).where("via IS NOT NULL").select(*KEY, "gold_index", "seq", "kept", "via")
+def _yes(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
 
 
-def near_misses(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """(case_id, field_id, gold_index, seq): the first candidate that overlaps a gold span without matching it exactly."""
-    near = (F.col("g_start") < F.col("byte_end")) & (F.col("byte_start") < F.col("g_end")) & ~((F.col("g_start") == F.col("byte_start")) & (F.col("g_end") == F.col("byte_end")))
-    return _pairs(gold, found).where(near).groupBy(*KEY, "gold_index").agg(F.min("seq").alias("seq"))
+def _via(mode: str, min_iou: float, allow_context: bool) -> Column:
+    span = span_match(mode, F.col("g_start"), F.col("g_end"), F.col("byte_start"), F.col("byte_end"), min_iou)
+    context = F.contains("f_context", "g_text") & F.contains("g_text", "f_text") & F.lit(allow_context)
+    return F.when(_yes(span), "span").when(_yes(F.contains("f_text", "g_text")), "text").when(_yes(context), "context")
+
 
+def matches(gold: DataFrame, found: DataFrame, mode: str = "overlap", min_iou: float = 0.5, allow_context: bool = True) -> DataFrame:
+    """(case_id, field_id, gold_index, seq, kept, via): span where the spans match; else text where the candidate holds gold's; else
+    context where that does and the candidate is part of gold's text."""
+    return _pairs(gold, found).withColumn("via", _via(mode, min_iou, allow_context)).where("via IS NOT NULL").select(*KEY, "gold_index", "seq", "kept", "via")
 
-def attributions(gold: DataFrame, found: DataFrame, mode: str = "exact") -> DataFrame:
-    """(case_id, field_id, gold_index, attribution) for gold that isn't hit by a kept candidate."""
-    hit = matches(gold, found, mode).groupBy(*KEY, "gold_index").agg(F.bool_or("kept").alias("kept"))
-    near = near_misses(gold, found).select(*KEY, "gold_index", F.lit(True).alias("near"))
-    both = gold.where("NOT expected_absent").select(*KEY, "gold_index").join(hit, [*KEY, "gold_index"], "left").join(near, [*KEY, "gold_index"], "left")
-    why = F.when(F.col("kept"), F.lit(None)).when(F.col("kept").isNotNull(), "generated_then_filtered").when(F.col("near"), "span_near_miss").otherwise("not_generated")
-    return both.withColumn("attribution", why).where("attribution IS NOT NULL").select(*KEY, "gold_index", "attribution")
+
+def _is_near() -> Column:
+    span = span_match("overlap", F.col("g_start"), F.col("g_end"), F.col("byte_start"), F.col("byte_end"))
+    part = (F.col("f_text") != "") & F.contains("g_text", "f_text")
+    around = (F.col("g_text") != "") & F.contains("f_context", "g_text")
+    return _yes(span) | _yes(part) | _yes(around)
+
+
+def near_misses(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(case_id, field_id, gold_index, seq): the first candidate that overlaps the gold span, or is part of gold's text, or has it in its context."""
+    return _pairs(gold, found).where(_is_near()).groupBy(*KEY, "gold_index").agg(F.min("seq").alias("seq"))
 
 
 def expected_fields(gold: DataFrame) -> DataFrame:
-    """(case_id, field_id, expected, absent): gold of all instances of a field together; absent if any says so."""
-    return gold.groupBy(*KEY).agg(F.count_if(~F.col("expected_absent")).alias("expected"), F.bool_or("expected_absent").alias("absent"))
+    """(case_id, field_id, expected, absent): gold evidence of all instances of a field together; absent if any says so."""
+    return gold.groupBy(*KEY).agg(F.count_if(_is_evidence()).alias("expected"), F.bool_or("expected_absent").alias("absent"))
+
+
+def _present(gold: DataFrame) -> DataFrame:
+    """The gold of fields that aren't expected to be absent."""
+    return gold.withColumn("__absent", F.bool_or("expected_absent").over(Window.partitionBy(*KEY))).where("NOT __absent").drop("__absent")
+
+
+def attributions(gold: DataFrame, found: DataFrame, mode: str = "overlap", min_iou: float = 0.5, allow_context: bool = True) -> DataFrame:
+    """(case_id, field_id, gold_index, stage, kind, seq): why gold was missed.
+
+    candidates: span_near_miss with the first near candidate, or not_generated, where nothing matches; filtered_candidates:
+    generated_then_filtered for each match that was dropped, where no kept one matches; comparability: fixture_missing_evidence for a field without evidence.
+    """
+    gold = _present(gold)
+    judged = _pairs(gold, found).withColumns({"hit": _via(mode, min_iou, allow_context).isNotNull(), "near": _is_near()})
+    by = judged.groupBy(*KEY, "gold_index").agg(
+        F.bool_or("hit").alias("hit"), F.bool_or(F.col("hit") & F.col("kept")).alias("kept"), F.min(F.when(F.col("near"), F.col("seq"))).alias("near"), F.array_sort(F.collect_list(F.when(F.col("hit") & ~F.col("kept"), F.col("seq")))).alias("dropped")
+    )
+    both = gold.where(_is_evidence()).select(*KEY, "gold_index").join(by, [*KEY, "gold_index"], "left")
+    row = lambda stage, kind, seq: F.struct(F.lit(stage).alias("stage"), kind.alias("kind"), seq.cast("long").alias("seq"))
+    missed = F.array(row("candidates", F.when(F.col("near").isNull(), "not_generated").otherwise("span_near_miss"), F.col("near")))
+    filtered = F.transform("dropped", lambda x: row("filtered_candidates", F.lit("generated_then_filtered"), x))
+    why = F.when(~_yes(F.col("hit")), missed).when(~F.col("kept"), filtered)
+    none = expected_fields(gold).where("expected = 0").select(*KEY, F.lit(None).cast(dict(gold.dtypes)["gold_index"]).alias("gold_index"), row("comparability", F.lit("fixture_missing_evidence"), F.lit(None)).alias("a"))
+    return both.select(*KEY, "gold_index", F.explode(why).alias("a")).unionByName(none).select(*KEY, "gold_index", "a.*")
 
 
 def _rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
-def score_candidates(gold: DataFrame, found: DataFrame, mode: str = "exact") -> DataFrame:
-    """For each case and field: gold and candidates, those that hit, of all and of the kept ones, with recall and precision; null where there is nothing."""
-    hits = matches(gold.where("NOT expected_absent"), found, mode)
-    of_gold = hits.groupBy(*KEY).agg(F.count_distinct("gold_index").alias("raw_hits"), F.count_distinct(F.when(F.col("kept"), F.col("gold_index"))).alias("kept_hits"), F.count_distinct("seq").alias("raw_true"), F.count_distinct(F.when(F.col("kept"), F.col("seq"))).alias("kept_true"))
+def score_candidates(gold: DataFrame, found: DataFrame, mode: str = "overlap", min_iou: float = 0.5, allow_context: bool = True) -> DataFrame:
+    """For each case and field: gold and candidates, those that hit, of all and of the kept ones, recall and precision (null where there is nothing), gaps and status.
+
+    A field that is expected to be absent has no recall, and all its candidates are wrong; one without evidence can't be compared, and nothing of it counts.
+    """
+    hits = matches(gold, found, mode, min_iou, allow_context)
+    count = lambda c, name: hits.groupBy(*KEY, c).agg(F.bool_or("kept").alias("kept")).groupBy(*KEY).agg(F.count("*").alias(f"raw_{name}"), F.count_if("kept").alias(f"kept_{name}"))
     totals = found.groupBy(*KEY).agg(F.count("*").alias("raw"), F.count_if("kept").alias("kept"))
+    fields = expected_fields(gold).withColumn("comparable", F.col("absent") | (F.col("expected") > 0))
+    out = fields.join(totals, KEY, "left").join(count("gold_index", "hits"), KEY, "left").join(count("seq", "true"), KEY, "left")
     zero = F.lit(0).cast("long")
-    out = expected_fields(gold).join(totals, KEY, "left").join(of_gold, KEY, "left")
-    out = out.select(*KEY, "expected", "absent", *(F.coalesce(c, zero).alias(c) for c in ("raw", "kept", "raw_hits", "kept_hits", "raw_true", "kept_true")))
-    return out.withColumns({"raw_recall": _rate(F.col("raw_hits"), F.col("expected")), "kept_recall": _rate(F.col("kept_hits"), F.col("expected")), "raw_precision": _rate(F.col("raw_true"), F.col("raw")), "kept_precision": _rate(F.col("kept_true"), F.col("kept")), "dropped": F.col("raw") - F.col("kept")})
+    own = {c: F.when(F.col("comparable"), F.coalesce(c, zero)).otherwise(zero) for c in ("raw", "kept")}
+    own |= {c: F.when(F.col("absent"), zero).otherwise(F.coalesce(c, zero)) for c in ("expected", "raw_hits", "kept_hits", "raw_true", "kept_true")}
+    out = out.select(*KEY, "absent", "comparable", *(c.alias(k) for k, c in own.items()))
+    gap = lambda n, hit: F.when(~F.col("comparable"), "comparability_failure").when(F.col("absent") & (F.col(n) > 0), "unexpected_observed").when(F.col(hit) < F.col("expected"), "missing_expected")
+    out = out.withColumns(
+        {"raw_recall": _rate(F.col("raw_hits"), F.col("expected")), "kept_recall": _rate(F.col("kept_hits"), F.col("expected")), "raw_precision": _rate(F.col("raw_true"), F.col("raw")), "kept_precision": _rate(F.col("kept_true"), F.col("kept"))}
+        | {"raw_gap": gap("raw", "raw_hits"), "kept_gap": gap("kept", "kept_hits"), "dropped": F.col("raw") - F.col("kept")}
+    )
+    status = F.when(~F.col("comparable"), STATUSES[2]).when(F.col("raw_gap").isNotNull() | F.col("kept_gap").isNotNull(), STATUSES[1]).otherwise(STATUSES[0])
+    return out.withColumn("status", status).drop("comparable")
 
 
 def aggregates(rows: DataFrame) -> DataFrame:
-    """(metric, part, whole, rate): sums over all fields, then the rate; null where the whole is none."""
-    pairs = {"raw_recall": ("raw_hits", "expected"), "kept_recall": ("kept_hits", "expected"), "raw_precision": ("raw_true", "raw"), "kept_precision": ("kept_true", "kept"), "drop_rate": ("dropped", "raw"), "absent_rate": ("absent_n", "fields")}
-    sums = rows.withColumns({"absent_n": F.col("absent").cast("long"), "fields": F.lit(1).cast("long")}).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sorted({x for p in pairs.values() for x in p})))
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(a).alias("part"), F.col(b).alias("whole")) for m, (a, b) in pairs.items())))
+    """(metric, part, whole, rate): sums over all fields of score_candidates, then the rate; null where the whole is none."""
+    c = F.col
+    pairs = {}
+    for stage, n in (("candidates", "raw"), ("filtered", "kept")):
+        hits, true = c(f"{n}_hits"), c(f"{n}_true")
+        pairs |= {
+            f"recall_at_{stage}": (hits, c("expected")), f"precision_at_{stage}": (true, c(n)), f"true_positive_at_{stage}": (hits, c("expected")),
+            f"false_negative_at_{stage}": (c("expected") - hits, c("expected")), f"false_positive_at_{stage}": (c(n) - true, c(n)),
+        }
+    sums = rows.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(f"{m}_{k}") for m, pair in pairs.items() for k, x in enumerate(pair)))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_0").alias("part"), F.col(f"{m}_1").alias("whole")) for m in pairs)))
     return sums.select(each.alias("x")).select("x.metric", "x.part", "x.whole", _rate(F.col("x.part"), F.col("x.whole")).alias("rate"))
 
 
@@ -104,7 +154,7 @@ def funnel(gold: DataFrame, candidates: DataFrame, observations: DataFrame, vali
     validated(case_id, field_id, candidate_id), evidence(case_id, field_id, candidate_id, value).
     """
     g = gold.where("NOT expected_absent").select(*KEY, "gold_index", F.col("text").alias("g_text"), "expected_value")
-    hit = g.join(candidates.select(*KEY, "candidate_id", "text"), KEY).where(F.contains(_folded("text"), _folded("g_text"))).groupBy(*KEY, "gold_index").agg(F.collect_set("candidate_id").alias("ids"))
+    hit = g.join(candidates.select(*KEY, "candidate_id", "text"), KEY).where(F.contains(casefold(F.col("text")), casefold(F.col("g_text")))).groupBy(*KEY, "gold_index").agg(F.collect_set("candidate_id").alias("ids"))
     obs = observations.select(*KEY, "outcome", "selected_candidate_ids")
     sets = lambda df, name: df.groupBy(*KEY).agg(F.collect_set("candidate_id").alias(name))
     values = evidence.groupBy(*KEY).agg(F.collect_set("value").alias("values"))

@@ -35,12 +35,12 @@ BASE = {
     "keys": """SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, concat('g', CAST(l_linenumber % 3 AS STRING)) AS group_id,
         CAST((l_suppkey * 11) % 90 AS INT) AS anchor_start, CAST((l_suppkey * 11) % 90 + 12 AS INT) AS anchor_end FROM {lineitem} WHERE l_linenumber <= 3""",
     "gold": """SELECT l_orderkey AS case_id, CASE WHEN l_suppkey % 2 = 0 THEN 'amount' ELSE 'party' END AS field_id, l_linenumber AS gold_index,
-        CASE WHEN l_linenumber % 2 = 0 THEN concat('$', CAST(CAST(l_quantity AS INT) % 5 + 1 AS STRING)) END AS text,
-        CASE WHEN l_linenumber % 2 = 1 THEN CAST((l_partkey * 7) % 90 + (l_suppkey % 4) AS INT) END AS byte_start,
-        CASE WHEN l_linenumber % 2 = 1 THEN CAST((l_partkey * 7) % 90 + (l_suppkey % 4) + CAST(l_quantity AS INT) % 30 AS INT) END AS byte_end,
+        CASE WHEN l_linenumber % 2 = 0 OR l_partkey % 3 = 0 THEN concat('$', CAST(CAST(l_quantity AS INT) % 5 + 1 AS STRING), CASE WHEN l_partkey % 4 = 0 THEN '7' ELSE '' END) END AS text,
+        CASE WHEN l_linenumber % 2 = 1 AND l_partkey % 11 <> 0 THEN CAST((l_partkey * 7) % 90 + (l_suppkey % 4) AS INT) END AS byte_start,
+        CASE WHEN l_linenumber % 2 = 1 AND l_partkey % 11 <> 0 THEN CAST((l_partkey * 7) % 90 + (l_suppkey % 4) + CAST(l_quantity AS INT) % 30 AS INT) END AS byte_end,
         CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS expected_value, l_tax > 0.07 AS expected_absent FROM {lineitem}""",
     "found": """SELECT l_orderkey AS case_id, CASE WHEN l_suppkey % 2 = 0 THEN 'amount' ELSE 'party' END AS field_id, l_linenumber AS seq,
-        concat('$', CAST(CAST(l_quantity AS INT) AS STRING)) AS text, concat('cost $', CAST(l_linenumber AS STRING)) AS context,
+        concat('$', CAST(CAST(l_quantity AS INT) AS STRING)) AS text, concat('cost $', CAST(CAST(l_quantity AS INT) % 5 + 1 AS STRING), CASE WHEN l_linenumber < 3 THEN '7' ELSE '' END) AS context,
         CAST((l_partkey * 7) % 90 AS INT) AS byte_start, CAST((l_partkey * 7) % 90 + CAST(l_quantity AS INT) % 30 AS INT) AS byte_end, l_discount > 0.03 AS kept FROM {lineitem}""",
     "obs": """SELECT l_orderkey AS doc_id, CASE l_linenumber WHEN 1 THEN 'one' WHEN 2 THEN 'maybe' WHEN 3 THEN 'several' ELSE 'each' END AS field_id,
         CASE l_suppkey % 4 WHEN 0 THEN 'ABSTAINED' WHEN 1 THEN 'AMBIGUOUS' ELSE 'SELECTED' END AS outcome, CAST(l_partkey % 3 AS INT) AS k,
@@ -566,52 +566,77 @@ def q10_token_budget(spark, sf):
 # scoring
 
 _IOU = "CASE WHEN greatest(g.byte_end, f.byte_end) > least(g.byte_start, f.byte_start) THEN greatest(least(g.byte_end, f.byte_end) - greatest(g.byte_start, f.byte_start), 0)::DOUBLE / (greatest(g.byte_end, f.byte_end) - least(g.byte_start, f.byte_start)) ELSE 0 END"
-_MATCH = """hits AS (SELECT case_id, field_id, gold_index, seq, kept, via FROM (SELECT g.case_id, g.field_id, gold_index, seq, kept, CASE WHEN g.byte_start IS NOT NULL THEN CASE WHEN {span} THEN 'span' END WHEN contains(lower(f.text), lower(g.text)) THEN 'text' WHEN contains(lower(f.context), lower(g.text)) THEN 'context' END AS via
-    FROM gold g JOIN found f ON g.case_id = f.case_id AND g.field_id = f.field_id {where}) WHERE via IS NOT NULL)"""
+_COMMON = "least(g.byte_end, f.byte_end) - greatest(g.byte_start, f.byte_start) > 0"
+#: Written from the rules for gold evidence: the span decides first, then the text, then the context around a candidate that is part of the text.
+_MATCH = """ev AS (SELECT * FROM gold WHERE text IS NOT NULL OR byte_start IS NOT NULL),
+    pairs AS (SELECT g.case_id, g.field_id, gold_index, seq, kept, CASE WHEN g.byte_start IS NOT NULL AND ({span}) THEN 'span' WHEN g.text IS NULL THEN NULL WHEN contains(lower(f.text), lower(g.text)) THEN 'text' WHEN contains(lower(f.context), lower(g.text)) AND contains(lower(g.text), lower(f.text)) THEN 'context' END AS via,
+        (g.byte_start IS NOT NULL AND """ + _COMMON + """) OR (g.text IS NOT NULL AND ((f.text <> '' AND contains(lower(g.text), lower(f.text))) OR (g.text <> '' AND contains(lower(f.context), lower(g.text))))) AS near
+        FROM ev g JOIN found f ON g.case_id = f.case_id AND g.field_id = f.field_id),
+    hits AS (SELECT case_id, field_id, gold_index, seq, kept, via FROM pairs WHERE via IS NOT NULL)"""
 _SPANS = {
     "exact": "g.byte_start = f.byte_start AND g.byte_end = f.byte_end",
-    "overlap": "g.byte_start < f.byte_end AND f.byte_start < g.byte_end",
-    "contains": "f.byte_start <= g.byte_start AND f.byte_end >= g.byte_end",
-    "contained_by": "g.byte_start <= f.byte_start AND g.byte_end >= f.byte_end",
+    "overlap": _COMMON,
+    "contains": "f.byte_start >= g.byte_start AND f.byte_end <= g.byte_end",
+    "contained_by": "f.byte_start <= g.byte_start AND f.byte_end >= g.byte_end",
     "iou": f"{_IOU} >= 0.5",
 }
 for _mode, _span in _SPANS.items():
-    _query(f"{_MATCH.format(span=_span, where='')} SELECT * FROM hits", f"e4_matches_{_mode}")(lambda spark, sf, mode=_mode: sc.matches(base(spark, sf, "gold"), base(spark, sf, "found"), mode))
+    _query(f"{_MATCH.format(span=_span)} SELECT * FROM hits", f"e4_matches_{_mode}")(lambda spark, sf, mode=_mode: sc.matches(base(spark, sf, "gold"), base(spark, sf, "found"), mode))
 
 
-@_query("SELECT g.case_id, g.field_id, gold_index, min(seq) AS seq FROM gold g JOIN found f ON g.case_id = f.case_id AND g.field_id = f.field_id AND g.byte_start < f.byte_end AND f.byte_start < g.byte_end AND NOT (g.byte_start = f.byte_start AND g.byte_end = f.byte_end) GROUP BY ALL")
+@_query(f"{_MATCH.format(span=_SPANS['exact'])} SELECT * FROM hits WHERE via <> 'context'")
+def e3_matches_without_context(spark, sf):
+    return sc.matches(base(spark, sf, "gold"), base(spark, sf, "found"), "exact", allow_context=False)
+
+
+@_query(f"{_MATCH.format(span=_SPANS['exact'])} SELECT case_id, field_id, gold_index, min(seq) AS seq FROM pairs WHERE near GROUP BY ALL")
 def e5_near_misses(spark, sf):
     return sc.near_misses(base(spark, sf, "gold"), base(spark, sf, "found"))
 
 
-@_query(f"""{_MATCH.format(span=_SPANS['exact'], where='')}, h AS (SELECT case_id, field_id, gold_index, bool_or(kept) AS kept FROM hits GROUP BY ALL),
-    m AS (SELECT DISTINCT g.case_id, g.field_id, gold_index FROM gold g JOIN found f ON g.case_id = f.case_id AND g.field_id = f.field_id AND {_SPANS['overlap']} AND NOT ({_SPANS['exact']}))
-    SELECT case_id, field_id, gold_index, CASE WHEN kept IS NOT NULL THEN 'generated_then_filtered' WHEN m.case_id IS NOT NULL THEN 'span_near_miss' ELSE 'not_generated' END AS attribution FROM gold LEFT JOIN h USING (case_id, field_id, gold_index) LEFT JOIN m USING (case_id, field_id, gold_index) WHERE NOT expected_absent AND NOT coalesce(kept, false)""".replace("WHEN m.case_id IS NOT NULL", "WHEN EXISTS (SELECT 1 FROM m x WHERE x.case_id = gold.case_id AND x.field_id = gold.field_id AND x.gold_index = gold.gold_index)"))
+_FIELDS = "x AS (SELECT case_id, field_id, count(*) FILTER (WHERE text IS NOT NULL OR byte_start IS NOT NULL) AS expected, bool_or(expected_absent) AS absent FROM gold GROUP BY ALL)"
+
+
+@_query(f"""{_MATCH.format(span=_SPANS['exact'])}, {_FIELDS}, e AS (SELECT ev.case_id, ev.field_id, ev.gold_index FROM ev JOIN x USING (case_id, field_id) WHERE NOT absent),
+    h AS (SELECT case_id, field_id, gold_index, count(*) AS n, count(*) FILTER (WHERE kept) AS k FROM hits GROUP BY ALL), m AS (SELECT case_id, field_id, gold_index, min(seq) AS seq FROM pairs WHERE near GROUP BY ALL)
+    SELECT e.case_id, e.field_id, e.gold_index, 'candidates' AS stage, CASE WHEN m.seq IS NULL THEN 'not_generated' ELSE 'span_near_miss' END AS kind, m.seq FROM e LEFT JOIN h USING (case_id, field_id, gold_index) LEFT JOIN m USING (case_id, field_id, gold_index) WHERE h.n IS NULL
+    UNION ALL SELECT e.case_id, e.field_id, e.gold_index, 'filtered_candidates', 'generated_then_filtered', hits.seq FROM e JOIN h USING (case_id, field_id, gold_index) JOIN hits USING (case_id, field_id, gold_index) WHERE h.k = 0
+    UNION ALL SELECT case_id, field_id, NULL, 'comparability', 'fixture_missing_evidence', NULL FROM x WHERE NOT absent AND expected = 0""")
 def e6_attributions(spark, sf):
-    return sc.attributions(base(spark, sf, "gold"), base(spark, sf, "found"))
+    return sc.attributions(base(spark, sf, "gold"), base(spark, sf, "found"), "exact")
 
 
-@_query("SELECT case_id, field_id, count(*) FILTER (WHERE NOT expected_absent) AS expected, bool_or(expected_absent) AS absent FROM gold GROUP BY ALL")
+@_query(f"{_FIELDS} SELECT * FROM x")
 def e2_expected_fields(spark, sf):
     return sc.expected_fields(base(spark, sf, "gold"))
 
 
-_SCORES = f"""{_MATCH.format(span=_SPANS['overlap'], where='WHERE NOT g.expected_absent')}, x AS (SELECT case_id, field_id, count(*) FILTER (WHERE NOT expected_absent) AS expected, bool_or(expected_absent) AS absent FROM gold GROUP BY ALL),
+_SCORES = f"""{_MATCH.format(span=_SPANS['overlap'])}, {_FIELDS},
     t AS (SELECT case_id, field_id, count(*) AS raw, count(*) FILTER (WHERE kept) AS kept FROM found GROUP BY ALL), h AS (SELECT case_id, field_id, count(DISTINCT gold_index) AS raw_hits, count(DISTINCT gold_index) FILTER (WHERE kept) AS kept_hits, count(DISTINCT seq) AS raw_true, count(DISTINCT seq) FILTER (WHERE kept) AS kept_true FROM hits GROUP BY ALL),
-    rows_ AS (SELECT case_id, field_id, expected, absent, coalesce(raw, 0) AS raw, coalesce(t.kept, 0) AS kept, coalesce(raw_hits, 0) AS raw_hits, coalesce(kept_hits, 0) AS kept_hits, coalesce(raw_true, 0) AS raw_true, coalesce(kept_true, 0) AS kept_true FROM x LEFT JOIN t USING (case_id, field_id) LEFT JOIN h USING (case_id, field_id))"""
+    j AS (SELECT case_id, field_id, absent, absent OR expected > 0 AS comparable, expected AS e0, coalesce(raw, 0) AS r0, coalesce(t.kept, 0) AS k0, coalesce(raw_hits, 0) AS rh, coalesce(kept_hits, 0) AS kh, coalesce(raw_true, 0) AS rt, coalesce(kept_true, 0) AS kt FROM x LEFT JOIN t USING (case_id, field_id) LEFT JOIN h USING (case_id, field_id)),
+    rows_ AS (SELECT case_id, field_id, absent, comparable, CASE WHEN absent THEN 0 ELSE e0 END AS expected, CASE WHEN comparable THEN r0 ELSE 0 END AS raw, CASE WHEN comparable THEN k0 ELSE 0 END AS kept,
+        CASE WHEN absent THEN 0 ELSE rh END AS raw_hits, CASE WHEN absent THEN 0 ELSE kh END AS kept_hits, CASE WHEN absent THEN 0 ELSE rt END AS raw_true, CASE WHEN absent THEN 0 ELSE kt END AS kept_true FROM j),
+    gaps AS (SELECT *, CASE WHEN NOT comparable THEN 'comparability_failure' WHEN absent AND raw > 0 THEN 'unexpected_observed' WHEN NOT absent AND raw_hits < expected THEN 'missing_expected' END AS raw_gap,
+        CASE WHEN NOT comparable THEN 'comparability_failure' WHEN absent AND kept > 0 THEN 'unexpected_observed' WHEN NOT absent AND kept_hits < expected THEN 'missing_expected' END AS kept_gap FROM rows_)"""
 
 
-@_query(f"{_SCORES} SELECT *, raw_hits / nullif(expected, 0) AS raw_recall, kept_hits / nullif(expected, 0) AS kept_recall, raw_true / nullif(raw, 0) AS raw_precision, kept_true / nullif(kept, 0) AS kept_precision, raw - kept AS dropped FROM rows_")
+@_query(f"""{_SCORES} SELECT * EXCLUDE (comparable), raw_hits / nullif(expected, 0) AS raw_recall, kept_hits / nullif(expected, 0) AS kept_recall, raw_true / nullif(raw, 0) AS raw_precision, kept_true / nullif(kept, 0) AS kept_precision, raw - kept AS dropped,
+    CASE WHEN NOT comparable THEN 'comparability_failed' WHEN raw_gap IS NOT NULL OR kept_gap IS NOT NULL THEN 'failed' ELSE 'passed' END AS status FROM gaps""")
 def e1_score_candidates(spark, sf):
-    return sc.score_candidates(base(spark, sf, "gold"), base(spark, sf, "found"), "overlap")
+    return sc.score_candidates(base(spark, sf, "gold"), base(spark, sf, "found"))
 
 
-_PARTS = {"raw_recall": ("sum(raw_hits)", "sum(expected)"), "kept_recall": ("sum(kept_hits)", "sum(expected)"), "raw_precision": ("sum(raw_true)", "sum(raw)"), "kept_precision": ("sum(kept_true)", "sum(kept)"), "drop_rate": ("sum(raw - kept)", "sum(raw)"), "absent_rate": ("count(*) FILTER (WHERE absent)", "count(*)")}
+_PARTS = {}
+for _stage, _n in (("candidates", "raw"), ("filtered", "kept")):
+    _PARTS |= {
+        f"recall_at_{_stage}": (f"sum({_n}_hits)", "sum(expected)"), f"precision_at_{_stage}": (f"sum({_n}_true)", f"sum({_n})"), f"true_positive_at_{_stage}": (f"sum({_n}_hits)", "sum(expected)"),
+        f"false_negative_at_{_stage}": (f"sum(expected - {_n}_hits)", "sum(expected)"), f"false_positive_at_{_stage}": (f"sum({_n} - {_n}_true)", f"sum({_n})"),
+    }
 
 
 @_query(f"{_SCORES} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, ({a})::BIGINT AS part, ({b})::BIGINT AS whole, ({a})::DOUBLE / nullif({b}, 0) AS rate FROM rows_" for m, (a, b) in _PARTS.items()))
 def e7_aggregates(spark, sf):
-    return sc.aggregates(sc.score_candidates(base(spark, sf, "gold"), base(spark, sf, "found"), "overlap"))
+    return sc.aggregates(sc.score_candidates(base(spark, sf, "gold"), base(spark, sf, "found")))
 
 
 @_query("SELECT o_custkey AS case_id, CASE max(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) WHEN 1 THEN 'passed' WHEN 2 THEN 'failed' ELSE 'setup_failed' END AS status FROM orders GROUP BY ALL")

@@ -159,12 +159,72 @@ def test_packing_and_windows(spark):
 def test_scores_of_absent_and_missing(spark):
     gold = spark.createDataFrame([("a", "f", 0, "hit", None, None, None, False), ("a", "g", 0, None, None, None, None, True), ("b", "f", 0, None, 0, 4, None, False)], "case_id string, field_id string, gold_index int, text string, byte_start int, byte_end int, expected_value string, expected_absent boolean")
     found = spark.createDataFrame([("a", "f", 0, "a HIT!", "", 0, 3, True), ("a", "g", 0, "x", "", 0, 1, True), ("b", "f", 0, "y", "", 2, 6, False)], "case_id string, field_id string, seq int, text string, context string, byte_start int, byte_end int, kept boolean")
-    rows = {(r.case_id, r.field_id): r for r in sc.score_candidates(gold, found).collect()}
+    rows = {(r.case_id, r.field_id): r for r in sc.score_candidates(gold, found, "exact").collect()}
     assert rows["a", "f"].raw_recall == 1 and rows["a", "g"].raw_recall is None and rows["a", "g"].absent and rows["b", "f"].raw_recall == 0
-    assert {r.attribution for r in sc.attributions(gold, found).collect()} == {"span_near_miss"}
+    assert (rows["a", "f"].status, rows["a", "g"].status, rows["a", "g"].raw_gap, rows["b", "f"].raw_gap) == ("passed", "failed", "unexpected_observed", "missing_expected")
+    assert {r.kind for r in sc.attributions(gold, found, "exact").collect()} == {"span_near_miss"}
     assert sc.span_match("iou", F.lit(0), F.lit(0), F.lit(0), F.lit(0)) is not None
 
 
+GOLD = "case_id string, field_id string, gold_index int, text string, byte_start int, byte_end int, expected_value string, expected_absent boolean"
+FOUND = "case_id string, field_id string, seq int, text string, context string, byte_start int, byte_end int, kept boolean"
+
+
+def one_field(spark, gold, found):
+    """gold (text, start, end) and candidates (text, context, start, end, kept) of a field."""
+    g = spark.createDataFrame([("c", "f", k, *row, None, False) for k, row in enumerate(gold)], GOLD)
+    return g, spark.createDataFrame([("c", "f", k, *row) for k, row in enumerate(found)], FOUND)
+
+
+@pytest.mark.parametrize(
+    ("gold", "found", "mode", "via"),
+    [
+        (("1.25%", None, None), ("Rate 1.25% a year", "", 0, 17, True), "overlap", "text"),
+        (("x", 0, 10), ("y", "", 2, 5, True), "contains", "span"),  # gold covers what was found
+        (("x", 0, 10), ("y", "", 2, 5, True), "contained_by", None),
+        (("x", 2, 5), ("y", "", 0, 10, True), "contained_by", "span"),
+        (("x", 2, 5), ("y", "", 0, 10, True), "contains", None),
+        (("x", 0, 4), ("y", "", 4, 8, True), "overlap", None),
+        (("x", 0, 4), ("y", "", 0, 4, True), "exact", "span"),
+        (("The Rate", 0, 4), ("the rate is", "", 20, 31, True), "overlap", "text"),  # after a span that misses
+        (("STRASSE", None, None), ("straße 5", "", 0, 9, True), "overlap", "text"),
+        (("2.5 per cent", None, None), ("2.5", "at 2.5 per cent", 0, 3, True), "overlap", "context"),
+        (("2.5 per cent", None, None), ("7", "at 2.5 per cent", 0, 1, True), "overlap", None),  # the candidate isn't part of gold's text
+        ((None, None, None), ("7", "", 0, 1, True), "overlap", None),
+    ],
+)
+def test_how_gold_matches(spark, gold, found, mode, via):
+    g, f = one_field(spark, [gold], [found])
+    assert [r.via for r in sc.matches(g, f, mode).collect()] == ([via] if via else [])
+    if via == "context":
+        assert sc.matches(g, f, mode, allow_context=False).count() == 0
+
+
+def test_why_gold_was_missed(spark):
+    gold = [("alpha", None, None), ("beta gamma", None, None), ("delta", None, None), ("eps", 50, 60), ("zeta", None, None)]
+    found = [("alpha!", "", 0, 6, False), ("alphas", "", 0, 6, False), ("beta", "", 8, 12, True), ("q", "near Delta", 20, 21, True), ("r", "", 55, 70, True), ("zeta", "", 80, 84, True), ("zeta", "", 90, 94, False)]
+    got = {tuple(r)[2:] for r in sc.attributions(*one_field(spark, gold, found), "exact").collect()}
+    assert got == {
+        (0, "filtered_candidates", "generated_then_filtered", 0), (0, "filtered_candidates", "generated_then_filtered", 1), (1, "candidates", "span_near_miss", 2),
+        (2, "candidates", "span_near_miss", 3), (3, "candidates", "span_near_miss", 4),
+    }
+    none = one_field(spark, [("omega", None, None)], [("psi", "", 0, 3, True)])
+    assert [tuple(r)[2:] for r in sc.attributions(*none).collect()] == [(0, "candidates", "not_generated", None)]
+    bare = one_field(spark, [(None, None, None)], [("psi", "", 0, 3, True)])
+    assert [tuple(r)[2:] for r in sc.attributions(*bare).collect()] == [(None, "comparability", "fixture_missing_evidence", None)]
+    assert [(r.status, r.raw, r.expected) for r in sc.score_candidates(*bare).collect()] == [("comparability_failed", 0, 0)]
+
+
+def test_totals_over_fields(spark):
+    g = spark.createDataFrame([("c", "f", 0, "a", None, None, None, False), ("c", "f", 1, "b", None, None, None, False), ("c", "g", 0, None, None, None, None, True)], GOLD)
+    f = spark.createDataFrame([("c", "f", 0, "a", "", 0, 1, True), ("c", "f", 1, "z", "", 2, 3, True), ("c", "f", 2, "b", "", 4, 5, False), ("c", "g", 0, "a", "", 0, 1, True)], FOUND)
+    got = {r.metric: (r.part, r.whole) for r in sc.aggregates(sc.score_candidates(g, f)).collect()}
+    assert got == {
+        "recall_at_candidates": (2, 2), "precision_at_candidates": (2, 4), "true_positive_at_candidates": (2, 2), "false_negative_at_candidates": (0, 2), "false_positive_at_candidates": (2, 4),
+        "recall_at_filtered": (1, 2), "precision_at_filtered": (1, 3), "true_positive_at_filtered": (1, 2), "false_negative_at_filtered": (1, 2), "false_positive_at_filtered": (2, 3),
+    }
+
+
 def test_deferred_budget_is_strict(spark):
     usage = spark.createDataFrame([(1, 0, 50, None), (1, 1, None, 50), (1, 2, 1, None)], "run_id int, seq int, input_tokens int, output_tokens int")
     assert [r.exceeded for r in deferred.token_budget(usage, 100).orderBy("seq").collect()] == [False, False, True]
