@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -70,8 +71,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def collect_garbage(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that are over: it does when the driver drops their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first drops what Python held, the second what that held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -195,3 +198,11 @@ def in_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 def plain(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone, so that other columns, whatever their names, play no part."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

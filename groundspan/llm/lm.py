@@ -51,6 +51,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LENGTH = np.uint64(0xD1B54A32D192ED03)
 _GROUP = np.uint64(0x8CB92BA72F3D8DD7)
+#: Ranges of the hashes of strings of two words or more are numbered from here, those of single words from 0.
+_OTHERS = 1 << 30
 
 PARTS = "part long, n long, block binary"
 COUNTS = "range int, part long, mark long, block binary"
@@ -163,13 +165,24 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
     release()
 
 
+def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each value its place among the distinct ones in order; of each distinct one, where one such is and how many there are."""
+    order = np.argsort(values)
+    fresh = np.append(True, np.diff(values[order]) != 0)[: len(values)]
+    first = np.flatnonzero(fresh)
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return place, order[first], np.diff(np.append(first, len(values)))
+
+
 class Strings(NamedTuple):
-    """A part's strings of some lengths: the words they end at, by length; distinct hashes, how often each; each string's place among them."""
+    """A part's strings of some lengths: the words they end at, by length; distinct hashes, single words' before the others', how often each; each string's place among them; how many are single words."""
 
     ends: dict[int, np.ndarray]
     found: np.ndarray
     count: np.ndarray
     place: np.ndarray
+    single: int
 
     def mark(self) -> int:
         return int(np.bitwise_xor.reduce(mix(self.found), initial=np.uint64(len(self.found))).astype(np.int64))
@@ -185,15 +198,21 @@ class Strings(NamedTuple):
 
 
 def strings(s: np.ndarray, ends: dict[int, np.ndarray], bits: int) -> Strings:
-    """Hashes have the given number of bits; the lowest tells single words from longer strings."""
-    own = [hashes(s[t + 1], s[t + 1 - k], k) >> np.uint64(64 - bits) & ~np.uint64(1) | np.uint64(k == 1) for k, t in ends.items()]
-    found, place, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    return Strings(ends, found, count, place)
+    """Strings of two words or more; hashes have the given number of bits."""
+    own = np.concatenate([hashes(s[t + 1], s[t + 1 - k], k) >> np.uint64(64 - bits) for k, t in ends.items()])
+    place, first, count = _grouped(own)
+    return Strings(ends, own[first], count, place, 0)
 
 
 def _first(part: Part, s: np.ndarray, bits: int) -> Strings:
     """Strings of one and two words."""
-    return strings(s, {1: np.arange(len(part.local)), 2: np.flatnonzero(part.inside() >= 2)}, bits)
+    words, _, count = _grouped(mix(part.vocabulary + _LENGTH) >> np.uint64(64 - bits))  # of the vocabulary
+    found = np.empty(len(count), np.uint64)
+    found[words] = mix(part.vocabulary + _LENGTH) >> np.uint64(64 - bits)
+    pairs = strings(s, {2: np.flatnonzero(part.inside() >= 2)}, bits)
+    place = words[part.local]
+    ends = {1: np.arange(len(part.local))} | pairs.ends
+    return Strings(ends, np.append(found, pairs.found), np.append(np.bincount(place, minlength=len(found)), pairs.count), np.append(place, pairs.place + len(found)), len(found))
 
 
 def _second(part: Part, s: np.ndarray, twice: np.ndarray, bits: int) -> Strings:
@@ -215,12 +234,13 @@ def _count_rows(bits: int, ranges: int, before: str | None):
         for part in _each(batches):
             s = sums(part.vocabulary[part.local])
             own = _first(part, s, bits) if before is None else _second(part, s, _twice(part, s, before, bits)[1], bits)
-            cuts = np.searchsorted(own.found, np.arange((1 << ranges) + 1, dtype=np.uint64) << np.uint64(bits - ranges))
             rows = []
-            for k in range(1 << ranges):
-                if cuts[k + 1] > cuts[k]:
-                    step = np.diff(own.found[cuts[k] : cuts[k + 1]], prepend=np.uint64(k << bits - ranges))
-                    rows.append((k, _join([*_planes(step, 8), *_planes(own.count[cuts[k] : cuts[k + 1]])])))
+            for kind, begin, found, wide in ((0, 0, own.found[: own.single], max(0, ranges - 4)), (_OTHERS, own.single, own.found[own.single :], ranges)):
+                cuts = np.searchsorted(found, np.arange((1 << wide) + 1, dtype=np.uint64) << np.uint64(bits - wide))
+                for k in range(1 << wide):
+                    if cuts[k + 1] > cuts[k]:
+                        step = np.diff(found[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))
+                        rows.append((kind + k, _join([*_planes(step, 8), *_planes(own.count[begin + cuts[k] : begin + cuts[k + 1]])])))
             if rows:
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -238,10 +258,11 @@ def _add_up(table: pa.Table) -> pa.Table:
         fields = _split(block, 12)
         found.append(np.cumsum(_values(fields[:8]), dtype=np.uint64))
         counts.append(_values(fields[8:]).astype(np.int64))
-    names, place = np.unique(np.concatenate(found), return_inverse=True)
-    total = np.bincount(place, np.concatenate(counts), len(names)).astype(np.int64)[place]
+    place, first, _ = _grouped(np.concatenate(found))
+    total = np.bincount(place, np.concatenate(counts), len(first)).astype(np.int64)[place]
     blocks = [_join(_planes(own, 6)) for own in np.split(total, np.cumsum([len(f) for f in found])[:-1])]
-    distinct = np.append(int((names & np.uint64(1)).sum()), np.zeros(len(blocks) - 1, np.int64))
+    single = table.column("range")[0].as_py() < _OTHERS
+    distinct = np.append(len(first) if single else 0, np.zeros(len(blocks) - 1, np.int64))
     return pa.table({"part": table.column("part"), "range": table.column("range"), "mark": table.column("mark"), "block": pa.array(blocks, pa.binary()), "distinct": pa.array(distinct, pa.int64())})
 
 
@@ -353,12 +374,11 @@ class Sums:
 
     def __call__(self, file: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.uint64)
-        order = np.argsort(file.astype(np.int64) << 40 | at)
-        sorted_file = file[order]
-        cuts = np.searchsorted(sorted_file, np.arange(len(self.files) + 1))
+        order = None if (file[1:] >= file[:-1]).all() else np.argsort(file.astype(np.int64) << 40 | at)
+        cuts = np.searchsorted(file if order is None else file[order], np.arange(len(self.files) + 1))
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
-                own = order[a:b]
+                own = slice(a, b) if order is None else order[a:b]
                 out[own] = self.files[k][at[own]] if not isinstance(self.files[k], str) else self._blockwise(k, at[own])
         return out
 
@@ -370,13 +390,13 @@ def search(read, key: np.ndarray, file: np.ndarray, at: np.ndarray, most: np.nda
     """
     here = read(file, at)
     longest, times = np.full(len(key), DIRECT, np.int64), np.ones(len(key), np.int64)
-    entry, group, level = np.arange(len(key)), np.unique(key, return_inverse=True)[1], DIRECT
+    entry, group, level = np.arange(len(key)), _grouped(key)[0], DIRECT
 
     def parted(of: np.ndarray, group: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The array's intervals of a greater length within those there are: number, size and a first suffix; a suffix that isn't that long is alone."""
         can = np.flatnonzero(most[of] >= length)
         name = mix(hashes(here[of[can]], read(file[of[can]], at[of[can]] - length[can]), length[can]) + group[can].astype(np.uint64) * _GROUP)
-        _, first, inside, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        inside, first, count = _grouped(name)
         number = np.empty(len(of), np.int64)
         number[can] = inside
         alone = np.flatnonzero(most[of] < length)
@@ -395,7 +415,7 @@ def search(read, key: np.ndarray, file: np.ndarray, at: np.ndarray, most: np.nda
             work.append((entry[of], size[own], one[own], group[of] + groups, np.full(len(of), level), np.full(len(of), 2 * level)))
             groups += int(group.max()) + 1
         more = ~one[number]
-        entry, group, level = entry[more], np.unique(number[more], return_inverse=True)[1], 2 * level
+        entry, group, level = entry[more], _grouped(number[more])[0], 2 * level
     if not work:
         return longest, times
     # one suffix for each interval of the greater length: how many it stands for, whether its own context is looked for, and between which lengths
@@ -417,13 +437,15 @@ def search(read, key: np.ndarray, file: np.ndarray, at: np.ndarray, most: np.nda
         kept, total = first[own], np.bincount(number, weight).astype(np.int64)[own]
         of, weight, wanted, low, high, group = (
             np.append(of[deeper], of[kept]), np.append(weight[deeper], total), np.append(wanted[deeper], still[own]), np.append(middle[deeper], low[kept]), np.append(high[deeper], middle[kept]),
-            np.unique(np.append(number[deeper], group[kept] + len(size)), return_inverse=True)[1],
+            _grouped(np.append(number[deeper], group[kept] + len(size)))[0],
         )
     return longest, times
 
 
 def _search_shard(files: str):
     def run(table: pa.Table) -> pa.Table:
+        by_file = np.argsort(table.column("file").to_numpy(zero_copy_only=False).astype(str), kind="stable")
+        table = table.take(pa.array(by_file))
         names = sorted(set(table.column("file").to_pylist()))
         number_of = {name: k for k, name in enumerate(names)}
         keys, file, place, most = [], [], [], []
