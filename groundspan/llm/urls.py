@@ -1,6 +1,6 @@
 """8. URL filter: logistic regression on hashed character n-grams of host and path.
 
-Trained in numpy from LABELLED, a small table of invented URLs; all of a URL is scored, by one pass
+Trained in numpy from a small labelled table of invented URLs (labelled), none of whose hosts and paths is in the given pages; all of a URL is scored, by one pass
 over the bytes of a batch. The weights are of fixed size.
 """
 
@@ -21,22 +21,32 @@ LENGTHS, BUCKETS, SEED = (3, 4, 5), 1 << 15, 3
 EPOCHS, RATE, PENALTY = 300, 0.05, 1e-3
 THRESHOLD = 0.5
 
-_UNWANTED_HOSTS = """cheap-pills buy-pills-online pillshop pharma-discount rx-cheap-meds viagra-direct cheapmeds24 discount-pills
-casino-royal online-casino casino-win lucky-casino slots-jackpot poker-bonus free-bets bet365-bonus sport-bets bets-now win-casino-cash
-jackpot-spins adult-x adult-videos xxx-tube sexcam-live hot-adult-dating porn-free nude-cams spam-farm link-farm seo-spam-links backlinks-farm
-ads-track adserver-clicks track-ads banner-ads click-tracker popup-ads ad-tracking-pixel malware-download free-cracks warez-keygen crack-serials
-payday-loans quick-cash-loan fast-loans-online replica-watches fake-rolex-shop free-ringtones win-iphone-free prize-winner-claim
-crypto-doubler get-rich-quick miracle-diet-pills weightloss-pills""".split()
-_NEUTRAL_PATHS = [f"/{lang}/{17 * k % 940}{end}" for k, (lang, end) in enumerate((lang, end) for end in ("", ".html", "/", "?page=2&ref=x", "?utm_source=feed", "#top") for lang in ("en", "de", "fr", "es"))]
-_UNWANTED_PATHS = "/buy-now /free-bonus?aff=77 /casino/slots /pills/cheap.html /xxx/1 /win /click?track=1 /promo/bets /".split() + _NEUTRAL_PATHS
-_WANTED_HOSTS = """gardenjournal citylibrary openmaps northriver museum-guide cookingnotes treehouse weatherdesk studentnews
-historyroom thestory theother thehouse nation-review tension station reading-circle mathforum birdwatch hillside harbourtown bookshelf
-filmcritic sciencedaily localnews healthcouncil university cityhall parksandtrails physicsnotes musiclessons photoclub localtheatre
-thinking theren therou tions thther thored onand einung ouvert ciones blog-notes railwaypages astronomy chessclub knitting farmersmarket tracking-birds
-farmhouse winery betterhomes trackandfield adaptation winterland castle marketing-research sportsclub lovepoetry softwaredocs linuxguide""".split()
-_WANTED_PATHS = "/ /about /2019/05/notes.html /articles/spring /wiki/River /forum/thread/88 /contact /archive?page=3 /category/books".split() + _NEUTRAL_PATHS
-_ENDS = ("example.com", "example.net", "example.org", "example.edu")
-_STARTS = ("", "www.", "m.", "blog.")
+_UNWANTED_HOSTS = """buy-pills-online pillshop pharma-discount rx-meds-now viagra-direct cialis-store discount-pills generic-pills pills4u diet-pills-shop
+cheap-meds cheap-viagra cheapest-rolex casino-royal online-casino lucky-casino casino-bonus casinoslots best-casino-games slots-jackpot poker-bonus pokerroom
+roulette-wins win-big-money win-prizes-now instant-win bet365-bonus sport-bets bets-now betting-tips livebets bigbets-online free-spins free-iphones free-cash-now
+jackpot-spins adult-videos adult-dating adultcams xxx-tube xxxmovies sexcam-live hot-singles porn-hd freeporn nude-cams escort-girls link-farm linkfarm-seo seo-spam
+spam-mailer spamlinks bulk-spam-sender backlinks-farm content-farm-net adserver-clicks ads-network adsclick banner-ads popup-ads track-ads click-tracker
+ad-tracking-pixel trackers-net tracking-beacon malware-download free-cracks warez-keygen crack-serials torrent-cracks payday-loans quick-cash-loan fast-loans-online
+replica-watches fake-rolex-shop free-ringtones prize-winner-claim crypto-doubler bitcoin-giveaway get-rich-quick miracle-diet weightloss-pills hacked-accounts""".split()
+_UNWANTED_PATHS = "/buy-now /free-bonus?aff=77 /casino/slots /pills/order.php /xxx/gallery /win /click?track=1 /promo/bets /deal?subid=9 /landing/claim-prize".split()
+_WANTED_HOSTS = """gardenjournal citylibrary openmaps northriver museum-guide cookingnotes treehouse weatherdesk studentnews historyroom shortstories
+nation-review gastation readingcircle mathforum birdwatch hillside harbourtown bookshelf filmcritic sciencedaily localnews healthcouncil university cityhall
+park-trails physicsnotes musiclessons photoclub localtheatre thinking-aloud mother-tongue weatherstation railwaypages astronomy chessclub knitting farmersmarket
+birdtracks farmhouse winery betterhomes trackandfield adaptation winterland castle-tours marketing-research sportsclub lovepoetry softwaredocs linuxguide
+essays-online freelance-writers freshwater-fish cheapside-history pillow-fort pillarbox alphabets tibetan-art spamalot-theatre addresses-of-note adultlearning
+adult-education tracking-wildlife trackmaintenance window-makers winding-roads northern-lights southern-cooking river-walks mountain-weather old-bridges
+stonemasons letterpress bakery-school village-fete choir-practice streetmaps opendata-portal parliament-watch lawreports court-records patent-search
+veterinary-clinic dental-practice nursing-notes algebra-tutor geometry-lab chemistry-set biology-dept archive-of-letters oralhistories genealogy-society
+cyclingroutes sailing-club rowing-association hiking-diary campsite-finder trainspotting bus-timetables airport-guide ferry-times translation-notes
+grammar-corner dictionary-of-places etymology journal-of-soils statistics-office survey-methods compiler-notes databasedesign kernel-hackers webstandards
+painting-studio sculpture-park ceramics-guild opera-house orchestra jazz-evenings folk-festival poetry-review novelists playwrights recipes-from-home
+haus-und-garten stadtbibliothek wanderwege kochbuch nachrichten-heute maison-et-jardin bibliotheque-municipale sentiers recettes-simples actualites
+casa-y-jardin biblioteca-central senderos cocina-facil noticias-locales""".split()
+_WANTED_PATHS = "/about /2019/05/notes.html /articles/spring /wiki/River /forum/thread/88 /contact /archive?year=1999 /category/books /team/members /events/calendar.ics".split()
+#: What says nothing, as both kinds of hosts have it.
+_NEUTRAL_PATHS = "/ /index.html /p/12345 /news/item-77.html /post?id=31 /blog/2021/11/03/update /a/b/c /search?q=word&sort=date /s/xk29 /page-4/ /view.php?n=8&lang=en /home#main /item/550/detail /feed.xml /topics/9?from=mail /docs/v2/start".split()
+_ENDS = ("com", "net", "org", "info", "edu", "co.uk", "de", "fr")
+_STARTS = ("", "www.", "", "en.", "shop.", "news.", "")
 
 
 @cache
@@ -46,7 +56,8 @@ def labelled() -> list[tuple[str, int]]:
     for hosts, paths, label in ((_UNWANTED_HOSTS, _UNWANTED_PATHS, 1), (_WANTED_HOSTS, _WANTED_PATHS, 0)):
         for i, host in enumerate(hosts):
             for k in range(4):
-                out.append((f"http{'s' * (k % 2)}://{_STARTS[(i + k) % 4]}{host}.{_ENDS[(i + 3 * k) % 4]}{paths[(7 * i + 10 * k) % len(paths)]}", label))
+                path = _NEUTRAL_PATHS[(5 * i + 3 * k) % len(_NEUTRAL_PATHS)] if k else paths[i % len(paths)]
+                out.append((f"http{'s' * (k % 2)}://{_STARTS[(i + 2 * k) % len(_STARTS)]}{host}.{_ENDS[(i + 3 * k) % len(_ENDS)]}{path}", label))
     return out
 
 
@@ -112,8 +123,8 @@ def fitted() -> tuple[np.ndarray, float]:
 def filter_urls(pages: DataFrame) -> DataFrame:
     """pages(url, ...) with url_score (0 to 1) and url_blocked (THRESHOLD or more).
 
-    No shuffle. A null URL has null results; an empty one, or one without host and path, scores by the bias alone. Repeated
-    rows score alike; columns of pages that have the name of a result are replaced.
+    No shuffle. A null URL has null results; an empty one, or one without host and path, scores by the bias alone. Very long URLs
+    are read whole; a score that equals THRESHOLD blocks. Repeated rows score alike; an empty table gives no rows; columns of pages that have the name of a result are replaced, others kept.
     """
     new = T.StructType().add("url_score", T.DoubleType()).add("url_blocked", T.BooleanType())
     kept = pages.drop(*new.names)
