@@ -3,10 +3,13 @@
 A document holds an item if some stretch of it lies within MAX_EDITS of the item's length in edit
 distance, case and white space aside. Candidates come from locality-sensitive hashing: the CGK random
 walk turns a window and an item into sequences whose Hamming distance follows the edit distance, and windows that agree with an
-item in a sample of positions, in any of WALKS x SAMPLES repetitions, are verified by exact edit distance. Walks are only
-taken where a lossless count allows a match: a stretch within k edits of an item of n bytes shares
-at least n - q + 1 - k q of its q-grams, so windows with fewer q-grams of any item can't match. There, a walk
-starts at every code point, as texts need not have spaces.
+item in a sample of positions, in any of the walks' SAMPLES, are verified by exact edit distance. The number of walks follows
+from RECALL: copies of the items themselves, with as many random edits as are allowed, are taken until that share is found (Items.walks).
+
+Windows are taken where a lossless count allows a match: a stretch within k edits of an item of n bytes shares
+at least n - q + 1 - k q of its q-grams, and those agree, but for the edits, in where the item begins. They begin where a shared q-gram would have the item begin, whatever is written there, as texts need not have spaces; an
+edit before all shared q-grams moves that by a place or two, which counts as one or two edits more.
+Items of about the same size are a class, with walks of its own length: a long item costs only its own memory.
 The items are broadcast in groups of at most GROUP_BYTES, one pass over the documents for each group.
 """
 
@@ -19,16 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, release, steps
+from .common import plain, release, steps, unused
 
 MAX_EDITS = 0.1
 GRAM = 8
-#: Repetitions: random walks, samples of each walk, positions in a sample.
-WALKS, SAMPLES, SAMPLE_SIZE, SEED = 4, 24, 5, 5
+#: The share of copies with the most edits allowed that hashing is to find; samples of each walk, positions in a sample; copies taken for the estimate.
+RECALL, SAMPLES, SAMPLE_SIZE, COPIES, SEED = 0.97, 24, 5, 400, 5
+#: Items whose sizes differ by less than this factor are of one class.
+CLASS = 1.3
+#: Of an item in which a q-gram occurs more often, only each q-gram's first place counts, and the shared ones need not agree in where the item begins.
+REPEATED = 8
 GROUP_BYTES = 8 << 20
 SLOTS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bytes of the code point that begins with a byte.
+_WIDE = np.ones(256, np.int64)
+_WIDE[0xC0:], _WIDE[0xE0:], _WIDE[0xF0:] = 2, 3, 4
+
 SCHEMA = "doc_id long, item_id long, edit_distance int, item_chars int"
 
 
@@ -82,144 +93,191 @@ def _slots(values: np.ndarray) -> np.ndarray:
     return ((values * _MULTIPLIER) >> np.uint64(64 - SLOTS)).astype(np.int32)
 
 
-def walks(data: np.ndarray, starts: np.ndarray, length: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """CGK walks over the bytes from each start: what each step shows, and how far it has come. table: a bit for each step and byte."""
-    shown = np.zeros((length, len(starts)), np.uint8)
-    place = np.zeros((length, len(starts)), np.int32)
-    come = np.zeros(len(starts), np.int64)
-    for j in range(length):
-        byte = data[starts + come]
-        shown[j], place[j] = byte, come
-        come += table[j][byte]
+def walks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: np.ndarray, count: int, sampled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """CGK walks over the bytes from each start, the byte at ends being 0 and going on for ever: what each of the sampled steps shows, and how far it has come (step x walk x start).
+
+    tables: for each step and byte the bits by which the walks go on.
+    """
+    shown = np.zeros((len(sampled), count, len(starts)), np.uint8)
+    place = np.zeros((len(sampled), count, len(starts)), np.int32)
+    at = np.repeat(starts[None], count, 0)
+    bit, plane = np.arange(count)[:, None] % 8, np.arange(count)[:, None] // 8
+    following = 0
+    for j in range(int(sampled[-1]) + 1):
+        byte = data[np.minimum(at, ends)]
+        if sampled[following] == j:
+            shown[following], place[following] = byte, at - starts
+            following += 1
+        at += tables[plane, j, byte] >> bit & 1
     return shown, place
 
 
+class Class:
+    """Items of about one size: how long their walks are, and where they are sampled."""
+
+    def __init__(self, items: np.ndarray, least: int, seed: int, count: int):
+        self.items, self.steps, self.count = items, max(1, 2 * least - 1), count
+        rng = np.random.default_rng((SEED, seed))
+        places = (rng.random((SAMPLES, SAMPLE_SIZE)) * self.steps).astype(np.int64)
+        self.salt = rng.integers(1, 1 << 62, SAMPLE_SIZE, dtype=np.uint64) | np.uint64(1)
+        self.sampled, number = np.unique(places, return_inverse=True)
+        self.number = number.reshape(places.shape)
+        self.tables = np.stack([rng.integers(0, 256, (self.steps, 256), dtype=np.uint8) for _ in range(-(-count // 8))])
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The sampled positions of walks from each start, as one hash for each walk and sample (walk x sample x start); sizes: of the item in question, beyond which nothing shows."""
+        shown, place = walks(data, starts, ends, self.tables, self.count, self.sampled)
+        seen = np.where(place < sizes, shown, 0).astype(np.uint64) + np.uint64(1)
+        out = np.zeros((self.count, SAMPLES, len(starts)), np.uint64)
+        for k in range(SAMPLES):
+            for m in range(SAMPLE_SIZE):
+                out[:, k] += seen[self.number[k, m]] * self.salt[m]
+        return out
+
+
+def _edited(text: str, edits: int, rng: np.random.Generator) -> bytes:
+    """A copy with so many random edits, a third of each kind."""
+    out = list(text)
+    for kind in rng.integers(0, 3, edits):
+        at = int(rng.integers(0, len(out) + (kind == 1))) if out else 0
+        letter = text[int(rng.integers(0, len(text)))]
+        out[at : at + (kind != 1)] = [] if kind == 2 else [letter if kind == 1 or out[at] != letter else "\x01"]
+    return "".join(out).encode("utf-8", "replace")
+
+
 class Items:
-    """A group of items: their q-grams, and the hashes of their walks."""
+    """A group of items: their q-grams, and the hashes of their walks; count: how many walks there are."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
+    def __init__(self, rows: list[tuple[int, bytes]], count: int | None = None):
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.texts = [r[1] for r in rows]
-        self.size = np.array([len(t) for t in self.texts])
-        self.chars = [len(t.decode("utf-8", "replace")) for t in self.texts]
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        letters = [t.decode("utf-8", "replace") for t in self.texts]
+        self.chars = [len(t) for t in letters]
         # an edit takes the q-grams that overlap one code point of the item, and may add a code point of up to four bytes
         self.limit = np.array([edits(c) for c in self.chars], np.int64)
-        widths = [sorted((len(c.encode("utf-8")) for c in t.decode("utf-8", "replace")), reverse=True) for t in self.texts]
+        widths = [sorted((len(c.encode("utf-8")) for c in t), reverse=True) for t in letters]
         lost = np.array([sum(w[:k]) + k * (GRAM - 1) for w, k in zip(widths, self.limit)], np.int64)
         self.need = self.size - GRAM + 1 - lost
         self.reach = self.limit * 4
         counted = np.flatnonzero(self.need > 0)
-        all_grams = [np.unique(grams(np.frombuffer(self.texts[i], np.uint8))) for i in counted]
-        gram = np.concatenate(all_grams) if len(counted) else np.zeros(0, np.uint64)
-        item = np.repeat(counted, [len(x) for x in all_grams]) if len(counted) else np.zeros(0, np.int64)
+        self.banded, each = np.zeros(len(rows), bool), []
+        for i in counted:
+            own = grams(np.frombuffer(self.texts[i], np.uint8))
+            distinct, first, times = np.unique(own, return_index=True, return_counts=True)
+            self.banded[i] = times.max() <= REPEATED
+            each.append((own, np.arange(len(own))) if self.banded[i] else (distinct, first))
+        gram, offset = (np.concatenate(x) for x in zip(*each)) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        item = np.repeat(counted, [len(x[0]) for x in each]) if each else np.zeros(0, np.int64)
+        self.width = np.array([w[0] if w else 1 for w in widths], np.int64)
         order = np.argsort(gram, kind="stable")
-        self.gram, self.gram_item = gram[order], item[order]
+        self.gram, self.gram_item, self.gram_place = gram[order], item[order], offset[order]
         self.known = np.zeros(1 << SLOTS, bool)
         self.known[_slots(self.gram)] = True
-        # classes of items of about the same size share a window and the least count that any of them needs
-        self.classes: list[tuple[int, int]] = []
-        left = sorted(counted, key=lambda i: self.size[i])
-        while left:
-            own = [i for i in left if self.size[i] <= 1.3 * self.size[left[0]] + 1]
-            left = left[len(own) :]
-            self.classes.append((int(max(self.size[own] + self.reach[own])), int(min(self.need[own]))))
-        # items too short for the count: one of limit + 1 pieces must occur as it is
-        self.pieces: list[tuple[int, bytes]] = []
+        # items too short for the count: one of limit + 1 pieces must occur as it is, at most limit places from where it would without edits
+        self.pieces: list[tuple[int, int, bytes]] = []
         for i in np.flatnonzero(self.need <= 0):
-            text, parts = self.texts[i].decode("utf-8", "replace"), self.limit[i] + 1
-            cuts = [len(text) * k // parts for k in range(parts + 1)]
-            self.pieces += [(int(i), text[a:b].encode("utf-8")) for a, b in zip(cuts, cuts[1:]) if b > a]
+            parts = self.limit[i] + 1
+            cuts = [len(letters[i]) * k // parts for k in range(parts + 1)]
+            self.pieces += [(int(i), len(letters[i][:a].encode("utf-8", "replace")), letters[i][a:b].encode("utf-8", "replace")) for a, b in zip(cuts, cuts[1:]) if b > a]
+        # items of a class share a window and the least count that any of them needs
+        members: list[np.ndarray] = []
+        by_size = np.argsort(self.size, kind="stable")
+        while len(by_size):
+            own = int(np.searchsorted(self.size[by_size], CLASS * self.size[by_size[0]] + 1, "right"))
+            members.append(by_size[:own])
+            by_size = by_size[own:]
+        self.windows = [(int(max(self.size[own] + self.reach[own])), int(min(self.need[own]))) for m in members if len(own := m[self.need[m] > 0])]
+        self.of_class, self.row = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for k, m in enumerate(members):
+            self.of_class[m], self.row[m] = k, np.arange(len(m))
+        self.count = self.walks(members) if count is None else count
+        self.classes, self.hashes = [], []
+        for k, m in enumerate(members):
+            self.classes.append(Class(m, int(self.size[m[0]]), k, self.count))
+            self.hashes.append(self.classes[k].hashes(*_rows([self.texts[i] for i in m]), self.size[m]))
+
+    def walks(self, members: list[np.ndarray]) -> int:
+        """How many walks find RECALL of random copies of these items with all edits allowed; the same at any number of documents."""
         rng = np.random.default_rng(SEED)
-        self.steps = int(2 * (self.size.max() if len(self.size) else 0)) + 1
-        self.tables = rng.integers(0, 2, (WALKS, self.steps, 256)).astype(np.int64)
-        self.samples = rng.random((WALKS, SAMPLES, SAMPLE_SIZE))
-        self.salt = rng.integers(1, 1 << 62, SAMPLE_SIZE, dtype=np.uint64) | np.uint64(1)
-        padded = np.zeros((len(rows), self.steps + 1), np.uint8)
-        for i, text in enumerate(self.texts):
-            padded[i, : len(text)] = np.frombuffer(text, np.uint8)
-        flat, starts = padded.ravel(), np.arange(len(rows)) * padded.shape[1]
-        self.hashes = np.stack([self.sample(w, *walks(flat, starts, self.steps, self.tables[w]), np.arange(len(rows)), np.arange(len(rows))) for w in range(WALKS)]) if rows else None
-
-    def sample(self, walk: int, shown: np.ndarray, place: np.ndarray, column: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """The sampled positions of walks (columns), cut to the size of an item, as one hash for each sample."""
-        size = self.size[item]
-        out = np.zeros((SAMPLES, len(column)), np.uint64)
-        for k in range(SAMPLES):
-            for m in range(SAMPLE_SIZE):
-                at = (self.samples[walk, k, m] * (2 * size - 1)).astype(np.int64)
-                seen = np.where(place[at, column] < size, shown[at, column], 0)
-                out[k] += (seen.astype(np.uint64) + np.uint64(1)) * self.salt[m]
-        return out
-
-    def matches(self, texts: list[bytes], regions: dict[int, list[tuple[int, int, int]]], chunk: int = 1 << 13) -> dict[tuple[int, int], int]:
-        """By text and item: the least edit distance within the limit, from the regions (begin, end, item) of each text."""
-        if not regions:
+        which = np.flatnonzero(self.limit > 0)
+        if not len(which):
+            return 1
+        which = np.sort(rng.choice(which, COPIES))
+        count = 4
+        while True:
+            rng, found = np.random.default_rng(SEED), []
+            for k in np.unique(self.of_class[which]):
+                own = which[self.of_class[which] == k]
+                made = Class(members[k], int(self.size[members[k][0]]), int(k), count)
+                step = max(1, (1 << 22) // made.steps)
+                for at in range(0, len(own), step):
+                    part = own[at : at + step]
+                    copies = [_edited(self.texts[i].decode("utf-8", "replace"), int(self.limit[i]), rng) for i in part]
+                    found.append((made.hashes(*_rows([self.texts[i] for i in part]), self.size[part]) == made.hashes(*_rows(copies), self.size[part])).any(1))
+            hit = np.concatenate(found, 1)
+            for n in range(1, count + 1):
+                if hit[:n].any(0).mean() >= RECALL:
+                    return n
+            count *= 2
+
+    def matches(self, texts: list[bytes], starts: dict[str, np.ndarray], chunk: int = 1 << 12) -> dict[tuple[int, int], int]:
+        """By text and item: the least edit distance within the limit, from candidates (see below)."""
+        text, item, start = starts["text"], starts["item"], starts["start"]
+        if not len(text):
             return {}
-        pad = bytes(self.steps + 1)
-        data = np.frombuffer(b"".join(texts[t] + pad for t in regions), np.uint8)
-        own, starts, items, of = 0, [], [], []
-        for t, found in regions.items():
-            text = data[own : own + len(texts[t])]
-            for begin, end, item in found:
-                place = np.flatnonzero((text[begin:end] & 0xC0) != 0x80) + begin  # every code point: an item need not follow a space
-                starts.append(place + own)
-                items.append(np.full(len(starts[-1]), item))
-                of.append(np.full(len(starts[-1]), t))
-            own += len(text) + len(pad)
-        start, item, of_text = (np.concatenate(x) for x in (starts, items, of))
-        hit = np.zeros(len(start), bool)
-        first, column = np.unique(start, return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        cuts = np.searchsorted(column[order], np.arange(0, len(first) + chunk, chunk))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            pairs = order[a:b]
-            for w in range(WALKS):
-                left = pairs[~hit[pairs]]
-                shown, place = walks(data, first[k * chunk : (k + 1) * chunk], self.steps, self.tables[w])
-                hit[left] = (self.sample(w, shown, place, column[left] - k * chunk, item[left]) == self.hashes[w][:, item[left]]).any(0)
+        used, number = np.unique(text, return_inverse=True)
+        data, begins, ends = _rows([texts[t] for t in used])
+        hit = np.zeros(len(text), bool)
+        for k in np.unique(self.of_class[item]):
+            own = np.flatnonzero(self.of_class[item] == k)
+            for at in range(0, len(own), chunk):
+                pairs = own[at : at + chunk]
+                found = self.classes[k].hashes(data, begins[number[pairs]] + start[pairs], ends[number[pairs]], self.size[item[pairs]])
+                hit[pairs] = (found == self.hashes[k][:, :, self.row[item[pairs]]]).any((0, 1))
         out: dict[tuple[int, int], int] = {}
         done: dict[tuple[int, int], int] = {}
-        order = np.lexsort((start, item))[hit[np.lexsort((start, item))]]
-        raw = data.tobytes()
-        for s, i, t in zip(start[order].tolist(), item[order].tolist(), of_text[order].tolist()):
+        for t, i, s in zip(text[hit].tolist(), item[hit].tolist(), start[hit].tolist()):
             if s < done.get((t, i), -1):
                 continue  # the stretch verified before goes at least as far
             reach, size = int(self.reach[i]), int(self.size[i])
             done[t, i] = s + size // 2
-            stretch = raw[max(0, s - reach) : s + size + 2 * reach + size // 2]
-            distance = edit_distance(self.texts[i], stretch.strip(b"\0"))
+            distance = edit_distance(self.texts[i], texts[t][max(0, s - reach) : s + size + 2 * reach + size // 2])
             if distance <= self.limit[i]:
                 out[t, i] = min(out.get((t, i), distance), distance)
         return out
 
 
-def candidates(items: Items, texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
-    """By text: regions (begin, end, item) in which a window may match the item. Lossless."""
+def _rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, a 0 behind each, and where each begins and ends."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    until = np.cumsum(sizes)
+    return np.frombuffer(b"\0".join(texts) + b"\0", np.uint8), until - sizes, until - 1
+
+
+def candidates(items: Items, texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Where windows begin that may match an item: text, item, start in the text; in that order. Every match has one, at most as many places off as it has edits."""
     joined = b"\n".join(texts) + b"\n"
-    sizes = np.array([len(t) + 1 for t in texts])
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
     data = np.frombuffer(joined, np.uint8)
-    out: dict[int, list[tuple[int, int, int]]] = {}
-
-    def add(begin: int, end: int, item: int) -> None:
-        for t in range(int(np.searchsorted(begins, begin, "right")) - 1, int(np.searchsorted(begins, end, "left"))):
-            a, b = max(0, begin - begins[t]), min(sizes[t] - 1, end - begins[t])
-            if b > a:
-                out.setdefault(t, []).append((int(a), int(b), item))
-
-    for item, piece in items.pieces:
-        at = joined.find(piece)
-        reach, size = int(items.reach[item]), int(items.size[item])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # where the evidence is, item, where the item would begin
+    for item, offset, piece in items.pieces:
+        at, places = joined.find(piece), []
         while at >= 0:
-            add(max(0, at - size - reach), at + 1, item)
+            places.append(at)
             at = joined.find(piece, at + 1)
-    if items.classes and len(data) >= GRAM:
+        if places:
+            off = np.arange(-int(items.limit[item]), int(items.limit[item]) + 1)
+            place = np.repeat(np.array(places, np.int64), len(off))
+            found.append((place, np.full(len(place), item), place - offset + np.tile(off, len(places))))
+    if items.windows and len(data) >= GRAM:
         values = grams(data)
         hits = np.flatnonzero(items.known[_slots(values)])
         value = values[hits]
         hits = hits[np.append(items.gram, np.uint64(0))[np.searchsorted(items.gram, value)] == value]
         marked = np.zeros(len(hits), bool)
-        for window, need in items.classes:
+        for window, need in items.windows:
             if len(hits) >= need:
                 full = np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] <= window)
                 edge = np.bincount(full, minlength=len(hits) + 1) - np.bincount(full + need, minlength=len(hits) + 1)
@@ -229,28 +287,29 @@ def candidates(items: Items, texts: list[bytes]) -> dict[int, list[tuple[int, in
         low, high = np.searchsorted(items.gram, value), np.searchsorted(items.gram, value, "right")
         count = high - low
         which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item, place = items.gram_item[which], np.repeat(hits, count)
-        order = np.lexsort((place, item))
-        item, place = item[order], place[order]
+        item, place, begin = items.gram_item[which], np.repeat(hits, count), np.repeat(hits, count) - items.gram_place[which]
+        # the q-grams that a match shares would have the item begin within as many bytes as its edits put in or take out
+        text = np.searchsorted(begins, place, "right") - 1
+        wide = np.maximum.reduceat(_WIDE[data], begins)[text]
+        spread = np.where(items.banded[item], items.limit[item] * np.maximum(items.width[item], wide), items.size[item] + items.reach[item])
+        along = np.where(items.banded[item], begin, place)
+        order = np.lexsort((along, item))
+        item, place, begin, along, spread = (x[order] for x in (item, place, begin, along, spread))
         need = items.need[item]
         last = np.arange(len(item)) + need - 1
         inside = last < len(item)
         last = np.where(inside, last, 0)
-        good = inside & (item[last] == item) & (place[last] - place <= items.size[item] + items.reach[item])
-        begin, end = None, None
-        for k in np.flatnonzero(good).tolist():
-            i = int(item[k])
-            slack = int(items.size[i] + items.reach[i])
-            a, b = int(place[last[k]]) + GRAM - slack, int(place[k]) + 1
-            if begin is not None and i == current and a <= end:
-                end = max(end, b)
-                continue
-            if begin is not None:
-                add(max(0, begin), end, current)
-            begin, end, current = a, b, i
-        if begin is not None:
-            add(max(0, begin), end, current)
-    return out
+        good = np.flatnonzero(inside & (item[last] == item) & (along[last] - along <= spread))
+        edge = np.bincount(good, minlength=len(item) + 1) - np.bincount(last[good] + 1, minlength=len(item) + 1)
+        own = np.cumsum(edge)[: len(item)] > 0
+        found.append((place[own], item[own], begin[own]))
+    if not found:
+        return {"text": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "start": np.zeros(0, np.int64)}
+    place, item, begin = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+    text = np.searchsorted(begins, place, "right") - 1
+    start = np.clip(begin - begins[text], 0, np.maximum(sizes[text] - 2, 0))
+    rows = np.unique(np.stack([text, item, start]), axis=1) if len(text) else np.zeros((3, 0), np.int64)
+    return dict(zip(("text", "item", "start"), rows))
 
 
 def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -270,8 +329,8 @@ def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edit_distance, item_chars): each document and item of benchmark(item_id, text) that it holds.
 
-    Texts and items are compared in lower case, with single spaces; an item of n characters matches a
-    stretch within n / 10 edits, rounded down. Nulls, empty texts and items hold and are nothing. A row of docs
+    Texts and items are compared in lower case, with single spaces, whole, however long they are; an item of n characters matches a
+    stretch within n / 10 edits, rounded down; exact and closer copies are found with a greater chance than RECALL. Of several stretches the least distance counts. Nulls, empty texts and items hold and are nothing. A row of docs
     without doc_id appears with a null; rows that repeat a doc_id, and items that repeat an item_id, count as one, with the least distance.
     Other columns are ignored; an empty table gives no rows. No shuffle but that of the pairs found.
     """
@@ -279,10 +338,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = plain(docs).where("text IS NOT NULL")
     found = None
     for group in _groups(benchmark):
-        shared = spark.sparkContext.broadcast(group)
+        shared = spark.sparkContext.broadcast((group, Items(group).count))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value)
+            items = Items(*shared.value)
             for batch in batches:
                 release()
                 for part in steps(batch):
@@ -305,6 +364,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without those that hold an item. Few are expected: Spark chooses the join by the size of their ids."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs, all columns, without those that hold an item. Few are expected: Spark chooses the join by the size of their ids.
+
+    Rows whose text is null or empty stay. Rows without doc_id count as one document, as do those that repeat one: all go if one holds an item. Very
+    long texts and items, ties and empty tables as in contaminated; columns of any name are kept.
+    """
+    gone = unused(docs, "gone")
+    return docs.join(contaminated(docs, benchmark).select(F.col("doc_id").alias(gone)).distinct(), docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
