@@ -1,12 +1,12 @@
 """5. Line deduplication by sharded minimal perfect hashes.
 
-A line that occurs more than MAX_COUNT times in the corpus stays only where it occurs first. The
-lines' 128-bit hashes are counted; those of lines that occur that often are spread over shards, and each
-shard builds a minimal perfect hash over half of the bits: bit arrays, level by level, for the keys
-that collided with none, and ranks in them. The rank indexes flat arrays with the other half as fingerprint, the
-count and the first occurrence. Documents probe the arrays with the hashes of their own lines; no line
-is ever joined. Up to BROADCAST_BYTES of arrays, each worker holds all shards and documents stay where they are; beyond
-it, the hashes go to their shard, and only the numbers of lines to remove come back.
+A line that occurs more than MAX_COUNT times in the corpus stays only where it occurs first. Documents are
+written in buckets, which they don't leave; what travels is each bucket's distinct lines, as two hashes, a count and the first place.
+They are spread over shards by hash, so that a frequent line is one entry for each bucket, however often it occurs. Each
+shard builds a minimal perfect hash over all its distinct line hashes: bit arrays, level by level, for the keys
+that collided with none, and ranks in them. The rank indexes flat arrays with the other hash as fingerprint, the
+count and the first occurrence. The buckets' lines probe the arrays, and those that occur too often go back to their bucket,
+where the documents' lines are looked up among them; no line is ever joined, and no worker holds more than a shard or a bucket's answers.
 """
 
 from __future__ import annotations
@@ -16,23 +16,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, written
+from .common import filesystem, mix, new_path, release, stored, unused
 
-#: A line may occur so often; shorter lines (in characters, without white space at either end) always stay.
+#: A line may occur so often; shorter lines (in characters, without white space at either end) always stay. Both are arguments too.
 MAX_COUNT, MIN_CHARS = 6, 20
-#: Documents of whose characters in lines a smaller share remains are dropped by drop_repeated_lines.
-MIN_LEFT = 0.3
-SHARD_KEYS = 1 << 20
-BROADCAST_BYTES = 32 << 20
+#: Bytes of text whose lines a shard is meant to have; distinct lines that a task gathers of a bucket before it sends them.
+SHARD_BYTES, GATHER = 64 << 20, 1 << 20
 #: Bits of a level's array for each of its keys.
 GAMMA = 2.0
 #: White space that doesn't count at either end of a line.
 BLANK = " \t\r\f\x0b"
 
-INDEX = "shard int, levels array<long>, bits binary, ranks binary, prints binary, counts binary, owners binary, places binary"
+LINES = "shard int, bucket int, keys binary, prints binary, counts binary, owners binary, places binary"
+OFTEN = "bucket int, keys binary, prints binary, owners binary, places binary"
+_KINDS = {"keys": np.uint64, "prints": np.uint32, "counts": np.int64, "owners": np.int64, "places": np.int32}
 
 
 def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -67,172 +69,207 @@ def index_of(keys: np.ndarray, sizes: list[int], bits: np.ndarray, ranks: np.nda
     return out
 
 
-class Shards:
-    """The shards' arrays, and the probes of them."""
+class Shard:
+    """The perfect hash of a shard's distinct lines, and its arrays."""
 
-    def __init__(self, rows: list[dict]):
-        self.count = len(rows)
-        self.rows = {
-            row["shard"]: (row["levels"], *(np.frombuffer(row[k], t) for k, t in (("bits", np.uint8), ("ranks", np.uint32), ("prints", np.uint64), ("counts", np.uint32), ("owners", np.int64), ("places", np.int32))))
-            for row in rows
-        }
+    def __init__(self, keys: np.ndarray, prints: np.ndarray, counts: np.ndarray, owners: np.ndarray, places: np.ndarray):
+        """The lines' occurrences, added up by bucket or not. Of two lines with one key the one with the least fingerprint is in."""
+        order = np.lexsort((places, owners, prints, keys))
+        keys, prints, counts, owners, places = (x[order] for x in (keys, prints, counts, owners, places))
+        first = np.flatnonzero(np.append(True, (np.diff(keys) != 0) | (np.diff(prints) != 0))[: len(keys)])
+        total = np.add.reduceat(counts, first) if len(first) else counts[:0]
+        own = np.append(True, np.diff(keys[first]) != 0)[: len(first)]
+        first, total = first[own], total[own]
+        self.hash = build(keys[first])
+        at = np.empty(len(first), np.int64)
+        at[index_of(keys[first], *self.hash)] = np.arange(len(first))
+        self.prints, self.counts, self.owners, self.places = prints[first][at], np.minimum(total, 2**32 - 1).astype(np.uint32)[at], owners[first][at], places[first][at]
 
-    def repeated(self, shards: int, keys: np.ndarray, prints: np.ndarray, owners: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Which lines occur too often and, at this place of this document, not for the first time."""
-        out = np.zeros(len(keys), bool)
-        shard = shard_of(keys, shards)
-        for k, (levels, bits, ranks, own_prints, counts, own_owners, own_places) in self.rows.items():
-            at = np.flatnonzero(shard == k) if shards > 1 else np.arange(len(keys))
-            place = index_of(keys[at], levels, bits, ranks)
-            at, place = at[place >= 0], place[place >= 0]
-            known = own_prints[place] == prints[at]
-            at, place = at[known], place[known]
-            out[at] = (counts[place] > MAX_COUNT) & ((own_owners[place] != owners[at]) | (own_places[place] != places[at]))
-        return out
+    def often(self, keys: np.ndarray, prints: np.ndarray, max_count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which lines occur more than max_count times, and their places in the arrays."""
+        place = index_of(keys, *self.hash)
+        at = np.flatnonzero(place >= 0)
+        at = at[(self.prints[place[at]] == prints[at]) & (self.counts[place[at]] > max_count)]
+        return at, place[at]
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (keys >> np.uint64(33)).astype(np.int64) % shards
 
 
-def _build_shards(shards: int):
+def _flat(doc_id: pa.Array, keys: pa.Array, prints: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of the lines that count: which line of all it is, key, fingerprint, doc_id, place; and the number of lines of each document."""
+    sizes = pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, other = keys.flatten(), prints.flatten()
+    line = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
+    owner = np.repeat(doc_id.fill_null(0).to_numpy(zero_copy_only=False), sizes)[line]
+    place = line - np.repeat(np.cumsum(sizes) - sizes, sizes)[line]
+    return line, flat.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)[line], other.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint32)[line], owner, place.astype(np.int32), sizes
+
+
+def _distinct(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Lines (key, print, count, owner, place) added up."""
+    keys, prints, counts, owners, places = (np.concatenate(x) for x in zip(*rows))
+    order = np.lexsort((places, owners, prints, keys))
+    keys, prints, counts, owners, places = (x[order] for x in (keys, prints, counts, owners, places))
+    first = np.flatnonzero(np.append(True, (np.diff(keys) != 0) | (np.diff(prints) != 0))[: len(keys)])
+    return keys[first], prints[first], np.add.reduceat(counts, first) if len(first) else counts, owners[first], places[first]
+
+
+def _line_rows(shards: int):
+    """Each bucket's distinct lines, by shard."""
+
+    def send(bucket: int, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
+        columns = _distinct(rows)
+        shard = shard_of(columns[0], shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        own = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(shards) if cuts[k + 1] > cuts[k]]
+        if not own:
+            return None
+        arrays = [pa.array([c[at].astype(t).tobytes() for _, at in own], pa.binary()) for c, t in zip(columns, _KINDS.values())]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([bucket] * len(own), pa.int32()), *arrays], ["shard", "bucket", *_KINDS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (batches := list(batches)):
-            return
-        table = pa.Table.from_batches(batches)
-        key, prints, count, owner, place = (table.column(c).to_numpy() for c in ("key", "print", "n", "owner", "place"))
-        key = key.view(np.uint64)
-        shard = shard_of(key, shards)
-        for k in np.unique(shard):
-            own = np.flatnonzero(shard == k)
-            order = np.lexsort((prints[own], key[own]))
-            own = own[order]
-            own = own[np.append(True, key[own][1:] != key[own][:-1])]
-            sizes, bits, ranks = build(key[own])
-            at = np.empty(len(own), np.int64)
-            at[index_of(key[own], sizes, bits, ranks)] = own
-            row = {"shard": int(k), "levels": sizes, "bits": bits.tobytes(), "ranks": ranks.tobytes(), "prints": prints[at].tobytes()}
-            row |= {"counts": np.minimum(count[at], 2**32 - 1).astype(np.uint32).tobytes(), "owners": owner[at].tobytes(), "places": place[at].astype(np.int32).tobytes()}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("levels", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("bits", "ranks", "prints", "counts", "owners", "places"))]))
+        bucket, rows, size = None, [], 0
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for a, b in zip(edges := np.append(0, np.flatnonzero(np.diff(of)) + 1), np.append(edges[1:], len(of))):
+                if len(of) and rows and (of[a] != bucket or size > GATHER):
+                    yield from filter(None, [send(bucket, rows)])
+                    rows, size = [], 0
+                if b > a:
+                    bucket = int(of[a])
+                    _, key, fingerprint, owner, place, _ = _flat(*(batch.column(k).slice(a, b - a) for k in (1, 2, 3)))
+                    rows.append(_distinct([(key, fingerprint, np.ones(len(key), np.int64), owner, place)]))
+                    size += len(rows[-1][0])
+        if rows:
+            yield from filter(None, [send(bucket, rows)])
+        release()
 
     return run
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def _search_shard(max_count: int):
+    def run(table: pa.Table) -> pa.Table:
+        blocks = [tuple(np.frombuffer(x, t) for x, t in zip(row, _KINDS.values())) for row in zip(*(table.column(c).to_pylist() for c in _KINDS))]
+        shard = Shard(*(np.concatenate(x) for x in zip(*blocks)))
+        out = []
+        for bucket, (keys, prints, *_) in zip(table.column("bucket").to_pylist(), blocks):
+            at, place = shard.often(keys, prints, max_count)
+            if len(at):
+                out.append((bucket, keys[at].tobytes(), prints[at].tobytes(), shard.owners[place].tobytes(), shard.places[place].tobytes()))
+        release()
+        columns = list(zip(*out)) or [()] * 5
+        return pa.table({"bucket": pa.array(columns[0], pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(("keys", "prints", "owners", "places"), columns[1:])})
 
+    return run
 
-def _bare(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANK))
 
+class Often:
+    """A bucket's lines that occur too often, in the order of their keys."""
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """docs with keys and prints: two hashes of each line, both null for those that are too short to count."""
-    bare = F.transform(_lines(F.col("text")), lambda x: F.when(F.length(_bare(x)) >= MIN_CHARS, _bare(x)))
-    return docs.withColumns({"__keys": F.transform(bare, lambda x: F.when(x.isNotNull(), F.xxhash64(x))), "__prints": F.transform(bare, lambda x: F.when(x.isNotNull(), F.xxhash64(F.lit(7), x)))})
+    def __init__(self, folder: str, bucket: int):
+        fs, path = filesystem(f"{folder}/bucket={bucket}")
+        info = fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
+        rows = [row for f in info if f.base_name.endswith(".parquet") for row in pq.read_table(f.path, filesystem=fs, partitioning=None).to_pylist()]
+        columns = [np.concatenate([np.frombuffer(r[c], _KINDS[c]) for r in rows] or [np.zeros(0, _KINDS[c])]) for c in ("keys", "prints", "owners", "places")]
+        _, first = np.unique(columns[0], return_index=True)  # a bucket's tasks may send a line each; the answers are alike
+        self.keys, self.prints, self.owners, self.places = (c[first] for c in columns)
 
+    def gone(self, keys: np.ndarray, prints: np.ndarray, owners: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which lines occur too often and, at this place of this document, not for the first time."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return (self.keys[at] == keys) & (self.prints[at] == prints) & ((self.owners[at] != owners) | (self.places[at] != places))
 
-def _index(hashed: DataFrame) -> tuple[DataFrame, int]:
-    """The shards of the lines that occur too often."""
-    each = hashed.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.arrays_zip("__keys", "__prints")).alias("place", "line"))
-    counts = each.where("line.__keys IS NOT NULL").groupBy(F.col("line.__keys").alias("key"), F.col("line.__prints").alias("print"))
-    often = counts.agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where(F.col("n") > MAX_COUNT)
-    often = written(often.select("key", "print", "n", F.col("first.doc_id").alias("owner"), F.col("first.place").alias("place")), "lines")
-    shards = max(1, -(-often.count() // SHARD_KEYS))
-    shard = F.pmod(F.shiftrightunsigned("key", 33), F.lit(shards)).cast("int")
-    built = often.repartition(shards, shard).mapInArrow(_build_shards(shards), INDEX)
-    return written(built, "line-index"), shards
 
+def _probe(folder: str):
+    held: dict[int, Often] = {}
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with __gone: for each line of the text whether it is to be removed, null where nothing is."""
-    spark = docs.sparkSession
-    hashed = _hashed(docs)
-    index, shards = _index(hashed.select("doc_id", "__keys", "__prints"))
-    size = index.agg(F.sum(F.length("bits") + F.length("ranks") + F.length("prints") + F.length("counts") + F.length("owners") + F.length("places"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast([row.asDict() for row in index.collect()])
+    def probe(bucket: pa.Array, doc_id: pa.Array, keys: pa.Array, prints: pa.Array) -> pa.Array:
+        line, key, fingerprint, owner, place, sizes = _flat(doc_id, keys, prints)
+        of = np.repeat(bucket.to_numpy(zero_copy_only=False), sizes)[line]
+        gone = np.zeros(int(sizes.sum()), bool)
+        for k in np.unique(of).tolist():
+            if k not in held:
+                held.clear()
+                held[k] = Often(folder, k)
+            own = of == k
+            gone[line[own]] = held[k].gone(key[own], fingerprint[own], owner[own], place[own])
+        some = np.zeros(len(sizes), bool)
+        some[np.repeat(np.arange(len(sizes)), sizes)[gone]] = True
+        some &= doc_id.is_valid().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(gone), mask=pa.array(~some))
 
-        @F.arrow_udf("array<boolean>")
-        def probe(doc_id: pa.Array, keys: pa.Array, prints: pa.Array) -> pa.Array:
-            return _probe(_held(shared), shards, doc_id, keys, prints)
+    def typed(bucket: pa.Array, doc_id: pa.Array, keys: pa.Array, prints: pa.Array) -> pa.Array:
+        return probe(bucket, doc_id, keys, prints)
 
-        return hashed.withColumn("__gone", probe("doc_id", "__keys", "__prints")).drop("__keys", "__prints")
-    each = hashed.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.arrays_zip("__keys", "__prints")).alias("place", "line")).where("line.__keys IS NOT NULL")
-    each = each.select(F.pmod(F.shiftrightunsigned("line.__keys", 33), F.lit(shards)).cast("int").alias("shard"), F.col("line.__keys").alias("key"), F.col("line.__prints").alias("print"), "doc_id", "place")
-    gone = each.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe_shard, "doc_id long, place int")
-    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("place").alias("__places"))
-    both = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
-    flags = F.transform(_lines(F.col("text")), lambda _, i: F.array_contains("__places", i))
-    return both.withColumn("__gone", F.when(F.col("__places").isNotNull(), flags)).drop("__id", "__places")
+    return F.arrow_udf(typed, "array<boolean>")
 
 
-_shards: list[tuple[list[dict], Shards]] = []
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def _held(shared) -> Shards:
-    """The broadcast shards, unpacked once for each process."""
-    if not _shards or _shards[0][0] is not shared.value:
-        _shards[:] = [(shared.value, Shards(shared.value))]
-    return _shards[0][1]
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK))
 
 
-def _probe(held: Shards, shards: int, doc_id: pa.Array, keys: pa.Array, prints: pa.Array) -> pa.Array:
-    sizes = pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, other = keys.flatten(), prints.flatten()
-    line = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
-    owner = np.repeat(doc_id.fill_null(0).to_numpy(zero_copy_only=False), sizes)[line]
-    begin = np.cumsum(sizes) - sizes
-    place = line - np.repeat(begin, sizes)[line]
-    key, fingerprint = (x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)[line] for x in (flat, other))
-    gone = np.zeros(int(sizes.sum()), bool)
-    gone[line] = held.repeated(shards, key, fingerprint, owner, place)
-    some = np.zeros(len(sizes), bool)
-    some[np.repeat(np.arange(len(sizes)), sizes)[gone]] = True
-    some &= doc_id.is_valid().to_numpy(zero_copy_only=False)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(gone), mask=pa.array(~some))
-
-
-def _probe_shard(lines: pa.Table, index: pa.Table) -> pa.Table:
-    key, fingerprint, doc_id, place = (lines.column(c).to_numpy() for c in ("key", "print", "doc_id", "place"))
-    gone = Shards(index.to_pylist()).repeated(1, key.view(np.uint64), fingerprint.view(np.uint64), doc_id, place)
-    return pa.table({"doc_id": doc_id[gone], "place": pa.array(place[gone], pa.int32())})
-
-
-def _kept(docs: DataFrame) -> DataFrame:
-    """The text without the lines to remove, and figures; a text that loses none stays as it is, byte by byte."""
-    flagged = repeated_lines(docs)
-    lines = _lines(F.col("text"))
-    left = F.filter(lines, lambda _, i: ~F.element_at("__gone", i + 1))
-    size = lambda x: F.aggregate(x, F.lit(0), lambda s, line: s + F.length(line))
-    return flagged.withColumns(
-        {
-            "__n": F.coalesce(F.size(lines), F.lit(0)),
-            "__removed": F.when(F.col("__gone").isNotNull(), F.size(F.filter("__gone", lambda x: x))).otherwise(0),
-            "__text": F.when(F.col("__gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")),
-            "__left": F.when(F.col("__gone").isNotNull(), size(left) / size(lines)).otherwise(1.0),
-        }
-    ).drop("__gone")
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def _hashes(min_chars: int) -> list[Column]:
+    """Two hashes of each line of text, both null for those that are too short to count."""
+    bare = F.transform(_lines(F.col("text")), lambda x: F.when(F.length(_bare(x)) >= min_chars, _bare(x)))
+    return [F.transform(bare, lambda x: F.when(x.isNotNull(), F.xxhash64(x))), F.transform(bare, lambda x: F.when(x.isNotNull(), F.hash(x)))]
+
+
+def _kept(docs: DataFrame, max_count: int, min_chars: int) -> tuple[DataFrame, dict[str, str]]:
+    """docs with further columns, whose names are returned: text without the lines to remove, as it is byte by byte if it loses none; n: its lines; removed: of these."""
+    spark = docs.sparkSession
+    name = {x: unused(docs, f"__{x}") for x in ("bucket", "keys", "prints", "gone", "n", "removed", "text")}
+    rows, _ = stored(docs.withColumn(name["bucket"], F.spark_partition_id()), "lines-documents")
+    shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    keys, prints = _hashes(min_chars)
+    doc_id = F.col("doc_id").cast("long")
+    own = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(name["bucket"], doc_id.alias("doc_id"), keys.alias(name["keys"]), prints.alias(name["prints"]))
+    often = own.mapInArrow(_line_rows(shards), LINES).groupBy("shard").applyInArrow(_search_shard(max_count), OFTEN)
+    often.repartition("bucket").write.partitionBy("bucket").parquet(folder := new_path(spark, "frequent-lines"))
+    hashed = rows.withColumns({name["keys"]: keys, name["prints"]: prints})
+    flagged = hashed.withColumn(name["gone"], _probe(folder)(F.col(name["bucket"]), doc_id, F.col(name["keys"]), F.col(name["prints"])))
+    gone, lines = F.col(name["gone"]), _lines(F.col("text"))
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.element_at(gone, i + 1)), "\n")
+    out = {
+        name["n"]: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)),
+        name["removed"]: F.when(gone.isNotNull(), F.size(F.filter(gone, lambda x: x))).otherwise(0),
+        name["text"]: F.when(gone.isNotNull(), left).otherwise(F.col("text")),
+    }
+    return flagged.withColumns(out), name
+
+
+def dedup_lines(docs: DataFrame, max_count: int = MAX_COUNT, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) for each row, the text without repeated lines.
 
     Lines end at line feeds; white space at either end plays no part in comparing them. A line of
-    MIN_CHARS characters or more that occurs more than MAX_COUNT times in all texts stays only at its first
+    min_chars characters or more that occurs more than max_count times in all texts stays only at its first
     place: the least doc_id, then the least line number. Rows that repeat a doc_id count as further occurrences, and
     each keeps the line at that place. Rows without doc_id are neither counted nor changed; a null text stays null
-    and has no lines, an empty one has one. Other columns are ignored.
+    and has no lines, an empty one has one. Very long texts are read whole. Other columns, whatever their names, are ignored; an empty
+    table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _kept(docs).select("doc_id", F.col("__text").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.col("__n")).alias("n_lines"), F.col("__removed").alias("n_removed"))
+    out, name = _kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), max_count, min_chars)
+    return out.select("doc_id", F.col(name["text"]).alias("text"), F.col(name["n"]).alias("n_lines"), F.col(name["removed"]).alias("n_removed"))
+
 
+def drop_repeated_lines(docs: DataFrame, max_count: int = MAX_COUNT, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs, all rows and columns, with the texts of dedup_lines; n_chars, if there, follows.
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with the texts of dedup_lines; n_chars, if there, follows. Documents of which less than MIN_LEFT of the characters remains go."""
-    out = _kept(docs).where(F.col("__left") >= MIN_LEFT)
-    new = {"text": F.col("__text")} | ({"n_chars": F.when(F.col("__removed") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(*docs.columns)
+    Nulls, empty and very long texts, ties, repeated rows and empty tables as in dedup_lines; a text of repeated lines alone becomes empty. Columns of any name are kept.
+    """
+    out, name = _kept(docs, max_count, min_chars)
+    new = {"text": F.col(name["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(name["removed"]) > 0, F.length(name["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def sql() -> str:
