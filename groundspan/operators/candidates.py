@@ -128,9 +128,21 @@ def slices(matches: DataFrame, segments: DataFrame) -> DataFrame:
     return cut.withColumn("part", island - 1).groupBy("doc_id", "seq", "part").agg(F.min("low").alias("src_start"), F.max("high").alias("src_end"))
 
 
-def with_ids(candidates: DataFrame, strategy_id: str, hint: str | None = None) -> DataFrame:
-    """candidates with candidate_id: the hash of strategy and span, the text not being part of it."""
-    span = json_object({"byte_end": F.col("byte_end").cast("string"), "byte_start": F.col("byte_start").cast("string")})
+def with_ids(candidates: DataFrame, strategy_id: str, hint: str | None = None, space: str = "normalized_text") -> DataFrame:
+    """candidates with candidate_id: the hash of strategy, whole span and payload, the text not being part of it.
+
+    The span's source is (source_ref, content_hash) where candidates have these columns, else the doc_id without a hash; its space is text_anchor_space, or space; page_number is its page where
+    there is one. Equal offsets in two documents have two ids.
+    """
+    if not strategy_id:
+        raise ValueError("strategy_id must not be empty")
+    kinds = dict(candidates.dtypes)
+    text = lambda name, other: json_value(F.col(name), "string") if name in kinds else other
+    source = json_object({"content_hash": text("content_hash", F.lit("null")), "source_id": text("source_ref", json_string(F.col("doc_id").cast("string")))})
+    page = F.coalesce(json_object({"page_number": F.col("page_number").cast("string"), "page_size": F.lit("null")}), F.lit("null")) if "page_number" in kinds else F.lit("null")
+    span = json_object(
+        {"bounding_region": F.lit("null"), "byte_end": F.col("byte_end").cast("string"), "byte_start": F.col("byte_start").cast("string"), "page_ref": page, "source_ref": source, "text_anchor_space": text("text_anchor_space", json_string(F.lit(space)))}
+    )
     payload = json_value(F.col(hint), "string") if hint else F.lit("null")
     return candidates.withColumn("candidate_id", stable_hash(json_list([json_string(F.lit(strategy_id)), span, F.lit("[]"), payload])))
 

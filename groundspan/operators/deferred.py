@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import json_object, json_value, stable_hash
 
 
+ROUTING = ("document_content_hash", "document_id", "field_id", "instance_id", "parent_request_id", "reducer_round", "shard_count", "shard_index", "window_count", "window_index")
+
+
 def with_request_id(calls: DataFrame) -> DataFrame:
-    """calls with request_id: the hash of document, field and routing, parts of the routing that are null left out."""
-    always = {k: json_value(F.col(k), t) for k, t in calls.dtypes if k in ("document_id", "field_id")}
-    routing = [k for k in ("shard_index", "window_index") if k in calls.columns]
-    parts = F.concat_ws(",", *(F.when(F.col(k).isNotNull(), F.concat(F.lit(f'"{k}":'), F.col(k).cast("string"))) for k in sorted(routing)))
-    body = json_object(always | {"routing": F.concat(F.lit("{"), parts, F.lit("}"))})
+    """calls(soft_call_identity, spec_hash, output_model_ref, columns of ROUTING) with request_id: the hash of all these, parts of the routing that are null or not there left out."""
+    kinds = dict(calls.dtypes)
+    parts = F.concat_ws(",", *(F.when(F.col(k).isNotNull(), F.concat(F.lit(f'"{k}":'), json_value(F.col(k), kinds[k]))) for k in ROUTING if k in kinds))
+    body = json_object({k: json_value(F.col(k), "string") for k in ("output_model_ref", "soft_call_identity", "spec_hash")} | {"routing": F.concat(F.lit("{"), parts, F.lit("}"))})
     return calls.withColumn("request_id", stable_hash(body))
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import decimal_value
+from ..functions.text import casefold, decimal_hint, decimal_value
 
 SET = ["doc_id", "field_id"]
 
@@ -42,6 +42,12 @@ class Expr:
         return kinds[data["kind"]](**{k: build(v) for k, v in data.items() if k != "kind"})
 
 
+def _shown(name: str) -> Column:
+    """A text in quotes, None where there is none."""
+    quote = F.when(F.contains(F.col(name), F.lit("'")) & ~F.contains(F.col(name), F.lit('"')), F.lit('"')).otherwise(F.lit("'"))
+    return F.coalesce(F.concat(quote, F.col(name), quote), F.lit("None"))
+
+
 def _required(values, what: str) -> None:
     if not values:
         raise ValueError(f"{what} must not be empty")
@@ -57,12 +63,18 @@ class LabelIn(Expr):
     def column(self) -> Column:
         return F.coalesce(F.col("entity_type").isin(*self.labels), F.lit(False))
 
+    def reason(self) -> Column:
+        return F.concat(F.lit("entity_type "), _shown("entity_type"), F.lit(f" not in labels={self.labels!r}"))
+
 
 @dataclass(frozen=True)
 class LabelNotIn(LabelIn):
     def column(self) -> Column:
         return ~super().column()  # a candidate without a type isn't in the labels
 
+    def reason(self) -> Column:
+        return F.concat(F.lit("entity_type "), _shown("entity_type"), F.lit(f" is excluded by labels={self.labels!r}"))
+
 
 @dataclass(frozen=True)
 class ContainedBy(Expr):
@@ -90,6 +102,9 @@ class ContainedBy(Expr):
     def column(self) -> Column:
         return F.col(self.name)
 
+    def reason(self) -> Column:
+        return F.lit(f"{'not contained by' if self.inside else 'does not contain'} label={self.label!r}")
+
 
 @dataclass(frozen=True)
 class Contains(ContainedBy):
@@ -118,6 +133,13 @@ class NumericRange(Expr):
             tests.append(value <= self.high if self.high_inclusive else value < self.high)
         return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
+    def reason(self) -> Column:
+        value = decimal_value(F.coalesce("normalized_hint", "text"))
+        shown = decimal_hint(value)
+        low = F.when(~(value >= self.low if self.low_inclusive else value > self.low), F.concat(F.lit("value "), shown, F.lit(f" below lower bound {self.low}"))) if self.low is not None else F.lit(None)
+        high = F.when(~(value <= self.high if self.high_inclusive else value < self.high), F.concat(F.lit("value "), shown, F.lit(f" above upper bound {self.high}"))) if self.high is not None else F.lit(None)
+        return F.when(value.isNull(), "candidate is not numeric").otherwise(F.coalesce(low, high))
+
 
 @dataclass(frozen=True)
 class ContextContains(Expr):
@@ -128,12 +150,18 @@ class ContextContains(Expr):
     def __post_init__(self):
         _required(self.any_of or self.all_of, "any_of or all_of")
 
+    def _has(self, needle: str) -> Column:
+        context = F.col("context") if self.case_sensitive else casefold(F.col("context"))
+        return F.coalesce(context.contains(needle if self.case_sensitive else needle.casefold()), F.lit(False))
+
     def column(self) -> Column:
-        fold = (lambda x: x) if self.case_sensitive else (lambda x: x.casefold())
-        context = F.col("context") if self.case_sensitive else F.replace(F.lower("context"), F.lit("ß"), F.lit("ss"))
-        has = lambda x: context.contains(fold(x))
-        tests = [reduce(lambda a, b: a | b, map(has, self.any_of))] if self.any_of else []
-        return F.coalesce(reduce(lambda a, b: a & b, tests + list(map(has, self.all_of))), F.lit(False))
+        tests = [reduce(lambda a, b: a | b, map(self._has, self.any_of))] if self.any_of else []
+        return reduce(lambda a, b: a & b, tests + list(map(self._has, self.all_of)))
+
+    def reason(self) -> Column:
+        none = F.when(~reduce(lambda a, b: a | b, map(self._has, self.any_of)), f"missing any_of={self.any_of!r}") if self.any_of else F.lit(None)
+        missing = F.filter(F.array(*(F.when(~self._has(x), repr(x)) for x in self.all_of) or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
+        return F.coalesce(none, F.concat(F.lit("missing all_of=("), F.array_join(missing, ", "), F.when(F.size(missing) == 1, ",").otherwise(""), F.lit(")")))
 
 
 @dataclass(frozen=True)
@@ -172,6 +200,9 @@ class Not(Expr):
     def column(self) -> Column:
         return ~self.of.column()
 
+    def reason(self) -> Column:
+        return F.lit("negated expression matched")
+
 
 def apply(candidates: DataFrame, expr: Expr) -> DataFrame:
     """The candidates that match, in their order; siblings are those of the whole set."""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import gap, json_list, json_string, overlap, stable_hash
@@ -50,39 +48,57 @@ def by_prior(fields: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def assign(fields: DataFrame, keys: DataFrame, with_plan: bool = True) -> DataFrame:
-    """fields with bucket and authority: of the first authority that is decisive; with ambiguous_on where none is: the strongest with some bucket."""
-    sources = [by_boundary(fields, keys), by_continuity(fields, keys), by_cooccurrence(fields, keys)] + ([by_prior(fields, keys)] if with_plan else [])
-    says = reduce(DataFrame.unionByName, sources)
-    place = F.array_position(F.array(*map(F.lit, AUTHORITIES)), F.col("authority"))
-    key = ["doc_id", "field_id", "seq"]
-    best = says.groupBy(*key).agg(
-        F.min_by(F.when(F.col("decisive"), F.struct("bucket", "authority")), F.when(F.col("decisive"), place)).alias("d"), F.min_by("authority", place).alias("strongest")
+    """fields with bucket and authority: of the first authority that is decisive. Where none is, ambiguous_on is the strongest beyond boundary that says anything, and target the
+    least bucket that it names, or else 0: where the finding goes. One join by document and one aggregate, in the same partitioning.
+    """
+    k = keys.select("doc_id", F.col("ordinal").alias("k_bucket"), F.col("group_id").alias("k_group"), "anchor_start", "anchor_end")
+    same = F.col("tentative_key") == F.col("k_group")
+    own = lambda condition: F.collect_set(F.when(condition, F.col("k_bucket")))
+    far = gap(F.col("byte_start"), F.col("byte_end"), F.col("anchor_start"), F.col("anchor_end"))
+    by = fields.join(k, "doc_id", "left").groupBy(*fields.columns).agg(
+        own(F.col("boundary_defining") & same).alias("k1"),
+        own(overlap(F.col("byte_start"), F.col("byte_end"), F.col("anchor_start"), F.col("anchor_end"))).alias("k2"),
+        F.collect_set(F.when(F.col("k_bucket").isNotNull(), F.struct(far.alias("far"), F.col("k_bucket").alias("bucket")))).alias("k3"),
+        own(same & F.lit(with_plan)).alias("k4"),
     )
-    return fields.join(best, key, "left").select(fields["*"], F.col("d.bucket").alias("bucket"), F.col("d.authority").alias("authority"), F.when(F.col("d").isNull(), F.col("strongest")).alias("ambiguous_on"))
+    by = by.withColumn("k3", F.transform(F.filter("k3", lambda x: x["far"] == F.array_min("k3")["far"]), lambda x: x["bucket"]))
+    first = lambda test, value, names: F.coalesce(*(F.when(test(F.col(n)), value(n)) for n in names))
+    every = {f"k{n}": name for n, name in enumerate(AUTHORITIES, 1)}
+    one, some = (lambda c: F.size(c) == 1), (lambda c: F.size(c) > 0)
+    least = lambda n: F.array_min(n)
+    bucket = first(one, least, every)
+    partial = list(every)[1:]
+    return by.select(
+        *fields.columns, bucket.alias("bucket"), first(one, lambda n: F.lit(every[n]), every).alias("authority"),
+        F.when(bucket.isNull(), first(some, lambda n: F.lit(every[n]), partial)).alias("ambiguous_on"), F.when(bucket.isNull(), F.coalesce(first(some, least, partial), F.lit(0))).alias("target"),
+    )
 
 
 def cardinality_policy(assigned: DataFrame) -> DataFrame:
-    """assigned(doc_id, field_id, bucket, cardinality, ...) with code: why a field is dropped from its bucket, null if it stays."""
+    """assigned(doc_id, field_id, bucket, target, cardinality, ...) with code: why a field isn't in its bucket, null if it is."""
     whole, own = Window.partitionBy("doc_id", "field_id"), Window.partitionBy("doc_id", "field_id", "bucket")
     buckets = F.size(F.collect_set("bucket").over(whole))
     code = (
-        F.when((F.col("cardinality") == "ONE") & (buckets > 1), "cardinality.one_multiple_instances")
+        F.when(F.col("bucket").isNull(), "ambiguous_grouping")
+        .when((F.col("cardinality") == "ONE") & (buckets > 1), "cardinality.one_multiple_instances")
         .when((F.col("cardinality") == "PER_INSTANCE") & (F.count("*").over(own) > 1), "cardinality.per_instance_multi_in_instance")
     )
     return assigned.withColumn("code", code)
 
 
 def compose(judged: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, fields, negatives, outcome): instances in bucket order, renumbered.
+    """(doc_id, ordinal, fields, negatives, anchors, outcome): instances in bucket order, renumbered.
 
-    judged has code (see cardinality_policy); an instance is complete without negatives, and isn't one with neither fields nor negatives.
+    judged has code (see cardinality_policy); ambiguous fields are negatives of their target. An instance is complete without negatives, and isn't one with neither
+    fields nor negatives. anchors: the distinct spans of its fields, in their order.
     """
-    by = judged.where("bucket IS NOT NULL").groupBy("doc_id", "bucket")
-    fields = F.transform(F.array_sort(F.collect_list(F.when(F.col("code").isNull(), F.struct("field_id", "seq", "value")))), lambda x: x)
-    negatives = F.array_sort(F.collect_set(F.when(F.col("code").isNotNull(), F.concat_ws(":", "field_id", "code"))))
-    out = by.agg(fields.alias("fields"), negatives.alias("negatives")).where((F.size("fields") > 0) | (F.size("negatives") > 0))
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("bucket")) - 1
-    return out.select("doc_id", ordinal.alias("ordinal"), "fields", "negatives", F.when(F.size("negatives") == 0, "complete").otherwise("partial").alias("outcome"))
+    by = judged.withColumn("in_bucket", F.coalesce("bucket", "target")).groupBy("doc_id", "in_bucket")
+    kept = F.array_sort(F.collect_list(F.when(F.col("code").isNull(), F.struct("field_id", "seq", "value", "byte_start", "byte_end"))))
+    out = by.agg(kept.alias("kept"), F.array_sort(F.collect_set(F.when(F.col("code").isNotNull(), F.concat_ws(":", "field_id", "code")))).alias("negatives"))
+    fields = F.transform("kept", lambda x: F.struct(x["field_id"].alias("field_id"), x["seq"].alias("seq"), x["value"].alias("value")))
+    anchors = F.array_distinct(F.transform("kept", lambda x: F.struct(x["byte_start"].alias("start"), x["byte_end"].alias("end"))))
+    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("in_bucket")) - 1
+    return out.select("doc_id", ordinal.alias("ordinal"), fields.alias("fields"), "negatives", anchors.alias("anchors"), F.when(F.size("negatives") == 0, "complete").otherwise("partial").alias("outcome"))
 
 
 def clustering_signals(assigned: DataFrame) -> DataFrame:
@@ -168,6 +184,6 @@ def extract_one(instances: DataFrame) -> DataFrame:
     return instances.groupBy("doc_id").agg(((F.count("*") == 1) & F.bool_and(F.col("outcome") == "complete")).alias("ok"))
 
 
-def group_id(anchors: list, material: str) -> str:
+def group_id(anchors: list[Column], material: str) -> Column:
     """The hash of a group's anchors and material, as a column."""
     return stable_hash(json_list([json_list(anchors), json_string(F.lit(material))]))

@@ -45,19 +45,26 @@ def category_signals(docs: DataFrame, rules: list[tuple[str, str, str]], text: s
     return each.select("doc_id", "r.literal", "r.polarity", "r.n").where("n > 0")
 
 
-def category(docs: DataFrame, literals: list[str], rules: list[tuple[str, str, str]], many: bool = False, text: str = "text") -> DataFrame:
-    """(doc_id, outcome, literals, reason): what rules say, positive without negative; anything ambiguous abstains."""
+def category(docs: DataFrame, literals: list[str], rules: list[tuple[str, str, str]], many: bool = False, text: str = "text", uncertain: str | None = None) -> DataFrame:
+    """(doc_id, outcome, literals, reason): what rules say, positive without negative.
+
+    With ambiguous, conflicting or no signals the literal uncertain is chosen, if there is one, else none. reason says what decided.
+    """
+    if uncertain is not None and uncertain not in literals or {rule[0] for rule in rules} - set(literals):
+        raise ValueError("rules and the uncertain literal have to name literals of the field")
     says = category_signals(docs, rules, text).groupBy("doc_id").agg(*(F.collect_set(F.when(F.col("polarity") == p, F.col("literal"))).alias(p) for p in ("positive", "negative", "ambiguous")))
     none = F.array().cast("array<string>")
     left = docs.select("doc_id").join(says, "doc_id", "left")
     of = lambda p: F.coalesce(F.col(p), none)
     arms = F.array(*map(F.lit, literals))
     chosen = F.filter(arms, lambda x: F.array_contains(F.array_except(of("positive"), of("negative")), x))
-    unsure = F.size(of("ambiguous")) > 0
     n = F.size(chosen)
-    outcome = F.when(unsure, "ABSTAINED").when(F.lit(many) | (n == 1), "SELECTED").otherwise("ABSTAINED")
-    reason = F.when(unsure, "uncertain").when(F.lit(many) | (n == 1), F.lit(None)).when(n > 1, "conflict").otherwise("no_signal")
-    return left.select("doc_id", outcome.alias("outcome"), F.when(outcome == "SELECTED", chosen).otherwise(none).alias("literals"), reason.alias("reason"))
+    reason = F.when(F.size(of("ambiguous")) > 0, "ambiguous_signal").when(F.lit(many), "union").when(n == 1, "single_match").when(n > 1, "conflicting_positive_signals").otherwise("no_signal")
+    sure = reason.isin("union", "single_match")
+    instead = F.array(F.lit(uncertain)) if uncertain is not None else none
+    return left.select(
+        "doc_id", F.when(sure | F.lit(uncertain is not None), "SELECTED").otherwise("ABSTAINED").alias("outcome"), F.when(sure, chosen).otherwise(instead).alias("literals"), F.concat(F.lit("rule_based_category."), reason).alias("reason")
+    )
 
 
 def prompt_ids(candidates: DataFrame) -> DataFrame:

@@ -190,7 +190,7 @@ def c3_slices(spark, sf):
     return cd.slices(found, segments)
 
 
-@_query("""SELECT doc_id, seq, sha256('["regex:v1",{"byte_end":' || byte_end || ',"byte_start":' || byte_start || '},[],null]') AS candidate_id FROM cands""")
+@_query("""SELECT doc_id, seq, sha256('["regex:v1",{"bounding_region":null,"byte_end":' || byte_end || ',"byte_start":' || byte_start || ',"page_ref":null,"source_ref":{"content_hash":null,"source_id":"' || doc_id || '"},"text_anchor_space":"normalized_text"},[],null]') AS candidate_id FROM cands""")
 def c12_candidate_ids(spark, sf):
     return cd.with_ids(base(spark, sf, "cands").drop("candidate_id"), "regex:v1").select("doc_id", "seq", "candidate_id")
 
@@ -263,7 +263,7 @@ _filtered("p5_context", fl.ContextContains(any_of=("O NEAR", "x"), all_of=("near
 _filtered("p6_boolean", fl.Or((fl.And((fl.LabelIn(("A",)), fl.Not(fl.ContainedBy()))), fl.NumericRange(low=45))), f"(coalesce(entity_type = 'A', false) AND NOT {_IN.format(more='')}) OR text[2:]::INTEGER >= 45")
 
 
-@_query(f"SELECT doc_id, field_id, seq, CASE WHEN coalesce(entity_type, '') <> 'A' THEN 'LabelIn' ELSE 'Not' END AS reason FROM cands c WHERE NOT (coalesce(entity_type = 'A', false) AND NOT {_IN.format(more='')})")
+@_query(f"SELECT doc_id, field_id, seq, CASE WHEN coalesce(entity_type, '') <> 'A' THEN 'entity_type ' || coalesce('''' || entity_type || '''', 'None') || ' not in labels=(''A'',)' ELSE 'negated expression matched' END AS reason FROM cands c WHERE NOT (coalesce(entity_type = 'A', false) AND NOT {_IN.format(more='')})")
 def p7_drops(spark, sf):
     return fl.drops(base(spark, sf, "cands"), fl.And((fl.LabelIn(("A",)), fl.Not(fl.ContainedBy())))).select("doc_id", "field_id", "seq", "reason")
 
@@ -307,7 +307,7 @@ _RULES = [("legal", "License", "positive"), ("mail", "@mail", "positive"), ("leg
 
 
 @_query("""s AS (SELECT doc_id, regexp_matches(text, 'License') AS legal, regexp_matches(text, '@mail') AS mail, regexp_matches(text, '\\btoken\\b') AS bad, contains(text, '###') AS odd FROM documents), n AS (SELECT *, (legal AND NOT bad)::INT + mail::INT AS k FROM s)
-    SELECT doc_id, CASE WHEN odd OR k <> 1 THEN 'ABSTAINED' ELSE 'SELECTED' END AS outcome, CASE WHEN odd OR k <> 1 THEN '' WHEN mail THEN 'mail' ELSE 'legal' END AS literals, CASE WHEN odd THEN 'uncertain' WHEN k > 1 THEN 'conflict' WHEN k = 0 THEN 'no_signal' END AS reason FROM n""")
+    SELECT doc_id, CASE WHEN odd OR k <> 1 THEN 'ABSTAINED' ELSE 'SELECTED' END AS outcome, CASE WHEN odd OR k <> 1 THEN '' WHEN mail THEN 'mail' ELSE 'legal' END AS literals, 'rule_based_category.' || CASE WHEN odd THEN 'ambiguous_signal' WHEN k > 1 THEN 'conflicting_positive_signals' WHEN k = 0 THEN 'no_signal' ELSE 'single_match' END AS reason FROM n""")
 def d3_category(spark, sf):
     return sel.category(table(spark, sf, "documents"), ["legal", "mail"], _RULES).withColumn("literals", F.array_join("literals", ","))
 
@@ -444,8 +444,8 @@ _AUTHORITY = f"""f AS ({_FIELDS.replace('{cands}', 'cands')}), p AS (SELECT f.do
     UNION ALL SELECT doc_id, field_id, seq, ordinal, 3 FROM (SELECT f.doc_id, field_id, seq, ordinal, rank() OVER (PARTITION BY f.doc_id, field_id, seq ORDER BY greatest(anchor_start - byte_end, byte_start - anchor_end, 0)) AS r FROM f JOIN keys k ON f.doc_id = k.doc_id) WHERE r = 1
     UNION ALL SELECT f.doc_id, field_id, seq, ordinal, 4 FROM f JOIN keys k ON f.doc_id = k.doc_id AND tentative_key = group_id),
     s AS (SELECT doc_id, field_id, seq, a, count(DISTINCT ordinal) AS n, min(ordinal) AS bucket FROM p GROUP BY ALL),
-    d AS (SELECT doc_id, field_id, seq, min(a) FILTER (WHERE n = 1) AS a, arg_min(bucket, a) FILTER (WHERE n = 1) AS bucket, min(a) AS strongest FROM s GROUP BY ALL),
-    assigned AS (SELECT f.*, d.bucket, d.a, d.strongest FROM f LEFT JOIN d USING (doc_id, field_id, seq))"""
+    d AS (SELECT doc_id, field_id, seq, min(a) FILTER (WHERE n = 1) AS a, arg_min(bucket, a) FILTER (WHERE n = 1) AS bucket, min(a) FILTER (WHERE a > 1) AS strongest, arg_min(bucket, a) FILTER (WHERE a > 1) AS hint FROM s GROUP BY ALL),
+    assigned AS (SELECT f.*, d.bucket, d.a, d.strongest, CASE WHEN d.bucket IS NULL THEN coalesce(d.hint, 0) END AS target FROM f LEFT JOIN d USING (doc_id, field_id, seq))"""
 _NAMED = "CASE {c} WHEN 1 THEN 'boundary' WHEN 2 THEN 'continuity' WHEN 3 THEN 'cooccurrence' WHEN 4 THEN 'prior' END"
 
 
@@ -454,12 +454,12 @@ def _assigned(spark, sf):
     return ins.assign(fields, base(spark, sf, "keys"))
 
 
-@_query(f"{_AUTHORITY} SELECT doc_id, field_id, seq, coalesce(bucket, -1) AS bucket, {_NAMED.format(c='a')} AS authority, CASE WHEN a IS NULL THEN {_NAMED.format(c='strongest')} END AS ambiguous_on FROM assigned")
+@_query(f"{_AUTHORITY} SELECT doc_id, field_id, seq, coalesce(bucket, -1) AS bucket, {_NAMED.format(c='a')} AS authority, CASE WHEN a IS NULL THEN {_NAMED.format(c='strongest')} END AS ambiguous_on, coalesce(target, -1) AS target FROM assigned")
 def g7_assign(spark, sf):
-    return _assigned(spark, sf).select("doc_id", "field_id", "seq", F.coalesce("bucket", F.lit(-1)).alias("bucket"), "authority", "ambiguous_on")
+    return _assigned(spark, sf).select("doc_id", "field_id", "seq", F.coalesce("bucket", F.lit(-1)).alias("bucket"), "authority", "ambiguous_on", F.coalesce("target", F.lit(-1)).alias("target"))
 
 
-_POLICY = f"""{_AUTHORITY}, j AS (SELECT *, CASE WHEN cardinality = 'ONE' AND (SELECT count(DISTINCT x.bucket) FROM assigned x WHERE x.doc_id = assigned.doc_id AND x.field_id = assigned.field_id) > 1 THEN 'cardinality.one_multiple_instances'
+_POLICY = f"""{_AUTHORITY}, j AS (SELECT *, CASE WHEN bucket IS NULL THEN 'ambiguous_grouping' WHEN cardinality = 'ONE' AND (SELECT count(DISTINCT x.bucket) FROM assigned x WHERE x.doc_id = assigned.doc_id AND x.field_id = assigned.field_id) > 1 THEN 'cardinality.one_multiple_instances'
     WHEN cardinality = 'PER_INSTANCE' AND count(*) OVER (PARTITION BY doc_id, field_id, bucket) > 1 THEN 'cardinality.per_instance_multi_in_instance' END AS code FROM assigned)"""
 
 
@@ -468,11 +468,16 @@ def g9_cardinality_policy(spark, sf):
     return ins.cardinality_policy(_assigned(spark, sf)).select("doc_id", "field_id", "seq", "code")
 
 
-@_query(f"""{_POLICY}, b AS (SELECT doc_id, bucket, count(*) FILTER (WHERE code IS NULL) AS fields, count(DISTINCT field_id || code) FILTER (WHERE code IS NOT NULL) AS negatives FROM j WHERE bucket IS NOT NULL GROUP BY ALL)
-    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY bucket) - 1)::INTEGER AS ordinal, fields::INTEGER AS fields, negatives::INTEGER AS negatives, CASE WHEN negatives = 0 THEN 'complete' ELSE 'partial' END AS outcome FROM b""")
+@_query(f"""{_POLICY}, b AS (SELECT doc_id, coalesce(bucket, target) AS b, coalesce(string_agg(field_id || '/' || seq || '/' || value, ',' ORDER BY field_id, seq) FILTER (WHERE code IS NULL), '') AS fields,
+        coalesce(array_to_string(list_sort(list(DISTINCT field_id || ':' || code) FILTER (WHERE code IS NOT NULL)), ','), '') AS negatives FROM j GROUP BY ALL),
+    spans AS (SELECT doc_id, coalesce(bucket, target) AS b, byte_start, byte_end, min(struct_pack(field_id, seq)) AS first FROM j WHERE code IS NULL GROUP BY ALL),
+    n AS (SELECT doc_id, b, string_agg(byte_start || '-' || byte_end, ',' ORDER BY first) AS anchors FROM spans GROUP BY ALL)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INTEGER AS ordinal, fields, negatives, coalesce(anchors, '') AS anchors, CASE WHEN negatives = '' THEN 'complete' ELSE 'partial' END AS outcome FROM b LEFT JOIN n USING (doc_id, b)""")
 def g10_compose(spark, sf):
     out = ins.compose(ins.cardinality_policy(_assigned(spark, sf)))
-    return out.select("doc_id", "ordinal", F.size("fields").alias("fields"), F.size("negatives").alias("negatives"), "outcome")
+    fields = F.array_join(F.transform("fields", lambda x: F.concat_ws("/", x["field_id"], x["seq"], x["value"])), ",")
+    anchors = F.array_join(F.transform("anchors", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return out.select("doc_id", "ordinal", fields.alias("fields"), F.array_join("negatives", ",").alias("negatives"), anchors.alias("anchors"), "outcome")
 
 
 @_query(f"{_AUTHORITY} SELECT doc_id, bucket, {_NAMED.format(c='a')} AS authority, count(*) AS n FROM assigned WHERE bucket IS NOT NULL GROUP BY ALL")
@@ -531,9 +536,9 @@ def r6_extract_one(spark, sf):
 # deferred calls
 
 
-@_query("""SELECT event_id, sha256('{"document_id":"d' || user_id || '","field_id":"' || event_type || '","routing":{' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '"shard_index":' || event_id % 3 || ',' END || '"window_index":' || event_id % 2 || '}}') AS request_id FROM events""")
+@_query("""SELECT event_id, sha256('{"output_model_ref":"m","routing":{"document_id":"d' || user_id || '","field_id":"' || event_type || '",' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '"shard_index":' || event_id % 3 || ',' END || '"window_index":' || event_id % 2 || '},"soft_call_identity":"select:' || event_type || '","spec_hash":"s' || event_id % 2 || '"}') AS request_id FROM events""")
 def q1_request_id(spark, sf):
-    calls = table(spark, sf, "events").select("event_id", F.concat(F.lit("d"), "user_id").alias("document_id"), F.col("event_type").alias("field_id"), F.expr("nullif(event_id % 3, 0)").alias("shard_index"), (F.col("event_id") % 2).alias("window_index"))
+    calls = table(spark, sf, "events").select("event_id", F.concat(F.lit("d"), "user_id").alias("document_id"), F.col("event_type").alias("field_id"), F.expr("nullif(event_id % 3, 0)").alias("shard_index"), (F.col("event_id") % 2).alias("window_index"), F.concat(F.lit("select:"), "event_type").alias("soft_call_identity"), F.concat(F.lit("s"), F.col("event_id") % 2).alias("spec_hash"), F.lit("m").alias("output_model_ref"))
     return df_.with_request_id(calls).select("event_id", "request_id")
 
 
@@ -594,10 +599,10 @@ def e5_near_misses(spark, sf):
     return sc.near_misses(base(spark, sf, "gold"), base(spark, sf, "found"))
 
 
-_FIELDS = "x AS (SELECT case_id, field_id, count(*) FILTER (WHERE text IS NOT NULL OR byte_start IS NOT NULL) AS expected, bool_or(expected_absent) AS absent FROM gold GROUP BY ALL)"
+_GOLD_FIELDS = "x AS (SELECT case_id, field_id, count(*) FILTER (WHERE text IS NOT NULL OR byte_start IS NOT NULL) AS expected, bool_or(expected_absent) AS absent FROM gold GROUP BY ALL)"
 
 
-@_query(f"""{_MATCH.format(span=_SPANS['exact'])}, {_FIELDS}, e AS (SELECT ev.case_id, ev.field_id, ev.gold_index FROM ev JOIN x USING (case_id, field_id) WHERE NOT absent),
+@_query(f"""{_MATCH.format(span=_SPANS['exact'])}, {_GOLD_FIELDS}, e AS (SELECT ev.case_id, ev.field_id, ev.gold_index FROM ev JOIN x USING (case_id, field_id) WHERE NOT absent),
     h AS (SELECT case_id, field_id, gold_index, count(*) AS n, count(*) FILTER (WHERE kept) AS k FROM hits GROUP BY ALL), m AS (SELECT case_id, field_id, gold_index, min(seq) AS seq FROM pairs WHERE near GROUP BY ALL)
     SELECT e.case_id, e.field_id, e.gold_index, 'candidates' AS stage, CASE WHEN m.seq IS NULL THEN 'not_generated' ELSE 'span_near_miss' END AS kind, m.seq FROM e LEFT JOIN h USING (case_id, field_id, gold_index) LEFT JOIN m USING (case_id, field_id, gold_index) WHERE h.n IS NULL
     UNION ALL SELECT e.case_id, e.field_id, e.gold_index, 'filtered_candidates', 'generated_then_filtered', hits.seq FROM e JOIN h USING (case_id, field_id, gold_index) JOIN hits USING (case_id, field_id, gold_index) WHERE h.k = 0
@@ -606,12 +611,12 @@ def e6_attributions(spark, sf):
     return sc.attributions(base(spark, sf, "gold"), base(spark, sf, "found"), "exact")
 
 
-@_query(f"{_FIELDS} SELECT * FROM x")
+@_query(f"{_GOLD_FIELDS} SELECT * FROM x")
 def e2_expected_fields(spark, sf):
     return sc.expected_fields(base(spark, sf, "gold"))
 
 
-_SCORES = f"""{_MATCH.format(span=_SPANS['overlap'])}, {_FIELDS},
+_SCORES = f"""{_MATCH.format(span=_SPANS['overlap'])}, {_GOLD_FIELDS},
     t AS (SELECT case_id, field_id, count(*) AS raw, count(*) FILTER (WHERE kept) AS kept FROM found GROUP BY ALL), h AS (SELECT case_id, field_id, count(DISTINCT gold_index) AS raw_hits, count(DISTINCT gold_index) FILTER (WHERE kept) AS kept_hits, count(DISTINCT seq) AS raw_true, count(DISTINCT seq) FILTER (WHERE kept) AS kept_true FROM hits GROUP BY ALL),
     j AS (SELECT case_id, field_id, absent, absent OR expected > 0 AS comparable, expected AS e0, coalesce(raw, 0) AS r0, coalesce(t.kept, 0) AS k0, coalesce(raw_hits, 0) AS rh, coalesce(kept_hits, 0) AS kh, coalesce(raw_true, 0) AS rt, coalesce(kept_true, 0) AS kt FROM x LEFT JOIN t USING (case_id, field_id) LEFT JOIN h USING (case_id, field_id)),
     rows_ AS (SELECT case_id, field_id, absent, comparable, CASE WHEN absent THEN 0 ELSE e0 END AS expected, CASE WHEN comparable THEN r0 ELSE 0 END AS raw, CASE WHEN comparable THEN k0 ELSE 0 END AS kept,

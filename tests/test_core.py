@@ -1,5 +1,6 @@
 """The extraction operators: semantics that the SQL comparisons don't reach."""
 
+import hashlib
 import json
 import random
 import re
@@ -329,3 +330,47 @@ def test_every_query_has_a_unique_name_and_columns(spark):
     assert len(q.QUERIES) == len(set(q.QUERIES)) and set(q.ORACLES) <= set(q.QUERIES)
     for name in ("p1_label_in", "e4_matches_iou", "sf1_decimals"):
         assert q.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_reasons_say_what_failed(spark):
+    rows = [(1, "f", 0, "12.50", None, "Alpha beta", "A", 0, 5), (1, "f", 1, "many", None, "gamma", None, 0, 9)]
+    c = spark.createDataFrame(rows, "doc_id long, field_id string, seq int, text string, normalized_hint string, context string, entity_type string, byte_start int, byte_end int")
+    why = lambda expr: [r.reason for r in fl.drops(c, expr).orderBy("seq").collect()]
+    assert why(fl.LabelIn(("B", "C"))) == ["entity_type 'A' not in labels=('B', 'C')", "entity_type None not in labels=('B', 'C')"]
+    assert why(fl.LabelNotIn(("A",))) == ["entity_type 'A' is excluded by labels=('A',)"]
+    assert why(fl.NumericRange(low=20)) == ["value 12.5 below lower bound 20", "candidate is not numeric"]
+    assert why(fl.NumericRange(high=3)) == ["value 12.5 above upper bound 3", "candidate is not numeric"]
+    assert why(fl.ContextContains(any_of=("x", "y"))) == ["missing any_of=('x', 'y')"] * 2
+    assert why(fl.ContextContains(all_of=("ALPHA", "x"))) == ["missing all_of=('x',)", "missing all_of=('ALPHA', 'x')"]
+    assert why(fl.ContainedBy()) == ["not contained by label=None"] and why(fl.Contains("Z")) == ["does not contain label='Z'"] * 2
+    assert why(fl.Not(fl.LabelIn(("A",)))) == ["negated expression matched"]
+    assert why(fl.Or((fl.LabelIn(("B",)), fl.LabelIn(("C",))))) == ["no child expression matched"] * 2
+
+
+def test_ids_hold_whole_spans_and_calls(spark):
+    rows = spark.createDataFrame([(1, 0, 4), (2, 0, 4)], "doc_id long, byte_start int, byte_end int")
+    ids = {r.candidate_id for r in cd.with_ids(rows, "s").union(cd.with_ids(rows, "s", space="source_bytes")).union(cd.with_ids(rows, "t")).collect()}
+    assert len(ids) == 6
+    calls = spark.createDataFrame([("i", "s", "m", "f", 1), ("i", "s2", "m", "f", 1), ("i", "s", "m2", "f", 1), ("i", "s", "m", "f", None)], "soft_call_identity string, spec_hash string, output_model_ref string, field_id string, shard_index int")
+    got = [r.request_id for r in deferred.with_request_id(calls).collect()]
+    body = '{"output_model_ref":"m","routing":{"field_id":"f","shard_index":1},"soft_call_identity":"i","spec_hash":"s"}'
+    assert len(set(got)) == 4 and got[0] == hashlib.sha256(body.encode()).hexdigest()
+
+
+def test_uncertain_literal(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a"), (3, ""), (4, "a odd"), (5, None)], "doc_id long, text string")
+    rules = [("x", "a", "positive"), ("y", "b", "positive"), ("x", "odd", "ambiguous")]
+    got = {r.doc_id: (r.outcome, r.literals, r.reason.split(".")[1]) for r in sel.category(docs, ["x", "y", "?"], rules, uncertain="?").collect()}
+    assert got == {1: ("SELECTED", ["?"], "conflicting_positive_signals"), 2: ("SELECTED", ["x"], "single_match"), 3: ("SELECTED", ["?"], "no_signal"), 4: ("SELECTED", ["?"], "ambiguous_signal"), 5: ("SELECTED", ["?"], "no_signal")}
+    assert {r.doc_id: r.literals for r in sel.category(docs, ["x", "y"], rules, many=True).collect()} == {1: ["x", "y"], 2: ["x"], 3: [], 4: [], 5: []}
+    with pytest.raises(ValueError):
+        sel.category(docs, ["x", "y"], rules, uncertain="?")
+
+
+def test_ambiguous_fields_make_their_target_partial(spark):
+    fields = spark.createDataFrame([(1, "f", 0, 0, 4, "none", False, "ONE", "v"), (1, "g", 1, 10, 30, "none", False, "ONE", "w"), (2, "f", 0, 0, 4, "none", False, "ONE", "v")], "doc_id long, field_id string, seq int, byte_start int, byte_end int, tentative_key string, boundary_defining boolean, cardinality string, value string")
+    keys = spark.createDataFrame([(1, 0, "a", 0, 8), (1, 1, "b", 12, 20), (1, 2, "c", 22, 28)], "doc_id long, ordinal int, group_id string, anchor_start int, anchor_end int")
+    assigned = {(r.doc_id, r.field_id): (r.bucket, r.authority, r.ambiguous_on, r.target) for r in ins.assign(fields, keys).collect()}
+    assert assigned == {(1, "f"): (0, "continuity", None, None), (1, "g"): (None, None, "continuity", 1), (2, "f"): (None, None, None, 0)}
+    got = {(r.doc_id, r.ordinal): (len(r.fields), r.negatives, [tuple(a) for a in r.anchors], r.outcome) for r in ins.compose(ins.cardinality_policy(ins.assign(fields, keys))).collect()}
+    assert got == {(1, 0): (1, [], [(0, 4)], "complete"), (1, 1): (0, ["g:ambiguous_grouping"], [], "partial"), (2, 0): (0, ["f:ambiguous_grouping"], [], "partial")}
