@@ -18,10 +18,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import release, steps, text_bytes
+from .common import map_batches, release, steps, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pattern of that vocabulary.
@@ -144,18 +145,25 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str = VOCABULARY) -> Encoder:
-    """Of the vocabulary file at path, one for each process."""
+def encoder(path: str = VOCABULARY, content: bytes | None = None) -> Encoder:
+    """Of the vocabulary file at path, one for each process; content: what it holds, where the file itself isn't at hand."""
     if path not in _encoders:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        if content is None:
+            with open(path, "rb") as file:
+                content = file.read()
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
         _encoders[path] = Encoder(ranks)
     return _encoders[path]
 
 
-def encode_batch(batch: pa.RecordBatch, path: str, pattern: regex.Pattern) -> list[pa.Array]:
+def _sent(df: DataFrame, path: str) -> Broadcast[bytes]:
+    """The vocabulary file, about 1 MB at any size of the input: only the driver has to have it."""
+    with open(path, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast(file.read())
+
+
+def encode_batch(batch: pa.RecordBatch, own: Encoder, pattern: regex.Pattern) -> list[pa.Array]:
     """Token ids, their number, and whether decoding gives the text again, for each row."""
-    own = encoder(path)
     column = batch.column("text")
     data, offsets = text_bytes(column)
     texts = [b"".join(map(own.__getitem__, pattern.findall(text))) if text else b"" for text in column.to_pylist()]
@@ -174,32 +182,30 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
     """docs with token_ids, n_tokens and round_trip (decoding gives the same bytes).
 
     No shuffle. Texts are encoded whole, special tokens' strings as ordinary text. A null text has null
-    results, an empty one no tokens; repeated rows give repeated rows; columns of docs that have the name of a result are
-    replaced by it.
+    results, an empty one no tokens; very long texts are encoded whole; repeated rows give repeated rows; of several tokens that the merges allow none is
+    chosen, as their result is one; an empty table gives no rows; columns of docs that have the name of a result are replaced by it, others kept.
     """
     new = T.StructType().add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
-    kept = docs.drop(*new.names)
-    schema = T.StructType(kept.schema.fields + new.fields)
+    kept, shared = docs.drop(*new.names), _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = regex.compile(pattern)
+        cut, own = regex.compile(pattern), encoder(path, shared.value)
         for batch in batches:
             for part in steps(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, *encode_batch(part, path, cut)], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *encode_batch(part, own, cut)], [*part.schema.names, *new.names])
             release()
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, new)
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY, column: str = "token_ids", out: str = "text") -> DataFrame:
-    """tokens with the text of its token ids; a null list has a null text; bytes that aren't UTF-8 become U+FFFD."""
-    kept = tokens.drop(out)
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())])
+    """tokens with the text of its token ids; a null list has a null text, an empty one an empty text; bytes that aren't UTF-8 become U+FFFD. A column of that name is replaced, others are kept."""
+    new, shared = T.StructType().add(out, T.StringType()), _sent(tokens, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, shared.value)
         for batch in batches:
             texts = [None if ids is None else own.decode(np.array(ids, np.int64)).tobytes().decode("utf-8", "replace") for ids in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(tokens.drop(out), run, new)

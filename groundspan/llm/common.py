@@ -206,3 +206,11 @@ def unused(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], new: T.StructType) -> DataFrame:
+    """mapInArrow for a function that adds columns to what it gets; columns may have any names, as mapInArrow alone can't tell one with a dot."""
+    names = df.columns
+    safe = [c if c.isidentifier() else f"column {k}" for k, c in enumerate(names)]
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(safe, df.schema.fields)] + new.fields)
+    return df.toDF(*safe).mapInArrow(function, schema).toDF(*names, *new.names)

@@ -2,14 +2,15 @@
 
 A word's input is an embedding of its hash next to character features: filters over seven
 adjacent bytes, the largest response over the whole word. Both directions of a GRU read the windows of
-WINDOW words that begin every STRIDE words; attention pools their states, and a text scores as the mean of its
-highest windows. Labels are for texts, so training, in numpy, takes one of each text's currently highest
+WINDOW words that begin every STRIDE words; attention pools their states, and a text scores as its
+highest window, so that a passage counts alike in texts of any length. Labels are for texts, so training, in numpy, takes one of each text's currently highest
 windows, and others of texts that aren't toxic. Scoring covers all windows of all texts; a word's projected input
 is computed once for each step or kept from earlier ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, plain, release, span_hashes, spans, steps, text_bytes
+from .common import ALNUM, map_batches, plain, release, span_hashes, spans, steps, text_bytes, unused
 
 WINDOW, STRIDE = 64, 32
-#: A text's score is the mean of this share of its windows, the highest ones; of one at least.
+#: Training takes a text's window from this share of its windows, the currently highest ones.
 TOP = 0.2
 HASHED, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 16, 32, 16
 REACH = 3
-#: The classifier is fitted on at most so many labelled texts, those with the least hashes of doc_id, of at most so many characters.
-TRAIN_TEXTS, TRAIN_CHARS = 3000, 30_000
+#: The classifier is fitted on at most so many labelled texts, those with the least hashes of doc_id, of any length, and of those on the first that have so many characters together.
+TRAIN_TEXTS, TRAIN_CHARS = 3000, 64 << 20
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.008, 11
 #: Share of words whose embedding is hidden in a training step, so that characters tell too.
 HIDDEN_WORDS = 0.5
@@ -278,10 +279,12 @@ def ranked(words: Words, logits: np.ndarray, texts: int) -> tuple[np.ndarray, np
 
 
 def text_scores(words: Words, logits: np.ndarray, texts: int) -> np.ndarray:
-    """Each text's score; without words minus infinity."""
-    order, first, top = ranked(words, logits, texts)
-    sums = np.append(0.0, np.cumsum(logits[order].astype(np.float64)))
-    return np.where(top > 0, (sums[first + top] - sums[first]) / np.maximum(top, 1), -np.inf)
+    """Each text's score, its highest window's; without words minus infinity."""
+    out = np.full(texts, -np.inf)
+    if len(logits):
+        first = np.flatnonzero(np.append(True, np.diff(words.window_doc) > 0))
+        out[words.window_doc[first]] = np.maximum.reduceat(logits, first)
+    return out
 
 
 class Scorer:
@@ -312,22 +315,30 @@ class Scorer:
         return text_scores(words, score_windows(words, projected, self.weights), len(column))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
-    """At most texts labelled texts; the labels' side, which the bound keeps small, is broadcast."""
+def training_texts(docs: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> tuple[list[str], np.ndarray]:
+    """At most texts labelled texts, and no further ones beyond chars in all; the labels' side, which the first bound keeps small, is broadcast. Of several texts of a doc_id the least is taken."""
     labels = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     sample = F.broadcast(labels.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(texts))
-    rows = plain(docs).where(F.length("text").between(1, TRAIN_CHARS)).join(sample, F.col("doc_id") == F.col("label_id")).select("text", "toxic", "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows], np.array([r.toxic for r in rows], np.float32)
+    rows = plain(docs).where("text <> ''").join(sample, F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    found, total = [], 0
+    for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        total += len(row.text)
+        if found and total > chars:
+            break
+        found.append(row)
+    found.sort(key=lambda r: r.doc_id)
+    return [r.text for r in found], np.array([r.toxic for r in found], np.float32)
 
 
-_fitted: dict[tuple, tuple[Weights, float]] = {}
+_fitted: dict[bytes, tuple[Weights, float]] = {}
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Weights, float]:
     texts, toxic = training_texts(docs, labels)
-    key = (hash(tuple(texts)), toxic.tobytes())
-    if key not in _fitted:
+    digest = hashlib.sha256(toxic.tobytes())
+    for text in texts:
+        digest.update(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
+    if (key := digest.digest()) not in _fitted:
         while len(_fitted) >= 4:
             del _fitted[next(iter(_fitted))]
         _fitted[key] = fit(texts, toxic)
@@ -338,8 +349,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with toxicity (0 to 1, 0.5 at the fitted threshold) and is_toxic.
 
     The model is fitted on a bounded sample of labels(doc_id, toxic) and sent to the workers, 1 MB at any size of the
-    corpus; no shuffle. Texts that are null, empty or hold no letters and digits score 0. Repeated
-    rows score alike; labels with nulls are left out, a doc_id with several counts as toxic if one says so; without
+    corpus; no shuffle. Texts that are null, empty or hold no letters and digits score 0. Very long texts are read whole, in all their windows. A score that equals the
+    threshold is toxic. Repeated rows score alike; an empty table gives no rows; labels with nulls are left out, a doc_id with several counts as toxic if one says so; without
     labels of both kinds nothing is toxic. Columns of docs that have the name of a result are replaced.
     """
     spark = docs.sparkSession
@@ -347,7 +358,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((weights, threshold))
     new = T.StructType().add("toxicity", T.DoubleType()).add("is_toxic", T.BooleanType())
     kept = docs.drop(*new.names)
-    schema = T.StructType(kept.schema.fields + new.fields)
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, threshold = shared.value
@@ -355,14 +365,21 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for part in steps(batch):
                 logit = scorer(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(logit - (threshold if np.isfinite(threshold) else 0.0))), pa.array(logit >= threshold)], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(logit - (threshold if np.isfinite(threshold) else 0.0))), pa.array(logit >= threshold)], [*part.schema.names, *new.names])
             release()
         del scorer
         release()
 
-    return kept.mapInArrow(run_all, schema)
+    return map_batches(kept, run_all, new)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs, all columns, without the toxic ones."""
-    return score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("NOT is_toxic").select(*docs.columns)
+    """docs, all columns, without the toxic ones.
+
+    Rows whose text is null or empty stay; a null doc_id plays no part. Very long texts, ties, repeated rows and empty tables as in score. Columns of any
+    name are kept, as they are.
+    """
+    new = {"toxicity": unused(docs, "toxicity"), "is_toxic": unused(docs, "is_toxic")}
+    kept = docs.withColumnsRenamed({c: new[c.lower()] for c in docs.columns if c.lower() in new and new[c.lower()] != c.lower()})
+    back = {v: c for c, v in zip(docs.columns, kept.columns)}
+    return score(kept, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("NOT is_toxic").select(*(F.col(f"`{v}`").alias(c) for v, c in back.items()))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import _RANDOM, mix, steps, text_bytes
+from .common import _RANDOM, map_batches, mix, steps, text_bytes
 
 LENGTHS, BUCKETS, SEED = (3, 4, 5), 1 << 15, 3
 EPOCHS, RATE, PENALTY = 300, 0.05, 1e-3
@@ -128,7 +128,6 @@ def filter_urls(pages: DataFrame) -> DataFrame:
     """
     new = T.StructType().add("url_score", T.DoubleType()).add("url_blocked", T.BooleanType())
     kept = pages.drop(*new.names)
-    schema = T.StructType(kept.schema.fields + new.fields)
     shared = pages.sparkSession.sparkContext.broadcast(fitted())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,6 +136,6 @@ def filter_urls(pages: DataFrame) -> DataFrame:
                 urls = part.column("url")
                 score = predict(urls.to_pylist(), *shared.value)
                 null = urls.is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, mask=null), pa.array(score >= THRESHOLD, mask=null)], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, mask=null), pa.array(score >= THRESHOLD, mask=null)], [*part.schema.names, *new.names])
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, new)
