@@ -3,9 +3,11 @@
 Passages of LENGTH words or more that occur twice or more, anywhere in the corpus, are found from
 suffix arrays that are built column-wise. Every window of LENGTH words has an anchor, the word GRAM-gram with the
 least hash in it, so equal windows have equal anchors; neighbouring windows with one anchor form a piece.
-Anchors that occur once can't belong to a repeated passage. The pieces of the others are spread
+Anchors that occur once can't belong to a repeated passage. The pieces of the others are the documents of the collections: equal
+ones are one, with the number of its occurrences and the first, so that a passage in very many texts is one document. They are spread
 over the cluster by anchor, so that a window and all its repetitions meet in one collection, and a piece is never longer than
-2 LENGTH - GRAM words: that bounds the number of rounds whatever the lengths of documents.
+2 LENGTH - GRAM words: that bounds the number of rounds, each of which reads and writes the collection's files, whatever the lengths of
+texts. What a collection finds goes back to the pieces' occurrences; texts are never sent.
 
 In a collection, round j inserts the symbol j from the end of every piece at once. The suffixes inserted
 so far are kept in order as columns (first symbol and place of the rest; preceding symbol, that is the collection's
@@ -22,16 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, delete_path, in_arrow, mix, new_path, plain, powers, span_hashes, spans, text_bytes, written
+from .common import SPACE, collect_garbage, delete_path, filesystem, in_arrow, mix, new_path, plain, powers, release, span_hashes, spans, stored, text_bytes, written
 
 LENGTH, GRAM = 50, 8
 #: Rows of a file that a round handles at once; symbols that a collection is meant to have.
-BLOCK, COLLECTION = 1 << 20, 3 << 20
+BLOCK, COLLECTION = 1 << 20, 1 << 20
 
 _ANCHORS = "row long, anchor long, n int"
 _PIECES = "anchor long, content long, doc_id long, starts array<int>, windows int, words binary"
@@ -149,9 +150,7 @@ class Files:
     KINDS = {"key": np.dtype(np.uint64), "bwt": np.dtype(np.int32), "lcp": np.dtype(np.uint8)}
 
     def __init__(self, uri: str):
-        if uri.startswith("file:") and not uri.startswith("file://"):
-            uri = "file://" + uri[5:]
-        self.fs, self.path = pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+        self.fs, self.path = filesystem(uri)
         self.fs.create_dir(self.path)
         self.generation = 0
 
@@ -240,31 +239,22 @@ def _merged(files: Files, fresh: np.ndarray, previous: np.ndarray, at: np.ndarra
 
 
 def repeats(table: pa.Table, files: Files) -> Iterator[pa.RecordBatch]:
-    """From a collection's pieces: (doc_id, kind, start_word, end_word) of repeated and of removable stretches."""
-    content = table.column("content").to_numpy()
-    _, first, number = np.unique(content, return_index=True, return_inverse=True)
-    data, offsets = text_bytes(table.column("words").take(pa.array(first)))
+    """From a collection's distinct pieces: (content, kind, low, high), stretches of a piece's words.
+
+    repeat: of windows that occur twice or more; later: the same, for occurrences other than the piece's first; first: without windows whose first occurrence is that.
+    """
+    data, offsets = text_bytes(table.column("words"))
     starts, ends, _ = spans(~SPACE[data], offsets)
     _, symbols = np.unique(span_hashes(data, starts, ends), return_inverse=True)
-    windows = table.column("windows").to_numpy()[first].astype(np.int64)
+    content, times, doc, start = (table.column(c).to_numpy() for c in ("content", "times", "doc_id", "start"))
+    windows = table.column("windows").to_numpy().astype(np.int64)
     sizes = windows + LENGTH - 1
     place = construct(symbols + 1, np.cumsum(sizes), sizes, files)
 
-    # each piece's occurrences, the first one first
-    starts_of = table.column("starts").combine_chunks()
-    lists = np.diff(starts_of.offsets.to_numpy())
-    piece = np.repeat(number, lists)
-    doc = np.repeat(table.column("doc_id").to_numpy(), lists)
-    start = starts_of.flatten().to_numpy().astype(np.int64)
-    order = np.lexsort((start, doc, piece))
-    piece, doc, start = piece[order], doc[order], start[order]
-    head = np.searchsorted(piece, np.arange(len(first)))
-    times = np.bincount(piece, minlength=len(first))
-
     # windows' rows: from a whole piece's row on, each rest is a step further
     key = np.concatenate(list(files.read("key")))
     group_of_row = np.cumsum(np.concatenate(list(files.read("lcp"))) < LENGTH)
-    owner = np.repeat(np.arange(len(first)), windows)
+    owner = np.repeat(np.arange(len(windows)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     group = np.empty(len(owner), np.int64)
     begin, row = np.cumsum(windows) - windows, place
@@ -274,30 +264,13 @@ def repeats(table: pa.Table, files: Files) -> Iterator[pa.RecordBatch]:
         row = (key[row] & _LOW).astype(np.int64)
     _, group = np.unique(group, return_inverse=True)
     again = np.bincount(group, times[owner])[group] >= 2
-    order = np.lexsort((start[head[owner]] + inside, doc[head[owner]], group))
+    order = np.lexsort((start[owner] + inside, doc[owner], group))
     top = order[np.append(True, np.diff(group[order]) != 0)][group]  # the window with the group's first occurrence
-    is_first = (doc[head[owner]] == doc[head[owner[top]]]) & (start[head[owner]] + inside == start[head[owner[top]]] + inside[top])
-
-    def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    is_first = (doc[owner] == doc[owner[top]]) & (start[owner] + inside == start[owner[top]] + inside[top])
+    for kind, mask in (("repeat", again), ("later", again), ("first", again & ~is_first)):
         edge = np.flatnonzero(mask & ~(np.append(False, mask[:-1]) & (inside > 0)))
         stop = np.flatnonzero(mask & ~(np.append(mask[1:], False) & (inside + 1 < windows[owner])))
-        return owner[edge], inside[edge], inside[stop] + LENGTH
-
-    def out(kind: str, run: tuple[np.ndarray, ...], low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-        """A row for each run and each of the occurrences low .. high of its piece."""
-        own, a, b = run
-        count = high[own] - low[own]
-        which = np.repeat(low[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        a, b = np.repeat(a, count) + start[which], np.repeat(b, count) + start[which]
-        return pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array([kind] * len(a), pa.string()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "kind", "start_word", "end_word"])
-
-    # occurrences of the same document at the same place, from repeated rows, are first together
-    ends_of = np.searchsorted(piece, np.arange(len(first)), "right")
-    lead = (doc == doc[head[piece]]) & (start == start[head[piece]])
-    rest = head + np.bincount(piece[lead], minlength=len(first))
-    yield out("repeat", runs(again), head, ends_of)
-    yield out("remove", runs(again), rest, ends_of)
-    yield out("remove", runs(again & ~is_first), head, rest)
+        yield pa.RecordBatch.from_arrays([pa.array(content[owner[edge]]), pa.array([kind] * len(edge), pa.string()), pa.array(inside[edge].astype(np.int32)), pa.array((inside[stop] + LENGTH).astype(np.int32))], ["content", "kind", "low", "high"])
 
 
 def _collections(folder: str):
@@ -310,6 +283,8 @@ def _collections(folder: str):
             yield from repeats(pa.Table.from_batches(batches), files)
         finally:
             files.drop()
+            del batches
+            release()
 
     return run
 
@@ -320,27 +295,43 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Kind repeat: the union of all windows of LENGTH words that occur twice or more, within a document
     or across them. Kind remove: the same without each window's first occurrence (least doc_id, then
     least place), so that one copy of everything stays. Words are separated by ASCII white space and compared byte by byte.
-    Texts that are null or have fewer words repeat nothing, nor do rows without doc_id. Every row is a text of its
-    own: rows that repeat doc_id and text are repeats, first together. Other columns are ignored.
+    Texts that are null or have fewer words repeat nothing, nor do rows without doc_id. Very long texts are read whole. Every row is a text of its
+    own: rows that repeat doc_id and text are repeats, first together. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = plain(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("row", F.xxhash64("doc_id", "text"))
-    anchors = in_arrow(docs, _anchor_rows, _ANCHORS)
+    anchors, anchors_path = stored(in_arrow(docs, _anchor_rows, _ANCHORS), "anchors")
     shared = anchors.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor")
     of_row = anchors.join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
-    found = written(in_arrow(docs.join(of_row, "row"), _piece_rows, _PIECES), "pieces")
-    symbols = found.agg(F.sum(F.col("windows") + F.lit(LENGTH - 1))).first()[0] or 0
+    found, found_path = stored(in_arrow(docs.join(of_row, "row"), _piece_rows, _PIECES), "pieces")
+    delete_path(spark, anchors_path)
+    collect_garbage(spark)
+    first = F.min(F.struct("doc_id", F.element_at("starts", 1).alias("start")))
+    distinct = found.groupBy("anchor", "content", "windows").agg(F.sum(F.size("starts")).alias("times"), first.alias("first"), F.any_value("words").alias("words"))
+    distinct, distinct_path = stored(distinct.select("anchor", "content", "windows", "times", "first.*", "words"), "distinct-pieces")
+    collect_garbage(spark)
+    symbols = distinct.agg(F.sum(F.col("windows") + F.lit(LENGTH - 1))).first()[0] or 0
     folder = new_path(spark, "suffixes")
-    stretches = written(found.repartition(max(1, -(-symbols // COLLECTION)), "anchor").mapInArrow(_collections(folder), "doc_id long, kind string, start_word int, end_word int"), "stretches")
+    runs = distinct.repartition(max(1, -(-symbols // COLLECTION)), "anchor").mapInArrow(_collections(folder), "content long, kind string, low int, high int")
+    runs, runs_path = stored(runs, "stretches-of-pieces")
     delete_path(spark, folder)
+    heads = distinct.select("content", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"))
+    each = found.select("content", "doc_id", F.explode("starts").alias("start")).join(heads, "content").join(runs, "content")
+    lead = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
+    each = each.where((F.col("kind") == "repeat") | (lead == (F.col("kind") == "first")))
+    stretches = each.select("doc_id", F.when(F.col("kind") == "repeat", "repeat").otherwise("remove").alias("kind"), (F.col("start") + F.col("low")).alias("start_word"), (F.col("start") + F.col("high")).alias("end_word"))
     by = Window.partitionBy("doc_id", "kind").orderBy("start_word", "end_word")
     until = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start_word") <= F.col("until"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return (
+    out = (
         stretches.distinct().withColumn("until", until).withColumn("island", island)
         .groupBy("doc_id", "kind", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
         .drop("island")
     )
+    out = written(out, "stretches")
+    for path in (found_path, distinct_path, runs_path):
+        delete_path(spark, path)
+    return out
 
 
 def sql() -> str:
