@@ -151,3 +151,13 @@ def casefold(text: Column) -> Column:
     folds = F.create_map(*(F.lit(x) for pair in _FOLDS.items() for x in pair))
     each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(folds, c), F.lower(c)))
     return F.when(ascii_only, F.lower(text)).otherwise(F.array_join(each, ""))
+
+
+def normalized_match_span(start: Column, end: Column) -> Column:
+    """A match in a normalized text as a span of that space."""
+    return F.struct(F.lit("normalized_text").alias("text_anchor_space"), start.cast("long").alias("byte_start"), end.cast("long").alias("byte_end"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON, nested as it may be; null for a null."""
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())

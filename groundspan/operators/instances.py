@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import gap, json_list, json_string, overlap, stable_hash
@@ -187,3 +189,23 @@ def extract_one(instances: DataFrame) -> DataFrame:
 def group_id(anchors: list[Column], material: str) -> Column:
     """The hash of a group's anchors and material, as a column."""
     return stable_hash(json_list([json_list(anchors), json_string(F.lit(material))]))
+
+
+def flat_evidence(instances: DataFrame) -> DataFrame:
+    """(doc_id, position, ordinal, field_id, seq, value): the fields of all instances of a document, in order."""
+    return _flat(instances, "fields").select("doc_id", "position", "ordinal", "x.*")
+
+
+def flat_negatives(instances: DataFrame) -> DataFrame:
+    """(doc_id, position, ordinal, negative): the negatives of all instances of a document, in order."""
+    return _flat(instances, "negatives").select("doc_id", "position", "ordinal", F.col("x").alias("negative"))
+
+
+def _flat(instances: DataFrame, column: str) -> DataFrame:
+    each = instances.select("doc_id", "ordinal", F.posexplode(column).alias("k", "x"))
+    return each.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal", "k")) - 1)
+
+
+def stream(instances: DataFrame) -> Iterator[Row]:
+    """The instances one after another, in order, when all are resolved; the driver holds a partition of them at a time."""
+    return instances.orderBy("doc_id", "ordinal").toLocalIterator()

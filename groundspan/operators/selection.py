@@ -147,3 +147,46 @@ def score_observations(expected: DataFrame, actual: DataFrame) -> DataFrame:
     ids = F.coalesce(F.col("selected_candidate_ids").eqNullSafe(F.col("got")), F.lit(False))
     abstain = (F.col("outcome") == "ABSTAINED") == F.coalesce(F.col("got_outcome") == "ABSTAINED", F.lit(False))
     return expected.join(a, SET, "left").select(*SET, ids.alias("ids_match"), abstain.alias("abstain_match"), (ids & abstain).alias("passed"))
+
+
+def observations_from_responses(responses: DataFrame) -> DataFrame:
+    """responses(doc_id, field_id, cardinality, abstain, selected_candidate_ids, evidence_id, reason) as observations, with violation.
+
+    An answer that neither abstains nor selects is malformed unless the field takes many; an evidence_id beside the selected ones is put right where one is selected, else not_selected.
+    """
+    n, evidence = F.size("selected_candidate_ids"), F.col("evidence_id")
+    among = evidence.isNull() | F.array_contains("selected_candidate_ids", evidence)
+    wrong = F.when(~F.col("abstain") & (n == 0) & (F.col("cardinality") != "MANY"), "output_malformed").when(~F.col("abstain") & ~among & (n != 1), "evidence_not_selected")
+    none = F.array().cast("array<string>")
+    return responses.select(
+        *SET, F.when(F.col("abstain"), "ABSTAINED").otherwise("SELECTED").alias("outcome"), F.when(F.col("abstain"), none).otherwise(F.col("selected_candidate_ids")).alias("selected_candidate_ids"),
+        F.when(F.col("abstain"), F.lit(None)).when(among, evidence).when(n == 1, F.get("selected_candidate_ids", F.lit(0))).alias("evidence_id"), "reason", wrong.alias("violation"),
+    )
+
+
+def structural_violation(observations: DataFrame, candidates: DataFrame) -> DataFrame:
+    """observations(doc_id, field_id, set_field_id, selected_candidate_ids) with violation: field_mismatch, duplicate_ids, unknown_ids, in that order; null where there is none."""
+    known = candidates.groupBy("doc_id", F.col("field_id").alias("set_field_id")).agg(F.collect_set("candidate_id").alias("__known"))
+    ids = F.col("selected_candidate_ids")
+    left = F.size(F.array_except(ids, F.coalesce("__known", F.array().cast("array<string>"))))
+    why = F.when(F.col("field_id") != F.col("set_field_id"), "field_mismatch").when(F.size(ids) != F.size(F.array_distinct(ids)), "duplicate_ids").when(left > 0, "unknown_ids")
+    return observations.join(known, ["doc_id", "set_field_id"], "left").withColumn("violation", why).select(*observations.columns, "violation")
+
+
+def candidate_view(candidates: DataFrame, ids: DataFrame) -> DataFrame:
+    """The candidates with the ids(doc_id, field_id, candidate_id), in their order and with their seq."""
+    return candidates.join(ids.select(*SET, "candidate_id"), [*SET, "candidate_id"], "left_semi").select(*candidates.columns)
+
+
+def collect_shards(shards: DataFrame, candidates: DataFrame) -> DataFrame:
+    """shards(doc_id, field_id, cardinality, shard, selected_candidate_ids) as one answer for each field: ids in candidate order.
+
+    All abstained: so does the field. MANY: the union. One shard with ids: its answer. Several: error reducer_required.
+    """
+    by = shards.groupBy(*SET, "cardinality").agg(F.count_if(F.size("selected_candidate_ids") > 0).alias("winners"))
+    ids = reduce_union(shards, candidates)
+    answer = by.join(ids, SET, "left")
+    many, none = F.col("cardinality") == "MANY", F.array().cast("array<string>")
+    outcome = F.when(F.col("winners") == 0, "ABSTAINED").when(many | (F.col("winners") == 1), "SELECTED").otherwise("ERROR")
+    reason = F.when(F.col("winners") == 0, "all shards abstained").when(many, "union of sharded selections").when(F.col("winners") > 1, "deferred_collect.reducer_required")
+    return answer.select(*SET, outcome.alias("outcome"), F.when(outcome == "SELECTED", F.coalesce("selected_candidate_ids", none)).otherwise(none).alias("selected_candidate_ids"), reason.alias("reason"))

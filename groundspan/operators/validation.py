@@ -128,3 +128,22 @@ def repaired(original: DataFrame, second: DataFrame, failing: DataFrame, field_o
     keys = failing.select(*SET).distinct()
     both = original.join(keys, SET, "left_anti").unionByName(second.join(keys, SET, "left_semi"))
     return both.withColumn("ordinal", F.array_position(F.array(*map(F.lit, field_order)), F.col("field_id")) - 1)
+
+
+def field_feedback(negatives: DataFrame) -> DataFrame:
+    """(doc_id, field_id, reasons): the fields to select once more, with what was wrong, in order. negatives(doc_id, field_id, seq, category, code, reason)."""
+    own = negatives.where("category = 'validation' AND code = 'field_failure'")
+    return own.groupBy(*SET).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "reason"))), lambda x: x["reason"]).alias("reasons"))
+
+
+def object_feedback(issues: DataFrame) -> DataFrame:
+    """(doc_id, field_id, reasons): fields that errors of whole objects implicate; warnings implicate none. issues(doc_id, seq, severity, implicates, reason)."""
+    each = issues.where("severity = 'error'").select("doc_id", F.explode("implicates").alias("field_id"), "seq", "reason")
+    return each.groupBy(*SET).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "reason"))), lambda x: x["reason"]).alias("reasons"))
+
+
+def repair_once(values: DataFrame, negatives: DataFrame, again: DataFrame, again_negatives: DataFrame, feedback: DataFrame, field_order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Values and negatives after one more selection of the fields with feedback: these lose both and take those of the second pass, whatever it says; there is no third."""
+    keys = feedback.select(*SET).distinct()
+    left = negatives.join(keys, SET, "left_anti").unionByName(again_negatives.join(keys, SET, "left_semi"))
+    return repaired(values, again, keys, field_order), left

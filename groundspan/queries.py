@@ -886,3 +886,133 @@ def s17_batch_round_trip(spark, sf):
     parsed = store.parse_batch(c.select(F.when(F.col("turn") % 2 == 0, ok).otherwise(failed).alias("value")))
     part = F.split("request_id", ":")
     return parsed.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "payload", "status")
+
+
+# flattening, collecting, repairing
+
+_COMPOSED = f"""{_POLICY}, kept AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY coalesce(bucket, target)) - 1 AS ordinal, field_id, seq, value, code FROM j)"""
+
+
+@_query(f"{_COMPOSED} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, field_id, seq) - 1)::INTEGER AS position, ordinal::INTEGER AS ordinal, field_id, seq, value FROM kept WHERE code IS NULL")
+def r3_flat_evidence(spark, sf):
+    return ins.flat_evidence(ins.compose(ins.cardinality_policy(_assigned(spark, sf))))
+
+
+@_query(f"""{_COMPOSED}, neg AS (SELECT DISTINCT doc_id, ordinal, field_id || ':' || code AS negative FROM kept WHERE code IS NOT NULL)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, negative) - 1)::INTEGER AS position, ordinal::INTEGER AS ordinal, negative FROM neg""")
+def r3_flat_negatives(spark, sf):
+    return ins.flat_negatives(ins.compose(ins.cardinality_policy(_assigned(spark, sf))))
+
+
+_ANSWERS = """SELECT l_orderkey AS doc_id, concat('f', CAST(l_linenumber AS STRING)) AS field_id, CASE WHEN l_linenumber % 2 = 0 THEN 'MANY' ELSE 'ONE' END AS cardinality, l_suppkey % 5 = 0 AS abstain,
+    CAST(l_partkey % 3 AS INT) AS k, CASE l_suppkey % 4 WHEN 0 THEN 'c1' WHEN 1 THEN 'c9' END AS evidence_id, l_returnflag AS reason FROM {lineitem}"""
+
+
+def _answers(spark, sf):
+    c = spark.sql(_ANSWERS, lineitem=table(spark, sf, "lineitem"))
+    return c.withColumn("selected_candidate_ids", F.when(F.col("k") > 0, F.transform(F.sequence(F.lit(1), F.col("k")), lambda x: F.concat(F.lit("c"), x))).otherwise(F.array().cast("array<string>")))
+
+
+@_query("a AS (" + _ANSWERS.replace("{lineitem}", "lineitem") + """) SELECT doc_id, field_id, CASE WHEN abstain THEN 'ABSTAINED' ELSE 'SELECTED' END AS outcome, CASE WHEN abstain OR k = 0 THEN '' WHEN k = 1 THEN 'c1' ELSE 'c1,c2' END AS ids,
+    CASE WHEN abstain THEN NULL WHEN evidence_id IS NULL OR (evidence_id = 'c1' AND k > 0) THEN evidence_id WHEN k = 1 THEN 'c1' END AS evidence_id, reason,
+    CASE WHEN NOT abstain AND k = 0 AND cardinality <> 'MANY' THEN 'output_malformed' WHEN NOT abstain AND evidence_id IS NOT NULL AND NOT (evidence_id = 'c1' AND k > 0) AND k <> 1 THEN 'evidence_not_selected' END AS violation FROM a""")
+def d7_observations(spark, sf):
+    return sel.observations_from_responses(_answers(spark, sf)).withColumn("ids", F.array_join("selected_candidate_ids", ",")).drop("selected_candidate_ids")
+
+
+@_query("""SELECT doc_id, field_id, CASE WHEN doc_id % 7 = 0 THEN 'field_mismatch' WHEN k = 2 AND (doc_id % 3 = 0 OR doc_id % 5 = 0) THEN 'duplicate_ids' WHEN k > 0 AND doc_id % 5 = 0 THEN 'unknown_ids' END AS violation FROM obs""")
+def p12_structural(spark, sf):
+    o = base(spark, sf, "obs").withColumn("set_field_id", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("field_id")))
+    ids = F.transform(F.sequence(F.lit(1), F.col("k")), lambda x: F.when((F.col("k") == 2) & (F.col("doc_id") % 3 == 0), "c1").when(F.col("doc_id") % 5 == 0, "zz").otherwise(F.concat(F.lit("c"), x)))
+    o = o.withColumn("selected_candidate_ids", F.when(F.col("k") > 0, ids).otherwise(F.array().cast("array<string>")))
+    c = o.select("doc_id", F.col("set_field_id").alias("field_id"), F.explode(F.array(F.lit("c1"), F.lit("c2"))).alias("candidate_id"))
+    return sel.structural_violation(o, c).select("doc_id", "field_id", "violation")
+
+
+@_query("SELECT doc_id, field_id, seq, candidate_id FROM cands WHERE seq % 2 = 0")
+def c23_candidate_view(spark, sf):
+    c = base(spark, sf, "cands")
+    return sel.candidate_view(c, c.where("seq % 2 = 0")).select("doc_id", "field_id", "seq", "candidate_id")
+
+
+@_query("""s AS (SELECT doc_id, field_id, seq, candidate_id, seq % 3 AS shard, byte_start % 4 = 0 AS picked, CASE WHEN doc_id % 2 = 0 THEN 'MANY' ELSE 'ONE' END AS cardinality FROM cands),
+    g AS (SELECT doc_id, field_id, cardinality, count(DISTINCT shard) FILTER (WHERE picked) AS winners, string_agg(candidate_id, ',' ORDER BY seq) FILTER (WHERE picked) AS ids FROM s GROUP BY ALL)
+    SELECT doc_id, field_id, CASE WHEN winners = 0 THEN 'ABSTAINED' WHEN cardinality = 'MANY' OR winners = 1 THEN 'SELECTED' ELSE 'ERROR' END AS outcome, CASE WHEN cardinality = 'MANY' OR winners = 1 THEN coalesce(ids, '') ELSE '' END AS ids,
+        CASE WHEN winners = 0 THEN 'all shards abstained' WHEN cardinality = 'MANY' THEN 'union of sharded selections' WHEN winners > 1 THEN 'deferred_collect.reducer_required' END AS reason FROM g""")
+def d26_collect_shards(spark, sf):
+    c = base(spark, sf, "cands")
+    picked = F.collect_list(F.when(F.col("byte_start") % 4 == 0, F.col("candidate_id")))
+    shards = c.withColumn("cardinality", F.when(F.col("doc_id") % 2 == 0, "MANY").otherwise("ONE")).groupBy("doc_id", "field_id", "cardinality", (F.col("seq") % 3).alias("shard")).agg(picked.alias("selected_candidate_ids"))
+    return sel.collect_shards(shards, c).withColumn("ids", F.array_join("selected_candidate_ids", ",")).drop("selected_candidate_ids")
+
+
+_RESPONSES = """SELECT concat('r', CAST(event_id AS STRING)) AS request_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'no json' WHEN event_id % 4 = 1 THEN concat(chr(123), '"abstain":true,"reason":"unsure"', chr(125)) ELSE concat(chr(123), '"abstain":false,"selected_candidate_ids":["c1"],"evidence_id":"c9","reason":"fits"', chr(125)) END AS payload,
+    CASE WHEN event_id % 3 = 0 THEN 'timeout' END AS error, CASE WHEN event_id % 2 = 0 THEN 'u' END AS raw_usage FROM {events} WHERE event_id % 7 <> 0"""
+_CALLS = "SELECT concat('r', CAST(event_id AS STRING)) AS request_id, user_id AS doc_id, event_type AS field_id, CASE WHEN event_id % 2 = 0 THEN 'ONE' ELSE 'MANY' END AS cardinality FROM {events} WHERE event_id % 5 <> 0"
+_ADAPTED = f"""c AS ({_CALLS.replace('{events}', 'events')}), p AS ({_RESPONSES.replace('{events}', 'events')}), a AS (SELECT c.*, payload, raw_usage AS usage, CASE WHEN payload IS NULL AND error IS NULL THEN 'missing' WHEN error IS NOT NULL THEN 'failed' WHEN payload = 'no json' THEN 'invalid' ELSE 'ok' END AS status FROM c LEFT JOIN p USING (request_id))"""
+
+
+def _calls(spark, sf):
+    events = table(spark, sf, "events")
+    return spark.sql(_CALLS, events=events), spark.sql(_RESPONSES, events=events)
+
+
+@_query(f"{_ADAPTED} SELECT request_id, CASE WHEN status = 'ok' THEN contains(payload, 'true') END AS abstain, usage, status FROM a")
+def q8_adapt_responses(spark, sf):
+    out = df_.adapt_responses(*_calls(spark, sf), "abstain boolean, selected_candidate_ids array<string>, evidence_id string, reason string")
+    return out.select("request_id", "output.abstain", "usage", "status")
+
+
+@_query(f"""{_ADAPTED} SELECT doc_id, field_id, CASE WHEN contains(payload, 'true') THEN 'ABSTAINED' ELSE 'SELECTED' END AS outcome, CASE WHEN contains(payload, 'true') THEN NULL ELSE 'c1' END AS evidence_id, CASE WHEN contains(payload, 'true') THEN 'unsure' ELSE 'fits' END AS reason FROM a WHERE status = 'ok'""")
+def q7_collect(spark, sf):
+    return df_.collect(*_calls(spark, sf))[0].select("doc_id", "field_id", "outcome", "evidence_id", "reason")
+
+
+@_query(f"{_ADAPTED} SELECT request_id, status AS problem FROM a WHERE status <> 'ok' UNION ALL SELECT request_id, 'unknown' FROM p WHERE request_id NOT IN (SELECT request_id FROM c)")
+def q7_problems(spark, sf):
+    return df_.collect(*_calls(spark, sf))[1]
+
+
+@_query("""SELECT event_id, sha256('{"output_model_ref":"m","routing":{"document_id":"d' || user_id || '","field_id":"' || event_type || '"},"soft_call_identity":"s' || event_id || '","spec_hash":"h"}') AS request_id,
+    '{"output_model_ref":"m","prompt":"p' || event_id || '","request_id":"' || request_id || '","routing":{"document_id":"d' || user_id || '","field_id":"' || event_type || '"},"soft_call_identity":"s' || event_id || '","spec_hash":"h"}' AS line FROM events""")
+def q2_render_submission(spark, sf):
+    calls = table(spark, sf, "events").select("event_id", F.concat(F.lit("s"), "event_id").alias("soft_call_identity"), F.lit("h").alias("spec_hash"), F.lit("m").alias("output_model_ref"), F.concat(F.lit("d"), "user_id").alias("document_id"), F.col("event_type").alias("field_id"), F.concat(F.lit("p"), "event_id").alias("prompt"))
+    lines = df_.render_submission(calls)
+    return df_.with_request_id(calls).select("event_id", "request_id").join(lines, "request_id").select("event_id", "request_id", "line")
+
+
+_ISSUES = "SELECT l_orderkey AS doc_id, l_linenumber AS seq, CASE WHEN l_tax > 0.04 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN l_suppkey % 2 = 0 THEN 'a,b' ELSE 'b' END AS fields, l_returnflag AS reason FROM {lineitem}"
+
+
+@_query("i AS (" + _ISSUES.replace("{lineitem}", "lineitem") + ") SELECT doc_id, f AS field_id, string_agg(reason, ',' ORDER BY seq) AS reasons FROM (SELECT *, unnest(string_split(fields, ',')) AS f FROM i WHERE severity = 'error') GROUP BY ALL")
+def v12_object_feedback(spark, sf):
+    issues = spark.sql(_ISSUES, lineitem=table(spark, sf, "lineitem")).withColumn("implicates", F.split("fields", ","))
+    return va.object_feedback(issues).withColumn("reasons", F.array_join("reasons", ","))
+
+
+_NEGATIVES = "SELECT doc_id, field_id, seq, CASE WHEN byte_start % 5 = 0 THEN 'selection' ELSE 'validation' END AS category, CASE WHEN byte_start % 3 = 0 THEN 'field_failure' ELSE 'other' END AS code, text AS reason FROM {cands}"
+_FEEDBACK = "n AS (" + _NEGATIVES.replace("{cands}", "cands") + "), f AS (SELECT doc_id, field_id, string_agg(reason, ',' ORDER BY seq) AS reasons FROM n WHERE category = 'validation' AND code = 'field_failure' GROUP BY ALL)"
+
+
+@_query(f"{_FEEDBACK} SELECT * FROM f")
+def v11_field_feedback(spark, sf):
+    return va.field_feedback(spark.sql(_NEGATIVES, cands=base(spark, sf, "cands"))).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@_query(f"""{_FEEDBACK}, k AS (SELECT doc_id, field_id FROM f) SELECT doc_id, field_id, seq, 'first' AS pass FROM n WHERE (doc_id, field_id) NOT IN (SELECT (doc_id, field_id) FROM k) UNION ALL SELECT doc_id, field_id, seq, 'second' FROM n WHERE (doc_id, field_id) IN (SELECT (doc_id, field_id) FROM k) AND seq % 2 = 0""")
+def v11_repair_once(spark, sf):
+    n = spark.sql(_NEGATIVES, cands=base(spark, sf, "cands")).withColumn("pass", F.lit("first"))
+    again = n.where("seq % 2 = 0").withColumn("pass", F.lit("second"))
+    _, left = va.repair_once(n, n, again, again, va.field_feedback(n), ["party", "amount"])
+    return left.select("doc_id", "field_id", "seq", "pass")
+
+
+@_query("SELECT doc_id, seq, 'normalized_text' AS space, byte_start::BIGINT AS byte_start, byte_end::BIGINT AS byte_end FROM cands")
+def c11_match_span(spark, sf):
+    span = tx.normalized_match_span(F.col("byte_start"), F.col("byte_end"))
+    return base(spark, sf, "cands").select("doc_id", "seq", span["text_anchor_space"].alias("space"), span["byte_start"].alias("byte_start"), span["byte_end"].alias("byte_end"))
+
+
+@_query("SELECT event_id, event_id % 3 <> 0 AS ok FROM events")
+def sf10_is_json(spark, sf):
+    return table(spark, sf, "events").select("event_id", tx.is_json(F.when(F.col("event_id") % 3 == 0, '{"a": [1, }').when(F.col("event_id") % 3 == 1, '{"a": [1, {"b": null}]}').otherwise("7")).alias("ok"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import json_string, safe_segment, stable_hash
@@ -131,3 +131,14 @@ def parse_batch(lines: DataFrame) -> DataFrame:
 def object_path(root: str, kind: str, name):
     """A path of safe segments, as a column."""
     return F.concat_ws("/", F.lit(root), safe_segment(F.lit(kind)), safe_segment(name))
+
+
+def smoke_cases(spark: SparkSession, path: str, schemas: set[str]) -> DataFrame:
+    """(case_id, schema_id, document_path, expected_instances) of a manifest {"cases": [...]}: case_ids are unique, schemas registered, and documents lie under the manifest's folder."""
+    cases = spark.read.json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
+    n = F.count("*").over(Window.partitionBy("case_id"))
+    escapes = F.col("document_path").startswith("/") | F.exists(F.split("document_path", "[/\\\\]"), lambda x: x == "..")
+    wrong = F.when(n > 1, "duplicate_case_id").when(~F.col("schema_id").isin(*schemas), "missing_schema").when(F.coalesce(escapes, F.lit(True)), "path_escape")
+    if bad := cases.withColumn("wrong", wrong).where("wrong IS NOT NULL").select("case_id", "wrong").limit(5).collect():
+        raise ValueError(f"smoke_dataset: {[tuple(r) for r in bad]}")
+    return cases

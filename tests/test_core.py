@@ -21,7 +21,7 @@ from groundspan.operators import validation as va
 from groundspan.plans.extract import extract, objects, with_characters
 from groundspan.plans.spec import Field, Regex, Rule, SpecError, analyze, compile_spec, dependency_order, lookup
 from groundspan.sources import adapters as ad
-from groundspan.sources.store import Collision, Store, batch_lines, fixture_pack, parse_batch, read_json_lines, read_replays, replay_rows, run_fingerprint
+from groundspan.sources.store import Collision, Store, batch_lines, fixture_pack, parse_batch, read_json_lines, read_replays, replay_rows, run_fingerprint, smoke_cases
 
 SAMPLES = ["", "plain", "héllo 日本 😀", "a\nb\n\nc", 'quote " back \\ tab\t', "x" * 3000]
 
@@ -374,3 +374,43 @@ def test_ambiguous_fields_make_their_target_partial(spark):
     assert assigned == {(1, "f"): (0, "continuity", None, None), (1, "g"): (None, None, "continuity", 1), (2, "f"): (None, None, None, 0)}
     got = {(r.doc_id, r.ordinal): (len(r.fields), r.negatives, [tuple(a) for a in r.anchors], r.outcome) for r in ins.compose(ins.cardinality_policy(ins.assign(fields, keys))).collect()}
     assert got == {(1, 0): (1, [], [(0, 4)], "complete"), (1, 1): (0, ["g:ambiguous_grouping"], [], "partial"), (2, 0): (0, ["f:ambiguous_grouping"], [], "partial")}
+
+
+def test_smoke_manifests_are_checked(spark, tmp_path):
+    def load(*cases):
+        (tmp_path / "m.json").write_text(json.dumps({"cases": [{"case_id": c, "schema_id": k, "document_path": d, "expected_instances": [{"n": 1}]} for c, k, d in cases]}))
+        return smoke_cases(spark, f"{tmp_path}/m.json", {"invoice"})
+
+    assert {r.case_id for r in load(("a", "invoice", "docs/a.txt"), ("b", "invoice", "b..txt")).collect()} == {"a", "b"}
+    for cases, why in (([("a", "invoice", "x"), ("a", "invoice", "y")], "duplicate_case_id"), ([("a", "letter", "x")], "missing_schema"), ([("a", "invoice", "../x")], "path_escape"), ([("a", "invoice", "/etc/x")], "path_escape")):
+        with pytest.raises(ValueError, match=why):
+            load(*cases)
+
+
+def test_streamed_instances_are_in_order(spark):
+    rows = spark.createDataFrame([(2, 0, []), (1, 1, ["b:x", "a:y"]), (1, 0, ["c:z"])], "doc_id long, ordinal int, negatives array<string>")
+    assert [(r.doc_id, r.ordinal) for r in ins.stream(rows)] == [(1, 0), (1, 1), (2, 0)]
+    assert [tuple(r) for r in ins.flat_negatives(rows).orderBy("doc_id", "position").collect()] == [(1, 0, 0, "c:z"), (1, 1, 1, "b:x"), (1, 2, 1, "a:y")]
+
+
+def test_collected_answers_and_problems(spark):
+    requests = spark.createDataFrame([(f"r{k}", 1, "f", "ONE") for k in range(6)], "request_id string, doc_id long, field_id string, cardinality string")
+    good = '{"selected_candidate_ids": ["c1"], "evidence_id": "c1", "reason": "fits"}'
+    responses = spark.createDataFrame([("r0", good, None, "u"), ("r1", None, "timeout", None), ("r2", "no json", None, None), ("r3", good, None, None), ("r3", good, None, None), ("r4", good, None, None), ("r4", None, "late", None), ("zz", good, None, None)], "request_id string, payload string, error string, raw_usage string")
+    observations, problems = deferred.collect(requests, responses)
+    assert [(r.outcome, r.selected_candidate_ids, r.evidence_id, r.violation) for r in observations.collect()] == [("SELECTED", ["c1"], "c1", None)]
+    assert {tuple(r) for r in problems.collect() if r.problem != "missing" or r.request_id == "r5"} == {("r1", "failed"), ("r2", "invalid"), ("r3", "duplicate"), ("r4", "overlapping"), ("r5", "missing"), ("zz", "unknown")}
+
+
+def test_a_second_pass_replaces_what_failed_once(spark):
+    value = "doc_id long, field_id string, seq int, value string"
+    negative = "doc_id long, field_id string, seq int, category string, code string, reason string"
+    values = spark.createDataFrame([(1, "a", 0, "old"), (1, "b", 0, "good"), (2, "a", 0, "fine")], value)
+    negatives = spark.createDataFrame([(1, "a", 0, "validation", "field_failure", "too long"), (1, "a", 1, "validation", "field_failure", "not a date"), (1, "b", 0, "selection", "abstained", "unsure")], negative)
+    again = spark.createDataFrame([(1, "a", 0, "new"), (2, "a", 0, "never asked")], value)
+    worse = spark.createDataFrame([(1, "a", 0, "validation", "field_failure", "still wrong")], negative)
+    feedback = va.field_feedback(negatives)
+    assert [(r.field_id, r.reasons) for r in feedback.collect()] == [("a", ["too long", "not a date"])]
+    kept, left = va.repair_once(values, negatives, again, worse, feedback, ["a", "b"])
+    assert {(r.doc_id, r.field_id, r.value) for r in kept.collect()} == {(1, "a", "new"), (1, "b", "good"), (2, "a", "fine")}
+    assert {(r.field_id, r.reason) for r in left.collect()} == {("a", "still wrong"), ("b", "unsure")}
