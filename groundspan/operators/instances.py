@@ -36,10 +36,24 @@ def by_continuity(fields: DataFrame, keys: DataFrame) -> DataFrame:
     return _single(_near(fields, keys).where(hit).select("doc_id", "field_id", "seq", "bucket"), AUTHORITIES[1])
 
 
-def by_cooccurrence(fields: DataFrame, keys: DataFrame) -> DataFrame:
-    """Keys whose anchors lie nearest to the field's span; ties decide nothing."""
-    far = gap(F.col("byte_start"), F.col("byte_end"), F.col("anchor_start"), F.col("anchor_end"))
-    ranked = _near(fields, keys).withColumn("r", F.rank().over(Window.partitionBy("doc_id", "field_id", "seq").orderBy(far)))
+def _with_spans(fields: DataFrame, candidates: DataFrame | None) -> DataFrame:
+    """fields with spans: those of the candidates that a field refers to (candidate_ids), or without candidates its own."""
+    if candidates is None:
+        return fields.withColumn("spans", F.array(F.struct("byte_start", "byte_end")))
+    each = fields.select("doc_id", "field_id", "seq", F.explode("candidate_ids").alias("candidate_id")).distinct()
+    spans = each.join(candidates.select("doc_id", "field_id", "candidate_id", "byte_start", "byte_end"), ["doc_id", "field_id", "candidate_id"]).groupBy("doc_id", "field_id", "seq").agg(F.collect_set(F.struct("byte_start", "byte_end")).alias("spans"))
+    return fields.join(spans, ["doc_id", "field_id", "seq"], "left")
+
+
+def _far() -> Column:
+    """The least gap between an anchor and one of the spans; null without spans."""
+    return F.array_min(F.transform("spans", lambda x: gap(x["byte_start"], x["byte_end"], F.col("anchor_start"), F.col("anchor_end"))))
+
+
+def by_cooccurrence(fields: DataFrame, keys: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Keys whose anchors lie nearest to the spans of the candidates that a field refers to (see _with_spans); ties decide nothing, and a field without such candidates says nothing."""
+    near = _near(_with_spans(fields, candidates), keys).withColumn("far", _far()).where("far IS NOT NULL")
+    ranked = near.withColumn("r", F.rank().over(Window.partitionBy("doc_id", "field_id", "seq").orderBy("far")))
     return _single(ranked.where("r = 1").select("doc_id", "field_id", "seq", "bucket"), AUTHORITIES[2])
 
 
@@ -49,18 +63,18 @@ def by_prior(fields: DataFrame, keys: DataFrame) -> DataFrame:
     return _single(fields.join(k, ["doc_id", "tentative_key"]).select("doc_id", "field_id", "seq", "bucket"), AUTHORITIES[3])
 
 
-def assign(fields: DataFrame, keys: DataFrame, with_plan: bool = True) -> DataFrame:
+def assign(fields: DataFrame, keys: DataFrame, with_plan: bool = True, candidates: DataFrame | None = None) -> DataFrame:
     """fields with bucket and authority: of the first authority that is decisive. Where none is, ambiguous_on is the strongest beyond boundary that says anything, and target the
     least bucket that it names, or else 0: where the finding goes. One join by document and one aggregate, in the same partitioning.
     """
     k = keys.select("doc_id", F.col("ordinal").alias("k_bucket"), F.col("group_id").alias("k_group"), "anchor_start", "anchor_end")
     same = F.col("tentative_key") == F.col("k_group")
     own = lambda condition: F.collect_set(F.when(condition, F.col("k_bucket")))
-    far = gap(F.col("byte_start"), F.col("byte_end"), F.col("anchor_start"), F.col("anchor_end"))
-    by = fields.join(k, "doc_id", "left").groupBy(*fields.columns).agg(
+    near = F.struct(_far().alias("far"), F.col("k_bucket").alias("bucket"))
+    by = _with_spans(fields, candidates).join(k, "doc_id", "left").groupBy(*fields.columns).agg(
         own(F.col("boundary_defining") & same).alias("k1"),
         own(overlap(F.col("byte_start"), F.col("byte_end"), F.col("anchor_start"), F.col("anchor_end"))).alias("k2"),
-        F.collect_set(F.when(F.col("k_bucket").isNotNull(), F.struct(far.alias("far"), F.col("k_bucket").alias("bucket")))).alias("k3"),
+        F.collect_set(F.when(F.col("k_bucket").isNotNull() & _far().isNotNull(), near)).alias("k3"),
         own(same & F.lit(with_plan)).alias("k4"),
     )
     by = by.withColumn("k3", F.transform(F.filter("k3", lambda x: x["far"] == F.array_min("k3")["far"]), lambda x: x["bucket"]))

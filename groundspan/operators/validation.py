@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_length, decimal_value, is_aligned
+from ..functions.text import byte_length, decimal_value
+from ..sources.adapters import invert, span_violation
 
 SET = ["doc_id", "field_id"]
 NEGATIVE = ["doc_id", "field_id", "category", "code", "reason", "candidate_count"]
@@ -49,17 +50,28 @@ def proposed(observations: DataFrame, candidates: DataFrame, fields: DataFrame)
 
 
 def layer1(fields: DataFrame, docs: DataFrame) -> DataFrame:
-    """fields with code: the first of the checks of space, range and alignment that fails, null if none. docs(doc_id, text)."""
-    joined = fields.join(docs.select("doc_id", "text"), "doc_id")
-    head = (F.col("byte_start") == 0) & (F.col("byte_end") == 0)
-    out = (F.col("byte_start") < 0) | (F.col("byte_end") < F.col("byte_start")) | (F.col("byte_end") > byte_length(F.col("text")))
-    cut = ~is_aligned(F.col("text"), F.col("byte_start")) | ~is_aligned(F.col("text"), F.col("byte_end"))
-    code = (
-        F.when((F.col("space") != "source_bytes") & ~head, "candidate.text_anchor_space_mismatch")
-        .when(~out & cut, "candidate.utf8_alignment")
-        .when(out, "candidate.span_out_of_range")
-    )
-    return joined.withColumn("code", code).drop("text")
+    """fields(..., space, byte_start, byte_end, and evidence_spans of such structs, if there) with code: the first span's first failing check, null if none.
+
+    docs(doc_id, text, space, segments): the space that the document's adapter declares, source_bytes if not there, and its anchor map, by default that of a plain text. A span in another
+    space is a mismatch, but for the point at a document's head; a normalized one that is out of range or not aligned fails as utf8_alignment, a source one that the map can't invert as span_out_of_range.
+    """
+    own = {"text": F.col("text"), "__declared": F.col("space") if "space" in docs.columns else F.lit("source_bytes")}
+    own["__segments"] = F.col("segments") if "segments" in docs.columns else F.array(F.struct(*(x.cast("long").alias(n) for n, x in (("norm_start", F.lit(0)), ("norm_end", byte_length(F.col("text"))), ("src_start", F.lit(0)), ("src_end", byte_length(F.col("text")))))))
+    joined = fields.join(docs.select("doc_id", *(c.alias(k) for k, c in own.items())), "doc_id")
+
+    def wrong(space: Column, start: Column, end: Column) -> Column:
+        head = (space == "normalized_text") & (start == 0) & (end == 0)
+        negative = (start < 0) | (end < start)
+        return (
+            F.when((space != F.col("__declared")) & ~head, "candidate.text_anchor_space_mismatch")
+            .when((space == "normalized_text") & span_violation(F.col("text"), space, start, end).isNotNull(), "candidate.utf8_alignment")
+            .when((space != "normalized_text") & (negative | invert(F.col("__segments"), start, end).isNull()), "candidate.span_out_of_range")
+        )
+
+    code = wrong(F.col("space"), F.col("byte_start"), F.col("byte_end"))
+    if "evidence_spans" in fields.columns:
+        code = F.coalesce(code, F.get(F.filter(F.transform("evidence_spans", lambda x: wrong(x["space"], x["byte_start"], x["byte_end"])), lambda x: x.isNotNull()), F.lit(0)))
+    return joined.withColumn("code", code).select(*fields.columns, "code")
 
 
 #: Native normalizers by value type: null means that the value doesn't validate.

@@ -391,14 +391,15 @@ def v3_proposed(spark, sf):
     return va.proposed(o, c, fields).drop("byte_start", "byte_end")
 
 
-@_query("""f AS (SELECT doc_id, text, (doc_id % 40)::INT AS a, (doc_id % 40 + doc_id % 900)::INT AS b, CASE WHEN doc_id % 9 = 0 THEN 'normalized_text' ELSE 'source_bytes' END AS space FROM documents),
+@_query("""f AS (SELECT doc_id, text, (doc_id % 40)::INT AS a, (doc_id % 40 + doc_id % 900)::INT AS b, CASE WHEN doc_id % 9 < 4 THEN 'normalized_text' ELSE 'source_bytes' END AS space, CASE WHEN doc_id % 2 = 0 THEN 'normalized_text' ELSE 'source_bytes' END AS declared FROM documents),
     x AS (SELECT *, strlen(text) AS n, hex(encode(text)) AS h FROM f), y AS (SELECT *, a > b OR b > n AS o, (a < n AND substr(h, 2 * a + 1, 1) IN ('8', '9', 'A', 'B')) OR (b < n AND substr(h, 2 * b + 1, 1) IN ('8', '9', 'A', 'B')) AS cut FROM x)
-    SELECT doc_id, CASE WHEN space <> 'source_bytes' AND NOT (a = 0 AND b = 0) THEN 'candidate.text_anchor_space_mismatch' WHEN NOT o AND cut THEN 'candidate.utf8_alignment' WHEN o THEN 'candidate.span_out_of_range' END AS code FROM y""")
+    SELECT doc_id, CASE WHEN space <> declared AND NOT (space = 'normalized_text' AND a = 0 AND b = 0) THEN 'candidate.text_anchor_space_mismatch' WHEN space = 'normalized_text' AND (o OR cut) THEN 'candidate.utf8_alignment' WHEN space = 'source_bytes' AND o THEN 'candidate.span_out_of_range' END AS code FROM y""")
 def v4_layer1(spark, sf):
     docs = table(spark, sf, "documents")
     a = F.col("doc_id") % 40
-    fields = docs.select("doc_id", a.cast("int").alias("byte_start"), (a + F.col("doc_id") % 900).cast("int").alias("byte_end"), F.when(F.col("doc_id") % 9 == 0, "normalized_text").otherwise("source_bytes").alias("space"))
-    return va.layer1(fields, docs).select("doc_id", "code")
+    fields = docs.select("doc_id", a.cast("int").alias("byte_start"), (a + F.col("doc_id") % 900).cast("int").alias("byte_end"), F.when(F.col("doc_id") % 9 < 4, "normalized_text").otherwise("source_bytes").alias("space"))
+    declared = F.when(F.col("doc_id") % 2 == 0, "normalized_text").otherwise("source_bytes")
+    return va.layer1(fields, docs.select("doc_id", "text", declared.alias("space"))).select("doc_id", "code")
 
 
 _RAW = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'date' WHEN 2 THEN 'bool' ELSE 'str' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_custkey % 3 = 0 THEN ' 12 ' ELSE '20 items' END WHEN 1 THEN CASE WHEN o_custkey % 3 = 0 THEN '2020-04-13' WHEN o_custkey % 3 = 1 THEN '2020-13-01' ELSE 'April 13' END WHEN 2 THEN CASE WHEN o_custkey % 3 = 0 THEN 'Yes' WHEN o_custkey % 3 = 1 THEN 'off' ELSE 'maybe' END ELSE o_orderpriority END AS raw_value FROM {orders}"
@@ -438,10 +439,12 @@ def v13_repaired(spark, sf):
 
 # instances
 
-_FIELDS = "SELECT *, concat('g', CAST(seq % 4 AS STRING)) AS tentative_key, seq % 2 = 0 AS boundary_defining, CASE WHEN field_id = 'amount' THEN 'ONE' ELSE 'PER_INSTANCE' END AS cardinality, text AS value FROM {cands}"
-_AUTHORITY = f"""f AS ({_FIELDS.replace('{cands}', 'cands')}), p AS (SELECT f.doc_id, field_id, seq, ordinal, 1 AS a FROM f JOIN keys k ON f.doc_id = k.doc_id AND tentative_key = group_id WHERE boundary_defining
+_FIELDS = "SELECT *, concat('g', CAST(seq % 4 AS STRING)) AS tentative_key, seq % 2 = 0 AS boundary_defining, CASE WHEN field_id = 'amount' THEN 'ONE' ELSE 'PER_INSTANCE' END AS cardinality, text AS value, array(candidate_id) AS candidate_ids FROM {cands}"
+#: Candidates that fields refer to, some of which aren't there, and none of which lies where its field does.
+_REFERRED = "SELECT doc_id, field_id, candidate_id, byte_start + 20 AS byte_start, byte_end + 20 AS byte_end FROM {cands} WHERE seq % 5 <> 0"
+_AUTHORITY = f"""f AS ({_FIELDS.replace('{cands}', 'cands').replace('array(candidate_id)', '[candidate_id]')}), cs AS ({_REFERRED.replace('{cands}', 'cands')}), p AS (SELECT f.doc_id, field_id, seq, ordinal, 1 AS a FROM f JOIN keys k ON f.doc_id = k.doc_id AND tentative_key = group_id WHERE boundary_defining
     UNION ALL SELECT f.doc_id, field_id, seq, ordinal, 2 FROM f JOIN keys k ON f.doc_id = k.doc_id AND byte_start < anchor_end AND anchor_start < byte_end AND byte_start < byte_end
-    UNION ALL SELECT doc_id, field_id, seq, ordinal, 3 FROM (SELECT f.doc_id, field_id, seq, ordinal, rank() OVER (PARTITION BY f.doc_id, field_id, seq ORDER BY greatest(anchor_start - byte_end, byte_start - anchor_end, 0)) AS r FROM f JOIN keys k ON f.doc_id = k.doc_id) WHERE r = 1
+    UNION ALL SELECT doc_id, field_id, seq, ordinal, 3 FROM (SELECT f.doc_id, f.field_id, f.seq, ordinal, rank() OVER (PARTITION BY f.doc_id, f.field_id, f.seq ORDER BY greatest(anchor_start - cs.byte_end, cs.byte_start - anchor_end, 0)) AS r FROM f JOIN cs ON f.doc_id = cs.doc_id AND f.field_id = cs.field_id AND f.candidate_id = cs.candidate_id JOIN keys k ON f.doc_id = k.doc_id) WHERE r = 1
     UNION ALL SELECT f.doc_id, field_id, seq, ordinal, 4 FROM f JOIN keys k ON f.doc_id = k.doc_id AND tentative_key = group_id),
     s AS (SELECT doc_id, field_id, seq, a, count(DISTINCT ordinal) AS n, min(ordinal) AS bucket FROM p GROUP BY ALL),
     d AS (SELECT doc_id, field_id, seq, min(a) FILTER (WHERE n = 1) AS a, arg_min(bucket, a) FILTER (WHERE n = 1) AS bucket, min(a) FILTER (WHERE a > 1) AS strongest, arg_min(bucket, a) FILTER (WHERE a > 1) AS hint FROM s GROUP BY ALL),
@@ -451,7 +454,7 @@ _NAMED = "CASE {c} WHEN 1 THEN 'boundary' WHEN 2 THEN 'continuity' WHEN 3 THEN '
 
 def _assigned(spark, sf):
     fields = spark.sql(_FIELDS, cands=base(spark, sf, "cands"))
-    return ins.assign(fields, base(spark, sf, "keys"))
+    return ins.assign(fields, base(spark, sf, "keys"), candidates=spark.sql(_REFERRED, cands=base(spark, sf, "cands")))
 
 
 @_query(f"{_AUTHORITY} SELECT doc_id, field_id, seq, coalesce(bucket, -1) AS bucket, {_NAMED.format(c='a')} AS authority, CASE WHEN a IS NULL THEN {_NAMED.format(c='strongest')} END AS ambiguous_on, coalesce(target, -1) AS target FROM assigned")
@@ -848,7 +851,8 @@ def g15_boundary_order(spark, sf):
 def _authority(name: str, function, code: int) -> None:
     @_query(f"{_AUTHORITY} SELECT doc_id, field_id, seq, n = 1 AS decisive, n AS buckets FROM s WHERE a = {code}", name)
     def run(spark, sf):
-        return function(spark.sql(_FIELDS, cands=base(spark, sf, "cands")), base(spark, sf, "keys")).select("doc_id", "field_id", "seq", "decisive", "buckets")
+        more = (spark.sql(_REFERRED, cands=base(spark, sf, "cands")),) if code == 3 else ()
+        return function(spark.sql(_FIELDS, cands=base(spark, sf, "cands")), base(spark, sf, "keys"), *more).select("doc_id", "field_id", "seq", "decisive", "buckets")
 
 
 _authority("g3_boundary", ins.by_boundary, 1)
