@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +47,16 @@ def _neighbours() -> dict[str, set[str]]:
 
 _NEAR = _neighbours()
 _DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)")
-#: Units of up to 32 characters, so that a long value takes linear time; a longer unit is found as its own parts.
-_REPEAT = re.compile(r"(.{1,32}?)\1+", re.DOTALL)
-
-
-def words(path: str = VOCABULARY) -> dict[str, int]:
-    """Words and their ranks, from 1."""
+def words(content: bytes | None = None) -> dict[str, int]:
+    """Words and their ranks, from 1; content: of the vocabulary file."""
     ranked = {w: k for k, w in enumerate(_COMMON, 1)}
-    with open(path, "rb") as lines:
-        for line in lines:
-            word = base64.b64decode(line.split()[0]).strip().decode("utf-8", "replace").lower()
-            if len(word) >= 3 and word.isalpha():
-                ranked.setdefault(word, len(ranked) + 1)
+    if content is None:
+        with open(VOCABULARY, "rb") as file:
+            content = file.read()
+    for line in content.splitlines():
+        word = base64.b64decode(line.split()[0]).strip().decode("utf-8", "replace").lower()
+        if len(word) >= 3 and word.isalpha():
+            ranked.setdefault(word, len(ranked) + 1)
     return ranked
 
 
@@ -67,7 +66,7 @@ def _alphabet(text: str) -> int:
     return size + 33 * any(not c.isalnum() for c in text) or 100
 
 
-def parts(value: str, ranked: dict[str, int], longest: int, deep: bool = True) -> Iterator[tuple[int, int, float]]:
+def parts(value: str, ranked: dict[str, int], longest: int) -> Iterator[tuple[int, int, float]]:
     """(begin, end, log10 of guesses) of all words, dates, repeats, sequences and keyboard walks in value."""
     lower = value.lower()
     plain_text = lower.translate(_LEET)
@@ -103,18 +102,31 @@ def parts(value: str, ranked: dict[str, int], longest: int, deep: bool = True) -
         if j - i >= 4:
             yield i, j, math.log10(len(_NEAR)) + min(turns, 3) * math.log10(4.6) + math.log10(j - i)
         i = max(j - 1, i + 1)
-    if deep:
-        for match in _REPEAT.finditer(value):
-            unit = match.group(1)
-            if match.end() - match.start() >= 3:
-                inner = math.log10(_alphabet(unit)) if len(unit) == 1 else guesses(unit, ranked, longest, False)
-                yield match.start(), match.end(), inner + math.log10((match.end() - match.start()) // len(unit))
-
-
-def guesses(value: str, ranked: dict[str, int], longest: int, deep: bool = True) -> float:
+    for i, j, size in repeats(value):
+        unit = value[i : i + size]
+        inner = math.log10(_alphabet(unit)) if size == 1 else guesses(unit, ranked, longest)
+        yield i, j, inner + math.log10((j - i) // size)
+
+
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(begin, end, size of the unit) of what repeats a unit, of any size, twice or more, in three characters or more: whole units from where each longest such stretch begins."""
+    codes, out, seen = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32), [], set()
+    for size in range(1, len(codes) // 2 + 1):
+        same = codes[size:] == codes[:-size]
+        if np.count_nonzero(same) < size:
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):  # value[a : b] is equal to what stands size places on
+            if b - a >= size and b - a + size >= 3 and (a, b + size) not in seen:
+                seen.add((a, b + size))  # not again for multiples of the unit
+                out.append((a, a + (b - a + size) // size * size, size))
+    return out
+
+
+def guesses(value: str, ranked: dict[str, int], longest: int) -> float:
     """log10 of the guesses that the cheapest segmentation takes; a brute-force character takes ten."""
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in parts(value, ranked, longest, deep):
+    for i, j, cost in parts(value, ranked, longest):
         by_end.setdefault(j, []).append((i, cost))
     least, brute = [0.0], [math.inf]  # up to each place: at all, and with a brute-force span last
     for j in range(1, len(value) + 1):
@@ -134,12 +146,15 @@ def find(text: str, ranked: dict[str, int], longest: int) -> Iterator[tuple[str,
 def scan(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """One row for each value next to a credential's name: where it is (in characters), its guesses, whether it's a secret.
 
-    The JVM passes on only texts that hold a name; no shuffle. Texts are scanned whole. Null and empty
-    texts give no rows; a null doc_id stays null; repeated rows give repeated rows; other columns are ignored.
+    The JVM passes on only texts that hold a name; no shuffle. Texts are scanned whole, very long ones too. Null and empty
+    texts give no rows; a null doc_id stays null; repeated rows give repeated rows; of several cheapest segmentations the cost is one; guesses that
+    equal the threshold make a secret; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
+    with open(path, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())  # about 1 MB at any size of the input: only the driver has to have it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = words(path)
+        ranked = words(shared.value)
         longest = max(map(len, ranked))
         for batch in batches:
             rows = [
