@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_to_char
+from ..functions.text import byte_to_char, slice_bytes
 from ..operators import candidates, filters, instances, selection, validation
 from .spec import FieldSpec, Spec
 
@@ -80,10 +80,32 @@ def extract(docs: DataFrame, spec: Spec) -> Extraction:
     return Extraction(found, observations, evidence, negatives, outcomes)
 
 
+def extract_instances(docs: DataFrame, spec: Spec, keys: DataFrame) -> Extraction:
+    """extract for each instance of a document: keys(doc_id, ordinal, anchor_start, anchor_end), as a plan or a proposer gives them, say where they are.
+
+    A field belongs to the instance whose anchor covers it; selection, rules and validation see that instance's text alone. All relations have ordinal next to doc_id, spans are those of the
+    document; outcomes has one row for each document: failed without instances, complete if all are. Within the run an instance goes by a 64-bit hash of its document and ordinal.
+    """
+    of = keys.select("doc_id", "ordinal", "anchor_start", "anchor_end").withColumn("instance", F.xxhash64("doc_id", "ordinal"))
+    each = docs.select("doc_id", "text").join(of, "doc_id").select(F.col("instance").alias("doc_id"), slice_bytes(F.col("text"), F.col("anchor_start"), F.col("anchor_end")).alias("text"))
+    run = extract(each, spec)
+    back = of.select("instance", F.col("doc_id").alias("own_id"), "ordinal", "anchor_start")
+
+    def apart(df: DataFrame) -> DataFrame:
+        both = df.join(back, F.col("doc_id") == F.col("instance"))
+        placed = {c: F.col(c) + F.col("anchor_start") for c in ("byte_start", "byte_end") if c in df.columns}
+        return both.withColumns(placed | {"doc_id": F.col("own_id")}).select("doc_id", "ordinal", *(c for c in df.columns if c != "doc_id"))
+
+    judged = apart(run.outcomes).select("doc_id", F.when(F.col("outcome") == "complete", "complete").otherwise("partial").alias("outcome"))
+    return Extraction(*(apart(x) for x in (run.candidates, run.observations, run.evidence, run.negatives)), instances.roll_up(docs, judged))
+
+
 def objects(extraction: Extraction, spec: Spec) -> DataFrame:
-    """One row for each document with evidence, one column for each field, and what is missing."""
-    cells = extraction.evidence.select("doc_id", F.lit(0).alias("ordinal"), "field_id", F.col("position").alias("seq"), F.col("normalized_value").alias("value"))
-    return instances.materialize(cells, [(f.field_id, f.cardinality) for f in spec.fields]).drop("ordinal")
+    """One row for each document, or each of its instances, with evidence, one column for each field, and what is missing."""
+    several = "ordinal" in extraction.evidence.columns
+    cells = extraction.evidence.select("doc_id", (F.col("ordinal") if several else F.lit(0)).alias("ordinal"), "field_id", F.col("position").alias("seq"), F.col("normalized_value").alias("value"))
+    out = instances.materialize(cells, [(f.field_id, f.cardinality) for f in spec.fields])
+    return out if several else out.drop("ordinal")
 
 
 def with_characters(evidence: DataFrame, docs: DataFrame) -> DataFrame:

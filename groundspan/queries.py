@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
@@ -720,7 +720,7 @@ def sf7_lines(spark, sf):
 
 from typing import Annotated, Literal  # noqa: E402
 
-from .plans.extract import extract, objects  # noqa: E402
+from .plans.extract import extract, extract_instances, objects  # noqa: E402
 from .plans.spec import Field, Regex, Rule, compile_spec  # noqa: E402
 from .sources import store  # noqa: E402
 
@@ -744,6 +744,25 @@ def extract_objects(spark, sf):
     return out.withColumns({"numbers": F.array_join("numbers", ","), "missing": F.array_join("missing", ",")})
 
 
+_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents WHERE text IS NOT NULL), """
+
+
+def _line_keys(spark, sf):
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
+    before = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(before, F.lit(0))
+    return each.select("doc_id", "ordinal", start.alias("anchor_start"), (start + F.octet_length("line")).alias("anchor_end"), "line").where("line <> ''").drop("line")
+
+
+@_query(f"""{_LINES}{_NOTICE.replace('x AS (SELECT doc_id,', "x AS (SELECT doc_id, ordinal,").replace('text', 'line').replace('FROM documents', "FROM l WHERE line <> ''")}, y AS (SELECT doc_id, ordinal, CASE WHEN len(m) = 1 THEN m[1] END AS mail, array_to_string(list_transform(list_filter(n, lambda v: try_cast(v AS BIGINT) IS NOT NULL), lambda v: v::BIGINT::VARCHAR), ',') AS numbers, CASE WHEN len(t) = 1 THEN t[1] END AS secret, CASE WHEN legal AND NOT about THEN 'legal' WHEN about AND NOT legal THEN 'mail' END AS topic FROM x)
+    SELECT doc_id, ordinal, mail, numbers, secret, topic, array_to_string(list_filter([CASE WHEN secret IS NULL THEN 'secret' END, CASE WHEN topic IS NULL THEN 'topic' END], lambda v: v IS NOT NULL), ',') AS missing FROM y WHERE mail IS NOT NULL OR numbers <> '' OR secret IS NOT NULL OR topic IS NOT NULL""")
+def extract_instance_objects(spark, sf):
+    spec = compile_spec(Notice)
+    out = objects(extract_instances(table(spark, sf, "documents").select("doc_id", "text"), spec, _line_keys(spark, sf)), spec)
+    return out.withColumns({"numbers": F.array_join("numbers", ","), "missing": F.array_join("missing", ","), "ordinal": F.col("ordinal").cast("long")})
+
+
+
 @_query(f"""{_NOTICE} SELECT doc_id, 'secret' AS field_id, CASE WHEN len(t) = 0 THEN 'no_candidates' ELSE 'ambiguous' END AS code FROM x WHERE len(t) <> 1
     UNION ALL SELECT doc_id, 'mail' AS field_id, CASE WHEN len(m) = 0 THEN 'no_candidates' ELSE 'ambiguous' END AS code FROM x WHERE len(m) <> 1
     UNION ALL SELECT doc_id, 'numbers', 'no_candidates' FROM x WHERE len(n) = 0 UNION ALL SELECT doc_id, 'numbers', 'field_failure' FROM x, unnest(n) AS u(v) WHERE try_cast(v AS BIGINT) IS NULL

@@ -18,7 +18,7 @@ from groundspan.operators import instances as ins
 from groundspan.operators import scoring as sc
 from groundspan.operators import selection as sel
 from groundspan.operators import validation as va
-from groundspan.plans.extract import extract, objects, with_characters
+from groundspan.plans.extract import extract, extract_instances, objects, with_characters
 from groundspan.plans.spec import Field, Regex, Rule, SpecError, analyze, compile_spec, dependency_order, lookup
 from groundspan.sources import adapters as ad
 from groundspan.sources.store import Collision, Store, batch_lines, fixture_pack, parse_batch, read_json_lines, read_replays, replay_rows, run_fingerprint, smoke_cases
@@ -414,3 +414,19 @@ def test_a_second_pass_replaces_what_failed_once(spark):
     kept, left = va.repair_once(values, negatives, again, worse, feedback, ["a", "b"])
     assert {(r.doc_id, r.field_id, r.value) for r in kept.collect()} == {(1, "a", "new"), (1, "b", "good"), (2, "a", "fine")}
     assert {(r.field_id, r.reason) for r in left.collect()} == {("a", "still wrong"), ("b", "unsure")}
+
+
+def test_instances_have_their_own_fields_and_spans(spark):
+    text = "VND-0001 Total: $5\nVND-0002 Total: $7\nno vendor, héé Total: $9"
+    size = [len(x.encode()) for x in text.split("\n")]
+    begin = [0, size[0] + 1, size[0] + size[1] + 2]
+    keys = spark.createDataFrame([(1, k, b, b + n) for k, (b, n) in enumerate(zip(begin, size))], "doc_id long, ordinal int, anchor_start int, anchor_end int")
+    docs = spark.createDataFrame([(1, text), (2, "VND-0003 Total: $1")], "doc_id long, text string")
+    spec = compile_spec(Invoice)
+    run = extract_instances(docs, spec, keys)
+    got = {(r.doc_id, r.ordinal): r.vendor for r in objects(run, spec).collect()}
+    assert got == {(1, 0): "VND-0001", (1, 1): "VND-0002", (1, 2): None}
+    for r in run.evidence.where("field_id = 'vendor' OR field_id = 'total'").collect():
+        assert text.encode()[r.byte_start : r.byte_end].decode() == r.raw_value
+    assert {(r.doc_id, r.outcome, r.instances) for r in run.outcomes.collect()} == {(1, "partial", 3), (2, "failed", 0)}
+    assert ("vendor", 2) in {(r.field_id, r.ordinal) for r in run.negatives.collect()}
