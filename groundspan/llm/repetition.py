@@ -89,8 +89,8 @@ def repetition(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text, ...), with its repetition figures and whether it may stay.
 
     No shuffle. A null, empty or blank text has no words, figures of 0 and keep = false; a null doc_id
-    stays null; repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
-    Characters are code points; those of white space count only inside lines.
+    stays null; repeated rows give repeated rows; other columns, whatever their names, are ignored; an empty table gives no rows.
+    Very long texts are scanned whole; a share that equals its limit may stay. Characters are code points; those of white space count only inside lines.
     """
     return in_arrow(plain(docs), measure, SCHEMA)
 

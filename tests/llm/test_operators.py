@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -58,13 +59,14 @@ def brute_repetition(text):
     return out | {"dup_line_frac": len(dup) / len(ls) if ls else 0.0, "dup_line_char_frac": sum(map(len, dup)) / sum(map(len, ls)) if ls else 0.0, "n_words": len(ws), "n_lines": len(ls)}
 
 
-def test_repetition_equals_brute_force(spark, odd):
+def test_repetition_equals_brute_force(spark, odd, none):
     rng = random.Random(1)
     texts = [" ".join(words(rng, rng.randrange(200), 6)).replace(" w1 ", "\n") for _ in range(40)] + ["a b c\na b c\n x", "é é\né é"]
     rows = {r.doc_id: r for r in repetition.repetition(frame(spark, list(enumerate(texts)))).collect()}
     for i, text in enumerate(texts):
         for k, v in brute_repetition(text).items():
             assert rows[i][k] == pytest.approx(v), (i, k)
+    assert repetition.repetition(none).count() == 0
     got = repetition.repetition(odd).collect()
     assert len(got) == odd.count()
     assert {r.doc_id for r in got if r.n_words == 0} == {2, 3, 4} and not any(r.keep for r in got if r.n_words == 0)
@@ -92,7 +94,8 @@ def brute_passages(rows, length):
     return found
 
 
-def test_passages_equal_brute_force(spark, odd, odd_rows):
+def test_passages_equal_brute_force(spark, odd, odd_rows, none, monkeypatch):
+    monkeypatch.setattr(suffix, "COLLECTION", 2000)  # several collections
     rng = random.Random(2)
     shared = [words(rng, n) for n in (49, 50, 51, 90, 200)]
     rows = []
@@ -109,6 +112,7 @@ def test_passages_equal_brute_force(spark, odd, odd_rows):
             assert not got[r.doc_id, r.kind] & set(range(r.start_word - 1, r.end_word + 1)), "stretches are apart"
             got[r.doc_id, r.kind] |= set(range(r.start_word, r.end_word))
         assert dict(got) == {k: v for k, v in brute_passages(content, suffix.LENGTH).items() if v}
+    assert suffix.repeated_passages(none).count() == 0
 
 
 def test_columns_are_those_of_sorted_suffixes(tmp_path):
@@ -200,19 +204,48 @@ def test_decontamination_of_texts_without_spaces(spark):
     assert got == {(d, d % 100): 0 for d, _ in copies}
 
 
+@pytest.mark.parametrize("spaced", [True, False])
+def test_decontamination_finds_copies_with_all_edits_allowed(spark, spaced):
+    rng = random.Random(15)
+    letters = "etaoinshrdlu    " if spaced else [chr(0x4E00 + k) for k in range(600)]
+    line = lambda n: "".join(rng.choices(letters, k=n))
+    items = [(i, decontam.normal(line(rng.randrange(60, 200))).decode()) for i in range(30)]
+    rows = []
+    for d in range(300):
+        text = items[d % 30][1]
+        rows.append((d, line(150) + edit(rng, text, decontam.edits(len(text))) + line(150)))
+    brute = {(d, d % 30) for d, text in rows if decontam.edit_distance(items[d % 30][1].encode(), decontam.normal(text)) <= decontam.edits(len(items[d % 30][1]))}
+    clash = frame(spark, rows).selectExpr("*", "1 AS gone", "2 AS __gone", "3 AS item_id")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(clash, bench).collect()}
+    assert len(brute) > 200 and len(got & brute) >= 0.9 * len(brute)
+    left = decontam.drop_contaminated(clash, bench)
+    assert left.columns == clash.columns and {r.doc_id for r in left.collect()} == set(range(300)) - {d for d, _ in got}
+
+
+def test_a_very_long_item_costs_its_own_memory():
+    rng = random.Random(16)
+    rows = [(i, "".join(rng.choices("etaoinshrdlu ", k=100)).encode()) for i in range(50)] + [(99, "".join(rng.choices("etaoinshrdlu ", k=100_000)).encode())]
+    tracemalloc.start()
+    items = decontam.Items(rows, 4)
+    texts = [b"here: " + edit(rng, rows[-1][1].decode(), 40).encode() + b" there", b"there: " + rows[3][1]]
+    got = items.matches(texts, decontam.candidates(items, texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == {(0, 50), (1, 3)} and most < 1e9
+
+
 def test_random_walks_follow_edits():
     rng = random.Random(8)
     text = "".join(rng.choices("abcdefgh ", k=200))
-    items = decontam.Items([(0, text.encode())])
-    far = decontam.Items([(0, "".join(rng.choices("abcdefgh ", k=200)).encode())])
-    near = decontam.Items([(0, edit(rng, text, 6).encode()[:200].ljust(200))])
-    assert (items.hashes == near.hashes).mean() > 5 * (items.hashes == far.hashes).mean()
+    items, far, near = (decontam.Items([(0, t.encode()[:200].ljust(200))], 4).hashes[0] for t in (text, "".join(rng.choices("abcdefgh ", k=200)), edit(rng, text, 6)))
+    assert (items == near).mean() > 5 * (items == far).mean()
 
 
 # 4
 
 
-def test_bpe_equals_merges_and_round_trips(spark, odd):
+def test_bpe_equals_merges_and_round_trips(spark, odd, none):
     tiktoken = pytest.importorskip("tiktoken")
     own = bpe.encoder()
     public = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
@@ -225,6 +258,7 @@ def test_bpe_equals_merges_and_round_trips(spark, odd):
         assert own.decode(np.array(own.encode(piece))).tobytes().decode() == piece
     back = bpe.decode(bpe.encode(frame(spark, list(enumerate(texts)))).drop("text")).collect()
     assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
+    assert bpe.encode(none).count() == 0 and bpe.decode(bpe.encode(none)).count() == 0
     got = bpe.encode(odd).collect()
     assert len(got) == odd.count() and all(r.token_ids is None for r in got if r.text is None) and all(r.round_trip for r in got if r.text is not None)
 
@@ -257,18 +291,32 @@ def line_rows():
     return rows + [(3, rows[3][1]), (None, rows[5][1]), (500, None), (501, "")]
 
 
-@pytest.mark.parametrize("limit", [1 << 25, -1])
-def test_lines_equal_brute_force(spark, odd, none, monkeypatch, limit):
-    monkeypatch.setattr(lines, "BROADCAST_BYTES", limit)  # below: probes in the shards
-    monkeypatch.setattr(lines, "SHARD_KEYS", 7)  # several shards
+@pytest.mark.parametrize("limits", [(lines.MAX_COUNT, lines.MIN_CHARS), (1, 5)])
+def test_lines_equal_brute_force(spark, odd, none, monkeypatch, limits):
+    monkeypatch.setattr(lines, "SHARD_BYTES", 4000)  # several shards
+    monkeypatch.setattr(lines, "GATHER", 10)
     rows = line_rows()
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
-    got = [(r.doc_id, r.text) for r in lines.dedup_lines(frame(spark, rows)).collect()]
-    assert sorted(got, key=key) == sorted(brute_lines(rows), key=key)
+    monkeypatch.setattr(lines, "MAX_COUNT", limits[0])
+    monkeypatch.setattr(lines, "MIN_CHARS", limits[1])
+    want = sorted(brute_lines(rows), key=key)
+    got = lines.dedup_lines(frame(spark, rows).repartition(4), *limits).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == want
+    assert all(r.n_lines - r.n_removed == (r.text or "").count("\n") + 1 or r.text in (None, "") for r in got)
     assert lines.dedup_lines(odd).count() == odd.count() and lines.dedup_lines(none).count() == 0
-    kept = lines.drop_repeated_lines(frame(spark, rows))
-    assert kept.columns == frame(spark, rows).columns
-    assert {None, 500, 501} <= {r.doc_id for r in kept.collect()}
+    clash = frame(spark, rows).selectExpr("*", *(f"{k} AS __{c}" for k, c in enumerate(("bucket", "keys", "prints", "gone", "n", "removed", "text", "left"))), "9 AS `a.b`")
+    kept = lines.drop_repeated_lines(clash, *limits)
+    assert kept.columns == clash.columns and kept.select(*clash.columns[5:-1]).distinct().collect() == [tuple(range(8))]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == want, "every row stays"
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept.collect())
+    assert lines.drop_repeated_lines(none).count() == 0
+
+
+def test_a_shard_tells_lines_from_others_with_the_same_key():
+    keys, prints = np.array([5, 5, 9, 9], np.uint64), np.array([2, 1, 7, 7], np.uint32)
+    shard = lines.Shard(keys, prints, np.array([9, 3, 4, 4]), np.array([1, 2, 8, 6]), np.array([0, 0, 3, 2], np.int32))
+    at, place = shard.often(np.array([5, 5, 9, 77], np.uint64), np.array([2, 1, 7, 7], np.uint32), 2)
+    assert at.tolist() == [1, 2] and shard.counts[place].tolist() == [3, 8] and shard.owners[place].tolist() == [2, 6] and shard.places[place].tolist() == [0, 2]
 
 
 def test_perfect_hash_is_minimal():
@@ -310,6 +358,9 @@ def test_simhash_recall_against_all_pairs(spark, odd, none):
     left = simhash.drop_near_duplicates(frame(spark, rows)).collect()
     assert len({r.doc_id for r in left}) == len(rows) - sum(not r.keep for r in got.values())
     assert {r.doc_id for r in simhash.near_duplicates(odd).collect()} == {1, 6} and simhash.near_duplicates(none).count() == 0
+    clash = frame(spark, rows[:4] + [(950, rows[0][1])]).selectExpr("*", "doc_id AS gone", "doc_id AS Gone_", "1 AS gone_id", "2 AS hi", "3 AS rep")
+    assert simhash.drop_near_duplicates(clash).columns == clash.columns and 950 not in {r.doc_id for r in simhash.drop_near_duplicates(clash).collect()}
+    assert simhash.drop_near_duplicates(none).count() == 0
 
 
 def test_trie_join_finds_all_pairs_of_a_bucket():
@@ -321,11 +372,44 @@ def test_trie_join_finds_all_pairs_of_a_bucket():
     key, code = (hi >> np.uint64(52)).astype(np.int64), hi
     order = np.lexsort((code, key))
     key, code, hi, lo = key[order], code[order], hi[order], lo[order]
-    found = {(min(a, b), max(a, b)) for i, j in simhash.trie_pairs(key, code, hi, lo) for a, b in zip(i.tolist(), j.tolist())}
+    found = {(min(a, b), max(a, b)) for i, j in simhash.trie_pairs(key, code, hi, lo, 12) for a, b in zip(i.tolist(), j.tolist())}
     want = {(a, b) for a in range(300) for b in range(a + 1, 300) if key[a] == key[b] and int(hi[a] ^ hi[b]).bit_count() + int(lo[a] ^ lo[b]).bit_count() <= simhash.MAX_DISTANCE}
     assert found == want and want
 
 
+def far_pairs(rng, n, distance, kept=0):
+    """n pairs of fingerprints that differ in so many bits, none of them among the first kept ones."""
+    bits = rng.integers(0, 2, (n, 128), dtype=np.uint8)
+    other = bits.copy()
+    for row in other:
+        row[kept + rng.permutation(128 - kept)[:distance]] ^= 1
+    return [np.packbits(b, axis=1).view(">u8").astype(np.uint64) for b in (bits, other)]
+
+
+@pytest.mark.parametrize("distinct", [1000, 10**8])
+def test_simhash_tables_reach_the_stated_recall(distinct):
+    exact = simhash.exact_bits(distinct)
+    a, b = far_pairs(np.random.default_rng(4), 3000, simhash.MAX_DISTANCE)
+    met = np.zeros(3000, bool)
+    for order in simhash.orders(simhash.tables(exact)):
+        met |= simhash.codes(*a.T, order) >> np.uint64(64 - exact) == simhash.codes(*b.T, order) >> np.uint64(64 - exact)
+    assert met.mean() >= simhash.RECALL - 0.015
+
+
+@pytest.mark.parametrize("size", [40, 2000, 100_000])
+def test_a_bucket_of_any_size_loses_no_pair(size):
+    rng = np.random.default_rng(6)
+    a, b = far_pairs(rng, min(size, 400) // 2, simhash.MAX_DISTANCE, 12)
+    rest = rng.integers(0, 1 << 63, (size - 2 * len(a), 2), dtype=np.uint64)
+    prints = np.concatenate([a, b, rest])
+    own = np.arange(len(prints))
+    prints[:, 0] &= np.uint64((1 << 52) - 1)  # all in one bucket
+    order = np.argsort(prints[:, 0], kind="stable")
+    hi, lo = prints[order].T.copy()
+    found = {tuple(sorted((own[order[x]], own[order[y]]))) for i, j in simhash.trie_pairs(np.zeros(size, np.int64), hi, hi, lo, 12) for x, y in zip(i.tolist(), j.tolist())}
+    assert {(k, k + len(a)) for k in range(len(a))} <= found
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(30)] + [(50, 60), (60, 70), (45, 70), (80, 80)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -355,6 +439,38 @@ def test_guesses_are_least_over_segmentations():
     cost = lambda v: secrets.guesses(v, ranked, longest)
     assert cost("password") < 2 and cost("P@ssword1") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 5 and cost("2019-03-04") < 5
     assert cost("9f8aQz71kLm3Xw0") > secrets.THRESHOLD and cost("z" * 100_000) < 10
+    for size in (30, 40, 300):
+        unit = "".join(rng.choices("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ", k=size))
+        assert cost(unit * 2) == pytest.approx(cost(unit) + np.log10(2)), "a unit of any size"
+
+
+def test_parts_are_those_of_plain_loops():
+    """Words, dates, repeats, sequences and keyboard walks, each found by looking at every stretch."""
+    rng = random.Random(31)
+    ranked = {"pass": 3, "word": 9, "password": 1, "secret": 2, "apple": 70}
+    rows = ["1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
+    at = {c: (r, k + (r > 0)) for r, row in enumerate(rows) for k, c in enumerate(row)} | {"`": (0, -1)}
+    at = {c: (r, k + 1 if r == 0 else k) for c, (r, k) in at.items()}
+    near = lambda a, b: a in at and b in at and (at[b][0] - at[a][0], at[b][1] - at[a][1]) in {(0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)}
+    leet = str.maketrans("4@8310!$57", "aabeloisst")
+    for _ in range(200):
+        value = "".join(rng.choice(["pass", "Word", "p4ss", "2019", "-03-", "04", "aaa", "qwe", "asd", "x7", "K", "bcd", "321", "secret", "zxcv"]) for _ in range(rng.randrange(1, 6)))
+        n, low = len(value), value.lower()
+        stretches = [(i, j) for i in range(n) for j in range(i + 1, n + 1)]
+        found = {(i, j) for i, j, _ in secrets.parts(value, ranked, 8)}
+        own = {(i, j) for i, j in stretches if j - i >= 3 and (low[i:j] in ranked or low[i:j].translate(leet) in ranked)}
+        assert own <= found, value
+        steps = [ord(b) - ord(a) for a, b in zip(value, value[1:])]
+        runs = {(i, j) for i, j in stretches if j - i >= 3 and value[i:j].isalnum() and len(set(steps[i : j - 1])) == 1 and steps[i] in (1, -1)}
+        assert {(i, j) for i, j in runs if not any((a <= i and j <= b) and (a, b) != (i, j) for a, b in runs)} <= found, value
+        moves = [near(a, b) for a, b in zip(low, low[1:])]
+        long = {(i, j) for i, j in stretches if j - i >= 4 and all(moves[i : j - 1])}
+        assert {(i, j) for i, j in long if not any((a <= i and j <= b) and (a, b) != (i, j) for a, b in long)} <= found, value
+        repeated = {(i, j) for i, j in stretches for size in range(1, (j - i) // 2 + 1) if (j - i) % size == 0 and j - i >= 3 and value[i:j] == value[i : i + size] * ((j - i) // size)}
+        got = secrets.repeats(value)
+        assert {(a, b) for a, b, _ in got} <= repeated and all(any(a <= i and j < b + size for a, b, size in got) for i, j in repeated), value
+        dates = {(i, j) for i, j in stretches if re.fullmatch(r"(19|20)\d\d(-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01]))?", value[i:j])}
+        assert {i for i, _ in dates} <= {i for i, _ in found}, value
 
 
 def test_secret_scan(spark, odd, none):
@@ -378,18 +494,38 @@ def test_camel_case_names_are_scanned(spark):
 
 
 def test_url_filter(spark):
-    rows = urls.labelled()
-    name = lambda u: urls.parts(u)[0].split(".")[-3]
-    hosts = sorted({name(u) for u, _ in rows})
-    held = set(random.Random(0).sample(hosts, len(hosts) // 5))
-    weights, bias = urls.fit([r for r in rows if name(r[0]) not in held])
-    test = [r for r in rows if name(r[0]) in held]
-    right = (urls.predict([u for u, _ in test], weights, bias) >= 0.5) == np.array([y for _, y in test])
-    assert right.mean() > 0.78, "on hosts never seen"
-    odd = [(1, None), (2, ""), (3, "http://cheap-pills.example.com/en/1"), (3, "http://cheap-pills.example.com/en/1"), (4, "http://[bad"), (5, "https://museum-guide.example.org/about"), (6, "http://x.example.com/" + "a" * 100_000)]
+    rows, right = urls.labelled(), []
+    hosts = sorted(urls._UNWANTED_HOSTS + urls._WANTED_HOSTS)
+    for seed in range(3):
+        held = set(random.Random(seed).sample(hosts, len(hosts) // 5))
+        unseen = lambda u, held=held: any(f"{h}." in urls.parts(u)[0] for h in held)
+        weights, bias = urls.fit([r for r in rows if not unseen(r[0])])
+        test = [r for r in rows if unseen(r[0])]
+        right += ((urls.predict([u for u, _ in test], weights, bias) >= 0.5) == np.array([y for _, y in test])).tolist()
+    assert np.mean(right) > 0.8, "on hosts never seen"
+    odd = [(1, None), (2, ""), (3, "http://lucky-bets.example.com/claim"), (3, "http://lucky-bets.example.com/claim"), (4, "http://[bad"), (5, "https://village-library.example.org/about"), (6, "http://x.example.com/" + "a" * 100_000)]
     got = urls.filter_urls(spark.createDataFrame(odd, "page_id long, url string").selectExpr("*", "1 AS url_score")).collect()
     assert len(got) == len(odd) and got[0].url_blocked is None and got[2].url_blocked and got[3].url_blocked and not got[5].url_blocked
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    # scores by plain loops over the n-grams
+    weights, bias = urls.fitted()
+    bucket = {}
+    for page, score in [(r.url, r.url_score) for r in got if r.url is not None] + list(zip([u for u, _ in rows[:50]], urls.predict([u for u, _ in rows[:50]], weights, bias))):
+        host, path = urls.parts(page)
+        grams = [(kind, t[i : i + n]) for n in urls.LENGTHS for kind, t in (("host", f"^{host}$" if host else ""), ("path", f"{path}$" if path.strip("/") else "")) for i in range(len(t) - n + 1)]
+        _, own = urls.features([page])
+        assert len(own) == len(grams)
+        for gram, b in zip(sorted(grams, key=lambda g: len(g[1])), own.tolist()):
+            assert bucket.setdefault(gram, b) == b, "an n-gram has one bucket"
+        assert score == pytest.approx(1 / (1 + np.exp(-(sum(weights[bucket[g]] for g in grams) / np.sqrt(max(1, len(grams))) + bias))))
+
+
+def test_no_url_of_the_given_pages_was_learned(spark):
+    pages = [r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r.url]
+    learned = urls.labelled()
+    assert not {urls.parts(u) for u in pages} & {urls.parts(u) for u, _ in learned}
+    names = {h for u in pages for h in urls.parts(u)[0].split(".")} - {"", "www", "com", "net", "org", "edu", "example"}
+    assert not names & {h for u, _ in learned for h in urls.parts(u)[0].split(".")}
 
 
 # 9
@@ -444,6 +580,75 @@ def test_gradients_are_right():
         assert grads[k][at] == pytest.approx((up - down) / (2 * step), rel=0.05), k
 
 
+def plain_logit(texts, weights):
+    """The highest window of each text by plain loops over words, bytes and places."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, out = toxicity.HIDDEN, []
+    for text in texts:
+        raw = (text or "").encode()
+        found = [m.span() for m in re.finditer(rb"[A-Za-z0-9\x80-\xff]+", raw)]
+        xs = []
+        for a, b in found:
+            data, one = np.frombuffer(raw[a:b], np.uint8), raw[a:b].lower()
+            bucket = int(common.span_hashes(data, np.array([0]), np.array([b - a]), fold=True)[0] % toxicity.HASHED)
+            seen = [[one[p + k] if 0 <= p + k < len(one) else 256 for k in range(-toxicity.REACH, toxicity.REACH + 1)] for p in range(len(one))]
+            xs.append(np.concatenate([weights["word"][bucket], np.tanh(np.max([sum(weights["char"][k][c] for k, c in enumerate(row)) for row in seen], axis=0))]))
+        best = -np.inf
+        for start in range(0, max(1, len(xs) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if xs else ():
+            window = xs[start : start + toxicity.WINDOW]
+            states = []
+            for way in (0, 1):
+                state, own = np.zeros(h), []
+                for x in window if way == 0 else window[::-1]:
+                    g, u = x @ weights["w"][way] + weights["b"][way][0], state @ weights["u"][way]
+                    z, r = sigmoid(g[:h] + u[:h]), sigmoid(g[h : 2 * h] + u[h : 2 * h])
+                    state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :])
+                    own.append(state)
+                states.append(own if way == 0 else own[::-1])
+            both = [np.concatenate(pair) for pair in zip(*states)]
+            attention = np.exp([np.tanh(s @ weights["a"]) @ weights["v"] for s in both])
+            best = max(best, float(sum(w * s for w, s in zip(attention / attention.sum(), both)) @ weights["o"] + weights["c"][0]))
+        out.append(best)
+    return np.array(out)
+
+
+def test_toxicity_equals_plain_loops():
+    rng = random.Random(21)
+    weights = toxicity.new_weights(3)
+    texts = [" ".join(words(rng, n)) for n in (1, 2, 31, 63, 64, 65, 96, 97, 130, 200)] + ["É cole, Ñandú!", "", "--", None, "A" * 300]
+    assert np.allclose(toxicity.Scorer(weights)(pa.array(texts, pa.string())), plain_logit(texts, weights), atol=1e-4)
+
+
+def test_toxic_passages_count_in_long_texts(spark):
+    rng = random.Random(22)
+    texts, labels = toxic_texts(rng, 300)
+    texts += [" ".join(words(rng, 3000, 500)) for _ in range(30)]
+    weights, threshold = toxicity.fit(texts, np.array(labels + [0] * 30, float))
+    toxic = next(t for t, y in zip(texts, labels) if y)
+    long = [" ".join(words(rng, 3000, 500)) for _ in range(10)]
+    scores = toxicity.Scorer(weights)(pa.array([t[:9000] + " " + toxic + " " + t[9000:] for t in long] + long))
+    assert (scores[:10] >= threshold).mean() >= 0.9 and (scores[10:] >= threshold).mean() <= 0.1
+
+
+def test_training_texts_are_bounded_by_number(spark):
+    docs = frame(spark, [(i % 50, f"text {i} " + "long " * (i * 100)) for i in range(100)] + [(60, None), (61, "")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(3, 1)], "doc_id long, toxic int")
+    texts, toxic = toxicity.training_texts(docs, labels)
+    assert len(texts) == 50 and max(map(len, texts)) > 20_000 and toxic.sum() == 25
+    assert len(toxicity.training_texts(docs, labels, 7)[0]) <= 7 and len(toxicity.training_texts(docs, labels, 62, 30_000)[0]) < 50
+
+
+def test_toxic_documents_go_and_all_columns_stay(spark, tmp_path, none):
+    texts, labels = toxic_texts(random.Random(23), 120)
+    spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, list(enumerate(texts)) + [(500, None), (501, ""), (None, texts[1])]).selectExpr("*", "doc_id AS toxicity", "false AS Is_Toxic", "1 AS `a.b`")
+    left = toxicity.drop_toxic(spark, docs, str(tmp_path))
+    rows = left.collect()
+    assert left.columns == docs.columns and all(r.toxicity == r.doc_id and not r.Is_Toxic for r in rows)
+    assert {500, 501, None} <= {r.doc_id for r in rows} and 60 < len(rows) < 123
+    assert toxicity.drop_toxic(spark, none, str(tmp_path)).count() == 0
+
+
 # 10
 
 
