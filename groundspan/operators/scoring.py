@@ -91,7 +91,8 @@ def attributions(gold: DataFrame, found: DataFrame, mode: str = "overlap", min_i
         F.bool_or("hit").alias("hit"), F.bool_or(F.col("hit") & F.col("kept")).alias("kept"), F.min(F.when(F.col("near"), F.col("seq"))).alias("near"), F.array_sort(F.collect_list(F.when(F.col("hit") & ~F.col("kept"), F.col("seq")))).alias("dropped")
     )
     both = gold.where(_is_evidence()).select(*KEY, "gold_index").join(by, [*KEY, "gold_index"], "left")
-    row = lambda stage, kind, seq: F.struct(F.lit(stage).alias("stage"), kind.alias("kind"), seq.cast("long").alias("seq"))
+    of_seq = dict(found.dtypes)["seq"]
+    row = lambda stage, kind, seq: F.struct(F.lit(stage).alias("stage"), kind.alias("kind"), seq.cast(of_seq).alias("seq"))
     missed = F.array(row("candidates", F.when(F.col("near").isNull(), "not_generated").otherwise("span_near_miss"), F.col("near")))
     filtered = F.transform("dropped", lambda x: row("filtered_candidates", F.lit("generated_then_filtered"), x))
     why = F.when(~_yes(F.col("hit")), missed).when(~F.col("kept"), filtered)

@@ -7,7 +7,7 @@ import pytest
 from groundspan import queries as q
 
 FOLDER = Path("/root/testdata/sf0.001")
-NAMES = ("a1_text_view", "c1_regex_native", "c3_slices", "c15_merge", "p6_boolean", "d10_merged_contexts", "d12_packed", "v1_cardinality_negatives", "g7_assign", "g10_compose", "q6_collect_contract", "e1_score_candidates", "e9_funnel", "e13_diff_instances", "sf1_decimals", "extract_objects")
+NAMES = ("a1_text_view", "c1_regex_native", "c3_slices", "c15_merge", "p6_boolean", "d10_merged_contexts", "d12_packed", "v1_cardinality_negatives", "g7_assign", "g10_compose", "q6_collect_contract", "e1_score_candidates", "e9_funnel", "e13_diff_instances", "sf1_decimals", "extract_objects", "e4_matches_contains", "e6_attributions", "e7_aggregates", "v4_layer1", "g5_cooccurrence", "r3_flat_negatives", "q1_request_id", "q2_render_submission", "q7_collect", "q7_problems", "d3_category", "d7_observations", "d26_collect_shards", "p7_drops", "p12_structural", "v11_repair_once", "v12_object_feedback", "c12_candidate_ids", "extract_instance_objects")
 
 
 @pytest.fixture(scope="module")
