@@ -28,6 +28,8 @@ MAX_EDITS = 0.1
 GRAM = 8
 #: The share of copies with the most edits allowed that hashing is to find; samples of each walk, positions in a sample; copies taken for the estimate.
 RECALL, SAMPLES, SAMPLE_SIZE, COPIES, SEED = 0.97, 24, 5, 400, 5
+#: Classes of which so many walks find a smaller share, as those of very long items, go without hashing: every candidate is verified.
+MOST_WALKS = 32
 #: Items whose sizes differ by less than this factor are of one class.
 CLASS = 1.3
 #: Of an item in which a q-gram occurs more often, only each q-gram's first place counts, and the shared ones need not agree in where the item begins.
@@ -146,9 +148,9 @@ def _edited(text: str, edits: int, rng: np.random.Generator) -> bytes:
 
 
 class Items:
-    """A group of items: their q-grams, and the hashes of their walks; count: how many walks there are."""
+    """A group of items: their q-grams, and the hashes of their walks; count: how many walks there are; direct: classes without."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], count: int | None = None):
+    def __init__(self, rows: list[tuple[int, bytes]], count: int | None = None, direct: frozenset[int] = frozenset()):
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.texts = [r[1] for r in rows]
         self.size = np.array([len(t) for t in self.texts], np.int64)
@@ -191,34 +193,45 @@ class Items:
         self.of_class, self.row = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for k, m in enumerate(members):
             self.of_class[m], self.row[m] = k, np.arange(len(m))
-        self.count = self.walks(members) if count is None else count
-        self.classes, self.hashes = [], []
+        self.count, self.direct = self.walks(members) if count is None else (count, direct)
+        self.classes, self.hashes = {}, {}
         for k, m in enumerate(members):
-            self.classes.append(Class(m, int(self.size[m[0]]), k, self.count))
-            self.hashes.append(self.classes[k].hashes(*_rows([self.texts[i] for i in m]), self.size[m]))
+            if k not in self.direct:
+                self.classes[k] = Class(m, int(self.size[m[0]]), k, self.count)
+                self.hashes[k] = self.classes[k].hashes(*_rows([self.texts[i] for i in m]), self.size[m])
 
-    def walks(self, members: list[np.ndarray]) -> int:
-        """How many walks find RECALL of random copies of these items with all edits allowed; the same at any number of documents."""
+    def walks(self, members: list[np.ndarray]) -> tuple[int, frozenset[int]]:
+        """How many walks find RECALL of random copies of these items with all edits allowed, and the classes of which MOST_WALKS don't; the same at any number of documents."""
         rng = np.random.default_rng(SEED)
         which = np.flatnonzero(self.limit > 0)
         if not len(which):
-            return 1
-        which = np.sort(rng.choice(which, COPIES))
-        count = 4
+            return 1, frozenset()
+        which = rng.choice(which, COPIES)
+        few = [rng.choice(own, 20) for k, m in enumerate(members) if len(own := m[self.limit[m] > 0]) and (self.of_class[which] == k).sum() < 20]
+        which = np.sort(np.concatenate([which, *few]))
+        share = lambda n, found: np.concatenate([h[:n].any(0) for h in found]).mean()
+        count, hit, hopeless = 4, {}, set()
         while True:
-            rng, found = np.random.default_rng(SEED), []
-            for k in np.unique(self.of_class[which]):
+            rng = np.random.default_rng(SEED)
+            for k in np.unique(self.of_class[which]).tolist():
+                if k in hopeless:
+                    continue
+                made, found = Class(members[k], int(self.size[members[k][0]]), k, count), []
                 own = which[self.of_class[which] == k]
-                made = Class(members[k], int(self.size[members[k][0]]), int(k), count)
+                own = own[: max(20, (1 << 19) // made.steps)]  # fewer of long ones
                 step = max(1, (1 << 22) // made.steps)
                 for at in range(0, len(own), step):
                     part = own[at : at + step]
                     copies = [_edited(self.texts[i].decode("utf-8", "replace"), int(self.limit[i]), rng) for i in part]
                     found.append((made.hashes(*_rows([self.texts[i] for i in part]), self.size[part]) == made.hashes(*_rows(copies), self.size[part])).any(1))
-            hit = np.concatenate(found, 1)
+                hit[k] = np.concatenate(found, 1)
+                if count > 4 and hit[k].any(0).mean() < 0.5:
+                    hopeless.add(k)
+            direct = frozenset(k for k, h in hit.items() if h.any(0).mean() < RECALL) if count == MOST_WALKS else frozenset(hopeless)
+            rest = [h for k, h in hit.items() if k not in direct]
             for n in range(1, count + 1):
-                if hit[:n].any(0).mean() >= RECALL:
-                    return n
+                if not rest or share(n, rest) >= RECALL:
+                    return n, direct
             count *= 2
 
     def matches(self, texts: list[bytes], starts: dict[str, np.ndarray], chunk: int = 1 << 12) -> dict[tuple[int, int], int]:
@@ -231,6 +244,9 @@ class Items:
         hit = np.zeros(len(text), bool)
         for k in np.unique(self.of_class[item]):
             own = np.flatnonzero(self.of_class[item] == k)
+            if k in self.direct:
+                hit[own] = True
+                continue
             for at in range(0, len(own), chunk):
                 pairs = own[at : at + chunk]
                 found = self.classes[k].hashes(data, begins[number[pairs]] + start[pairs], ends[number[pairs]], self.size[item[pairs]])
@@ -338,7 +354,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = plain(docs).where("text IS NOT NULL")
     found = None
     for group in _groups(benchmark):
-        shared = spark.sparkContext.broadcast((group, Items(group).count))
+        made = Items(group)
+        shared = spark.sparkContext.broadcast((group, made.count, made.direct))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value)
