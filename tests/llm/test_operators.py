@@ -410,6 +410,27 @@ def test_a_bucket_of_any_size_loses_no_pair(size):
     assert {(k, k + len(a)) for k in range(len(a))} <= found
 
 
+def test_simhash_joins_the_pairs_of_many_buckets_at_once(monkeypatch):
+    """A pass over all labels for each block of pairs made the time grow faster than the corpus; buckets of all widths, one of them with many copies."""
+    rng = np.random.default_rng(8)
+    a, b = far_pairs(rng, 1200, 9)
+    close = a[0] ^ (np.uint64(1) << rng.integers(0, 64, (400, 2), dtype=np.uint64))
+    prints = np.concatenate([a, b, close])
+    hi, lo = prints.T.copy()
+    rows = [(np.uint64(k << 6) | simhash.codes(hi, lo, order) >> np.uint64(58)).astype(np.int64) for k, order in enumerate(simhash.orders(4))]
+    key, rep = np.concatenate(rows), np.tile(np.arange(len(prints)), 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[rep].view(np.int64)) for x in (hi, lo)), pa.array(rep)], ["key", "hi", "lo", "rep"])
+    calls, join = [], simhash.local_roots
+    monkeypatch.setattr(simhash, "local_roots", lambda *x: calls.append(len(x[0])) or join(*x))
+    (out,) = simhash._stars(6, 4)(iter([batch]))
+    met = np.any([own[:, None] == own[None] for own in rows], axis=0)
+    i, j = np.nonzero(np.triu(met & (np.bitwise_count(prints[:, None] ^ prints[None]).sum(2) <= simhash.MAX_DISTANCE), 1))
+    root = join(i, j, np.arange(len(prints)))
+    want = {(k, r) for k, r in enumerate(root.tolist()) if k != r}
+    assert set(zip(out.column("u").to_pylist(), out.column("v").to_pylist())) == want and len(want) > 1000
+    assert len(calls) <= 2
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(30)] + [(50, 60), (60, 70), (45, 70), (80, 80)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
