@@ -431,6 +431,58 @@ def test_simhash_joins_the_pairs_of_many_buckets_at_once(monkeypatch):
     assert len(calls) <= 2
 
 
+@pytest.mark.parametrize("distinct", [300_000, 2_800_000, 10**9])
+def test_simhash_parts_of_buckets_reach_the_stated_recall(distinct):
+    exact, inner = simhash.exact_bits(distinct), simhash.inner_bits(distinct)
+    a, b = far_pairs(np.random.default_rng(5), 3000, simhash.MAX_DISTANCE)
+    found = np.zeros(3000, bool)
+    for table, order in enumerate(simhash.orders(simhash.tables(exact, inner=inner))):
+        met = np.flatnonzero(simhash.codes(*a.T, order[:exact]) == simhash.codes(*b.T, order[:exact]))
+        for split in range(simhash.splits(exact, inner)):
+            parts = simhash.split_order(order[:exact], table, split)[:inner]
+            assert not set(parts) & set(order[:exact])
+            found[met] |= simhash.codes(*a[met].T, parts) == simhash.codes(*b[met].T, parts)
+    assert inner and found.mean() >= simhash.RECALL - 0.015
+
+
+def test_simhash_compares_few_of_a_bucket_of_many(monkeypatch):
+    """At 6 GB all pairs of entries of a bucket were compared, and 52 rows of each fingerprint sent."""
+    distinct = 2_800_000
+    exact, inner = simhash.exact_bits(distinct), simhash.inner_bits(distinct)
+    rng = np.random.default_rng(9)
+    a, b = far_pairs(rng, 2000, simhash.MAX_DISTANCE)
+    copies = a[0] ^ (np.uint64(1) << rng.integers(0, 64, (2000, 2), dtype=np.uint64))  # so many that a trie goes down
+    prints = np.concatenate([a, b, copies, rng.integers(0, 1 << 63, (distinct >> exact, 2), dtype=np.uint64) << np.uint64(1)])
+    for bit in simhash.orders(1)[0][:exact].tolist():  # all in one bucket
+        prints[:, bit // 64] &= ~(np.uint64(1) << np.uint64(bit % 64 ^ 7))
+    rep = np.arange(len(prints))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(prints), np.int64)), *(pa.array(x.copy().view(np.int64)) for x in prints.T), pa.array(rep)], ["key", "hi", "lo", "rep"])
+    compared, compare = [], simhash._compare
+    monkeypatch.setattr(simhash, "_compare", lambda a0, a1, b0, b1, *rest: compared.append(int(((a1 - a0) * (b1 - b0)).sum())) or compare(a0, a1, b0, b1, *rest))
+    (out,) = simhash._stars(exact, simhash.tables(exact, inner=inner), inner)(iter([batch]))
+    root = dict(zip(out.column("u").to_pylist(), out.column("v").to_pylist()))
+    assert np.mean([root.get(2000 + k) == root.get(k, k) for k in range(2000)]) >= simhash.SHARE - 0.05
+    assert len({root.get(k, k) for k in range(4000, 6000)}) == 1
+    for k, v in root.items():
+        assert v < k
+    assert sum(compared) < len(prints) ** 2 / 5 and simhash.tables(exact, inner=inner) < 26
+
+
+def test_fingerprints_of_texts_of_any_length():
+    rng = random.Random(3)
+    texts = ["", "one", "one two", *(" ".join(words(rng, n, 40)) for n in (3, 255, 256, 257, 511, 5000, 2, 70_000)), None]
+    where, prints = simhash.fingerprints(*common.text_bytes(pa.array(texts)))
+    assert where.tolist() == [k for k, t in enumerate(texts) if t]
+    for k, got in zip(where, prints):
+        one = simhash.fingerprints(*common.text_bytes(pa.array([texts[k]])))[1][0]
+        assert (one == got).all()
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
+    count = np.array([1, 254, 255, 256, 2, 510, 511, 1211])
+    first = np.cumsum(count) - count
+    bits = np.unpackbits(hashes.view(np.uint8), axis=1)
+    assert (simhash.bit_sums(hashes, first, count) == [bits[f : f + n].sum(0) for f, n in zip(first, count)]).all()
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(30)] + [(50, 60), (60, 70), (45, 70), (80, 80)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
