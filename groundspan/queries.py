@@ -62,7 +62,17 @@ LINES = """SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_s
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(LINES, lineitem=found) if name == "lineitem" else found
+    return spark.sql(LINES, lineitem=_by_order(found)) if name == "lineitem" else found
+
+
+#: Bytes of a table's files for each partition of its rows.
+PART_BYTES = 2 << 20
+
+
+def _by_order(lines: DataFrame) -> DataFrame:
+    """lines spread by order alone, so that joins by order, the document, needn't move them again; in partitions by the files' size, so that a task's memory doesn't grow with the table."""
+    size = int(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return lines.repartition(max(lines.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), "l_orderkey")
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -430,3 +430,35 @@ def test_instances_have_their_own_fields_and_spans(spark):
         assert text.encode()[r.byte_start : r.byte_end].decode() == r.raw_value
     assert {(r.doc_id, r.outcome, r.instances) for r in run.outcomes.collect()} == {(1, "partial", 3), (2, "failed", 0)}
     assert ("vendor", 2) in {(r.field_id, r.ordinal) for r in run.negatives.collect()}
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["g5_cooccurrence", "g7_assign", "g9_cardinality_policy", "g10_compose", "g11_signals", "g12_discriminators", "r3_flat_evidence", "r3_flat_negatives"])
+def test_assignment_moves_each_relation_once(spark, no_broadcast, name):
+    """Fields, keys and candidates are each sent over the network once, by document, and what is found of a field is found once."""
+    plan = q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("Exchange") == 3
+
+
+def test_nearest_with_odd_keys_and_spans(spark):
+    """Several candidates of one field, ties, keys without an ordinal, fields without candidates, without ids and without keys."""
+    fields = spark.createDataFrame(
+        [(1, "a", 0, ["x", "y"], 0, 5, "g", True), (1, "a", 1, ["z"], 0, 0, "h", True), (1, "a", 2, None, 40, 45, None, False), (2, "a", 0, ["x"], 0, 5, "g", True)],
+        "doc_id long, field_id string, seq int, candidate_ids array<string>, byte_start int, byte_end int, tentative_key string, boundary_defining boolean",
+    )
+    keys = spark.createDataFrame([(1, 0, "g", 10, 12), (1, 1, "g", 30, 32), (1, 2, "h", 50, 52), (1, None, "g", 0, 90)], "doc_id long, ordinal int, group_id string, anchor_start int, anchor_end int")
+    candidates = spark.createDataFrame([(1, "a", "x", 5, 9), (1, "a", "y", 33, 34), (1, "a", "y", 44, 49), (1, "b", "z", 10, 11), (2, "a", "x", 5, 9)], "doc_id long, field_id string, candidate_id string, byte_start int, byte_end int")
+    got = {(r.doc_id, r.seq): (r.decisive, r.bucket, r.buckets) for r in ins.by_cooccurrence(fields, keys, candidates).collect()}
+    assert got == {(1, 0): (False, 0, 3)}  # all three are one byte away
+    own = {(r.doc_id, r.seq): (r.decisive, r.bucket, r.buckets) for r in ins.by_cooccurrence(fields, keys).collect()}
+    assert own == {(1, 0): (True, 0, 1), (1, 1): (True, 0, 1), (1, 2): (True, 2, 1)}
+    out = {(r.doc_id, r.seq): (r.bucket, r.authority, r.ambiguous_on, r.target) for r in ins.assign(fields, keys, candidates=candidates).collect()}
+    assert out == {(1, 0): (None, None, "cooccurrence", 0), (1, 1): (2, "boundary", None, None), (1, 2): (None, None, None, 0), (2, 0): (None, None, None, 0)}
