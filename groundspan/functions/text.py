@@ -96,16 +96,24 @@ _NUMBER = "".join(
         r"(?:\s*(", "|".join(w for words in reversed(_MAGNITUDES.values()) for w in sorted(words, key=len, reverse=True)), r"))?(?![\w.])",
     )
 )
+#: The same of a match alone.
+_WHOLE_NUMBER = _NUMBER.replace(r"(?<![\w.])", r"\A").replace(r"(?![\w.])", r"\z")
 
 
 def decimal_value(text: Column) -> Column:
     """The one number in a text, with currency, groups, per cent (not scaled) or magnitude; null if there is none, or several, or one with both."""
-    found = F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0))
-    only = lambda g: F.regexp_extract(text, _NUMBER, g)
-    factor = reduce(lambda acc, e: F.when(F.lower(only(4)).isin(*e[1]), F.lit(10 ** e[0])).otherwise(acc), _MAGNITUDES.items(), F.lit(1))
-    number = F.concat(only(1), F.replace(only(2), F.lit(","), F.lit(""))).try_cast("decimal(24,10)")
+    # the text is searched once; the one match then splits, to its end, as it did when found
+    found = F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda m: F.split(F.regexp_replace(m, _WHOLE_NUMBER, "$1$2\n$3\n$4"), "\n", -1))
+    return F.get(F.transform(F.when(F.size(found) == 1, found), _decimal), F.lit(0))
+
+
+def _decimal(parts: Column) -> Column:
+    """The value of a match: number, per cent sign, magnitude."""
+    word = F.lower(parts[2])
+    factor = reduce(lambda acc, e: F.when(word.isin(*e[1]), F.lit(10 ** e[0])).otherwise(acc), _MAGNITUDES.items(), F.lit(1))
+    number = F.replace(parts[0], F.lit(","), F.lit("")).try_cast("decimal(24,10)")
     value = (number * factor.cast("decimal(13,0)")).cast("decimal(38,10)")
-    return F.when((F.size(found) == 1) & ~((only(3) == "%") & (only(4) != "")), value)
+    return F.when(~((parts[1] == "%") & (parts[2] != "")), value)
 
 
 def decimal_hint(value: Column) -> Column:

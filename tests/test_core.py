@@ -462,3 +462,11 @@ def test_nearest_with_odd_keys_and_spans(spark):
     assert own == {(1, 0): (True, 0, 1), (1, 1): (True, 0, 1), (1, 2): (True, 2, 1)}
     out = {(r.doc_id, r.seq): (r.bucket, r.authority, r.ambiguous_on, r.target) for r in ins.assign(fields, keys, candidates=candidates).collect()}
     assert out == {(1, 0): (None, None, "cooccurrence", 0), (1, 1): (2, "boundary", None, None), (1, 2): (None, None, None, 0), (2, 0): (None, None, None, 0)}
+
+
+def test_a_number_is_searched_for_once(spark):
+    """Whatever the text, a search and a split; values as before: signs, groups, per cent, magnitudes, letters that fold."""
+    texts = ["$1,234.50", "-$3", "US$2.5M", "5%", "5% million", "1 and 2", "none", "about 7 BN net", "x5", "5.", "3 mm", "٥", "4 K", "€10 thousand", "12k%", "6\n%", None, "9 million.", "1,23"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.decimal_value(F.col("t")).cast("double").alias("v"))
+    assert [r.v for r in df.collect()] == [1234.5, -3.0, 2.5e6, 5.0, None, None, None, 7e9, None, None, 3e6, 5.0, 4000.0, 10000.0, 12000.0, 6.0, None, 9.0, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_") == 2
