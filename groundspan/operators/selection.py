@@ -120,9 +120,12 @@ def document_windows(docs: DataFrame, budget: int, overlap: int = 1000, text: st
 
 
 def reduce_union(answers: DataFrame, candidates: DataFrame) -> DataFrame:
-    """MANY: the ids that any window selected, in candidate order."""
-    ids = answers.select(*SET, F.explode("selected_candidate_ids").alias("candidate_id")).distinct()
-    return candidates.join(ids, [*SET, "candidate_id"]).groupBy(*SET).agg(_ids().alias("selected_candidate_ids"))
+    """MANY: the ids that any window selected, each once, in candidate order. Answers and candidates meet in one aggregate by set."""
+    picked = answers.select(*SET, F.explode("selected_candidate_ids").alias("candidate_id"), F.lit(None).cast(candidates.schema["seq"].dataType).alias("seq"), F.lit(True).alias("picked"))
+    both = candidates.select(*SET, "candidate_id", "seq", F.lit(False).alias("picked")).unionByName(picked).where("candidate_id IS NOT NULL")
+    of = both.groupBy(*SET).agg(F.array_sort(F.collect_list(F.when(~F.col("picked"), F.struct("seq", "candidate_id")))).alias("all"), F.collect_set(F.when(F.col("picked"), F.col("candidate_id"))).alias("picked"))
+    ids = F.array_intersect(F.transform("all", lambda x: x["candidate_id"]), "picked")
+    return of.where(F.size("picked") > 0).select(*SET, ids.alias("selected_candidate_ids")).where(F.size("selected_candidate_ids") > 0)
 
 
 def reduce_priority(answers: DataFrame, priority: list[str]) -> DataFrame:

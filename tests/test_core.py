@@ -470,3 +470,11 @@ def test_a_number_is_searched_for_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.decimal_value(F.col("t")).cast("double").alias("v"))
     assert [r.v for r in df.collect()] == [1234.5, -3.0, 2.5e6, 5.0, None, None, None, 7e9, None, None, 3e6, 5.0, 4000.0, 10000.0, 12000.0, 6.0, None, 9.0, None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_") == 2
+
+
+def test_union_of_windows_in_one_aggregate(spark):
+    c = spark.createDataFrame([(1, "f", 2, "b"), (1, "f", 0, "z"), (1, "f", 1, "a"), (2, "f", 0, "b"), (3, "f", 0, None)], "doc_id long, field_id string, seq int, candidate_id string")
+    answers = spark.createDataFrame([(1, "f", ["b", "z"]), (1, "f", ["z", "gone"]), (2, "f", []), (3, "f", [None]), (4, "f", ["b"])], "doc_id long, field_id string, selected_candidate_ids array<string>")
+    out = sel.reduce_union(answers, c)
+    assert [tuple(r) for r in out.collect()] == [(1, "f", ["z", "b"])]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
