@@ -68,16 +68,21 @@ def regex_general(docs: DataFrame, params: RegexParams, text: str = "text") -> D
     """The same relation as regex_native for any bytes pattern and group, by Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        names = ["doc_id", "seq", "text", "byte_start", "byte_end", "entity_type"]
+        whole = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
         for batch in batches:
-            rows = [
-                (d, k, found.decode("utf-8", "replace"), a, b, params.entity_type)
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                if t is not None
-                for k, (found, a, b) in enumerate(params.matches(t.encode("utf-8")))
-            ]
+            rows = []
+            for d, t in zip(*batch.columns[:2]):  # one text at a time is a Python string
+                if not t.is_valid:
+                    continue
+                for k, (found, a, b) in enumerate(params.matches(t.as_py().encode("utf-8"))):
+                    rows.append((d.as_py(), k, found.decode("utf-8", "replace"), a, b, params.entity_type))
+                    if len(rows) == 10_000:
+                        yield whole(rows)
+                        rows = []
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "seq", "text", "byte_start", "byte_end", "entity_type"])
+                yield whole(rows)
 
     schema = "doc_id long, seq int, text string, byte_start int, byte_end int, entity_type string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

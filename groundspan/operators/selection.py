@@ -38,10 +38,13 @@ def presplit(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     return routed.select(*SET, F.when(F.col("auto").isNotNull(), "auto").when(F.col("some").isNull(), "empty").otherwise("soft").alias("route"))
 
 
+def _rules(rules: list[tuple[str, str, str]], text: str) -> list[Column]:
+    return [F.struct(F.lit(a).alias("literal"), F.lit(p).alias("polarity"), F.regexp_count(F.col(text), F.lit(r)).alias("n")) for a, r, p in rules]
+
+
 def category_signals(docs: DataFrame, rules: list[tuple[str, str, str]], text: str = "text") -> DataFrame:
     """(doc_id, literal, polarity, n) for rules (literal, pattern, positive | negative | ambiguous) that match."""
-    rule = [F.struct(F.lit(a).alias("literal"), F.lit(p).alias("polarity"), F.regexp_count(F.col(text), F.lit(r)).alias("n")) for a, r, p in rules]
-    each = docs.select("doc_id", F.explode(F.array(*rule)).alias("r"))
+    each = docs.select("doc_id", F.explode(F.array(*_rules(rules, text))).alias("r"))
     return each.select("doc_id", "r.literal", "r.polarity", "r.n").where("n > 0")
 
 
@@ -52,9 +55,11 @@ def category(docs: DataFrame, literals: list[str], rules: list[tuple[str, str, s
     """
     if uncertain is not None and uncertain not in literals or {rule[0] for rule in rules} - set(literals):
         raise ValueError("rules and the uncertain literal have to name literals of the field")
-    says = category_signals(docs, rules, text).groupBy("doc_id").agg(*(F.collect_set(F.when(F.col("polarity") == p, F.col("literal"))).alias(p) for p in ("positive", "negative", "ambiguous")))
+    rule = F.filter(F.array(*_rules(rules, text)), lambda r: r["n"] > 0)
+    says = docs.select("doc_id", rule.alias("rule"))
+    named = lambda p: F.array_distinct(F.transform(F.filter("rule", lambda r: r["polarity"] == p), lambda r: r["literal"]))
+    left = says.select("doc_id", *(named(p).alias(p) for p in ("positive", "negative", "ambiguous")))
     none = F.array().cast("array<string>")
-    left = docs.select("doc_id").join(says, "doc_id", "left")
     of = lambda p: F.coalesce(F.col(p), none)
     arms = F.array(*map(F.lit, literals))
     chosen = F.filter(arms, lambda x: F.array_contains(F.array_except(of("positive"), of("negative")), x))

@@ -8,13 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_to_char, slice_bytes
+from ..functions.text import byte_to_char, raw
 from ..operators import candidates, filters, instances, selection, validation
 from .spec import FieldSpec, Spec
 
 CANDIDATE = ["doc_id", "field_id", "seq", "candidate_id", "text", "byte_start", "byte_end", "entity_type", "normalized_hint"]
 
 
+PROPOSED = ["doc_id", "field_id", "position", "candidate_id", "raw_value", "byte_start", "byte_end"]
+
+
 @dataclass
 class Extraction:
     """Relations of a run; evidence(doc_id, field_id, position, candidate_id, raw_value, byte_start, byte_end, normalized_value)."""
@@ -38,22 +41,31 @@ def field_candidates(docs: DataFrame, spec: FieldSpec) -> DataFrame:
     return out.select(*CANDIDATE)
 
 
+def _chosen(found: DataFrame, names: DataFrame) -> DataFrame:
+    """What the singleton rule proposes, as validation.proposed would say from the observations: all candidates of sets that take many, else the only one; patterns run over the texts once."""
+    own = found.groupBy("doc_id", "field_id").agg(F.array_sort(F.collect_list(F.struct("seq", "candidate_id", F.col("text").alias("raw_value"), "byte_start", "byte_end"))).alias("all"))
+    taken = own.join(F.broadcast(names.select("field_id", "cardinality")), "field_id").where((F.col("cardinality") == "MANY") | (F.size("all") == 1))
+    return taken.select("doc_id", "field_id", F.posexplode("all").alias("position", "c")).select("doc_id", "field_id", "position", "c.*").select(*PROPOSED)
+
+
 def extract(docs: DataFrame, spec: Spec) -> Extraction:
     """docs(doc_id, text), doc_id unique. Fields with literals are decided by their rules, others by the singleton rule."""
     texts = [f for f in spec.fields if not f.literals]
     found = reduce(DataFrame.unionByName, [field_candidates(docs, f) for f in texts]) if texts else None
     spark = docs.sparkSession
     names = spark.createDataFrame([(f.field_id, f.cardinality, f.value_type, f.ordinal) for f in spec.fields], "field_id string, cardinality string, kind string, ordinal int")
-    parts = []
+    parts, proposed = [], []
     if texts:
         asked = docs.select("doc_id", F.explode(F.array(*(F.lit(f.field_id) for f in texts))).alias("field_id"))
         chosen = selection.singleton(asked, found).join(F.broadcast(names.select("field_id", "cardinality")), "field_id")
         many = (F.col("cardinality") == "MANY") & (F.col("outcome") == "AMBIGUOUS")
         parts.append(chosen.withColumns({"outcome": F.when(many, "SELECTED").otherwise(F.col("outcome")), "reason": F.when(~many, F.col("reason"))}).drop("cardinality"))
+        proposed.append(_chosen(found, names))
     for f in spec.fields:
         if f.literals:
             arms = candidates.literal_set(docs, list(f.literals)).withColumns({"field_id": F.lit(f.field_id), "entity_type": F.lit("CATEGORY"), "normalized_hint": F.col("text")})
-            arms = candidates.with_ids(arms, f"literal_set:{','.join(f.literals)}", "text").select(*CANDIDATE)
+            strategy = f"literal_set:{','.join(f.literals)}"
+            arms = candidates.with_ids(arms, strategy, "text").select(*CANDIDATE)
             found = arms if found is None else found.unionByName(arms)
             if len(f.literals) == 1:
                 says = docs.select("doc_id", F.lit("SELECTED").alias("outcome"), F.array(F.lit(f.literals[0])).alias("literals"), F.lit(None).cast("string").alias("reason"))
@@ -62,9 +74,10 @@ def extract(docs: DataFrame, spec: Spec) -> Extraction:
             ids = arms.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("text", "candidate_id"))).alias("ids"))
             picked = says.join(ids, "doc_id").withColumn("selected_candidate_ids", F.transform("literals", lambda x: F.col("ids")[x]))
             parts.append(picked.select("doc_id", F.lit(f.field_id).alias("field_id"), "outcome", "selected_candidate_ids", "reason"))
+            taken = says.where("outcome = 'SELECTED'").select("doc_id", F.lit(f.field_id).alias("field_id"), F.posexplode("literals").alias("position", "raw_value"), F.lit(0).alias("byte_start"), F.lit(0).alias("byte_end"))
+            proposed.append(candidates.with_ids(taken, strategy, "raw_value").select(*PROPOSED))
     observations = reduce(DataFrame.unionByName, parts)
-    proposed = validation.proposed(observations, found, names)
-    checked = validation.layer2(proposed.join(F.broadcast(names.select("field_id", "kind")), "field_id"))
+    checked = validation.layer2(reduce(DataFrame.unionByName, proposed).join(F.broadcast(names.select("field_id", "kind")), "field_id"))
     evidence = checked.where("code IS NULL").drop("code", "kind")
     negatives = validation.cardinality_negatives(observations, names).unionByName(validation.failures(checked))
     if spec.rules:
@@ -87,7 +100,10 @@ def extract_instances(docs: DataFrame, spec: Spec, keys: DataFrame) -> Extractio
     document; outcomes has one row for each document: failed without instances, complete if all are. Within the run an instance goes by a 64-bit hash of its document and ordinal.
     """
     of = keys.select("doc_id", "ordinal", "anchor_start", "anchor_end").withColumn("instance", F.xxhash64("doc_id", "ordinal"))
-    each = docs.select("doc_id", "text").join(of, "doc_id").select(F.col("instance").alias("doc_id"), slice_bytes(F.col("text"), F.col("anchor_start"), F.col("anchor_end")).alias("text"))
+    # keys come as one row for each document: its text is sent and made bytes once, not for each of its instances
+    places = of.groupBy("doc_id").agg(F.collect_list(F.struct("instance", "anchor_start", "anchor_end")).alias("places"))
+    whole = docs.select("doc_id", raw(F.col("text")).alias("bytes")).join(places, "doc_id").select("bytes", F.explode("places").alias("p"))
+    each = whole.select(F.col("p.instance").alias("doc_id"), F.decode(F.substring("bytes", F.col("p.anchor_start").cast("int") + 1, (F.col("p.anchor_end") - F.col("p.anchor_start")).cast("int")), "UTF-8").alias("text"))
     run = extract(each, spec)
     back = of.select("instance", F.col("doc_id").alias("own_id"), "ordinal", "anchor_start")
 

@@ -758,10 +758,10 @@ _LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, ge
 
 
 def _line_keys(spark, sf):
-    each = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
-    before = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(before, F.lit(0))
-    return each.select("doc_id", "ordinal", start.alias("anchor_start"), (start + F.octet_length("line")).alias("anchor_end"), "line").where("line <> ''").drop("line")
+    # lengths alone are sent by document, not the lines
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), F.octet_length)).alias("ordinal", "n"))
+    start = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.select("doc_id", "ordinal", start.alias("anchor_start"), (start + F.col("n")).alias("anchor_end"), "n").where("n > 0").drop("n")
 
 
 @_query(f"""{_LINES}{_NOTICE.replace('x AS (SELECT doc_id,', "x AS (SELECT doc_id, ordinal,").replace('text', 'line').replace('FROM documents', "FROM l WHERE line <> ''")}, y AS (SELECT doc_id, ordinal, CASE WHEN len(m) = 1 THEN m[1] END AS mail, array_to_string(list_transform(list_filter(n, lambda v: try_cast(v AS BIGINT) IS NOT NULL), lambda v: v::BIGINT::VARCHAR), ',') AS numbers, CASE WHEN len(t) = 1 THEN t[1] END AS secret, CASE WHEN legal AND NOT about THEN 'legal' WHEN about AND NOT legal THEN 'mail' END AS topic FROM x)

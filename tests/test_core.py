@@ -478,3 +478,30 @@ def test_union_of_windows_in_one_aggregate(spark):
     out = sel.reduce_union(answers, c)
     assert [tuple(r) for r in out.collect()] == [(1, "f", ["z", "b"])]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["extract_objects", "extract_instance_objects"])
+def test_evidence_runs_patterns_once(spark, name):
+    plan = q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("posexplode(aggregate(") == 2
+    assert "split(text" not in "".join(x for x in plan.splitlines() if "Window" in x)
+
+
+def test_evidence_is_what_observations_propose(spark, docs):
+    class Mixed:
+        words: Annotated[list[str], Field("words", (Regex("[a-z]+", native=True), Regex("(l+)", group=1)))]
+        one: Annotated[str, Field("a word before a space", (Regex(r"([a-z]+) ", group=1),))]
+        topic: Annotated[list[Literal["p", "q"]], Field("kind", rules=(Rule("p", "l"), Rule("q", "o"), Rule("q", "plain", "negative")))]
+        fixed: Annotated[Literal["always"], Field("constant")]
+
+    spec = compile_spec(Mixed)
+    run = extract(docs, spec)
+    names = spark.createDataFrame([(f.field_id, f.cardinality) for f in spec.fields], "field_id string, cardinality string")
+    want = va.proposed(run.observations, run.candidates, names)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "field_id", "position", "candidate_id", "raw_value", "byte_start", "byte_end").collect()))
+    assert rows(run.evidence) == rows(want) != []
+
+
+def test_long_texts_of_matches_leave_in_parts(spark):
+    out = cd.regex_general(spark.createDataFrame([(1, "a" * 25_001), (2, None), (3, "ba")], "doc_id long, text string"), cd.RegexParams(pattern="a"))
+    assert [tuple(r) for r in out.groupBy("doc_id").agg(F.count("*"), F.max("seq"), F.max("byte_end")).orderBy("doc_id").collect()] == [(1, 25_001, 25_000, 25_001), (3, 1, 0, 2)]
