@@ -102,9 +102,10 @@ _WHOLE_NUMBER = _NUMBER.replace(r"(?<![\w.])", r"\A").replace(r"(?![\w.])", r"\z
 
 def decimal_value(text: Column) -> Column:
     """The one number in a text, with currency, groups, per cent (not scaled) or magnitude; null if there is none, or several, or one with both."""
-    # the text is searched once; the one match then splits, to its end, as it did when found
-    found = F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda m: F.split(F.regexp_replace(m, _WHOLE_NUMBER, "$1$2\n$3\n$4"), "\n", -1))
-    return F.get(F.transform(F.when(F.size(found) == 1, found), _decimal), F.lit(0))
+    # lambdas bind what was found, so that the text is searched once; the one match then splits, to its end, as it did when found
+    only = F.filter(F.array(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0))), lambda found: F.size(found) == 1)
+    parts = F.transform(only, lambda found: F.split(F.regexp_replace(found[0], _WHOLE_NUMBER, "$1$2\n$3\n$4"), "\n", -1))
+    return F.get(F.transform(parts, _decimal), F.lit(0))
 
 
 def _decimal(parts: Column) -> Column:
